@@ -1,8 +1,8 @@
 """All queries of this folder and the SQL of those that SQL can express."""
 
-from . import packing, simhash, url_filter
+from . import langid, packing, simhash, url_filter
 
-MODULES = [simhash, url_filter, packing]
+MODULES = [langid, simhash, url_filter, packing]
 
 
 def queries() -> dict:
