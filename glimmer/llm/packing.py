@@ -13,8 +13,10 @@ frequent, is gathered in one task.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from .shared import cut, slices, table
 
 CAPACITY = 2048
-#: Chunks between white space whose ids a Python worker remembers; forgotten all at once beyond this.
-CACHE_CHUNKS = 300_000
+#: Chunks, and words, whose ids a Python worker remembers: two generations of so many, about 200
+#: bytes each; the older is forgotten when the newer is full, so frequent ones stay.
+CACHE_ENTRIES = 350_000
 #: Fillings looked at around one largest length, and nodes of the whole search, before the incumbent is kept.
 FILLING_NODES, SEARCH_NODES = 2_000, 300_000
 
@@ -37,6 +40,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Remembered(dict):
+    """Makes missing values and keeps two generations of them."""
+
+    def __init__(self, make) -> None:
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ChunkTokenizer:
     """Ids of a text as little-endian 32-bit bytes, by way of its white-space separated chunks.
 
@@ -54,39 +74,36 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
         self.letters = byte_letters()
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known = Remembered(self._chunk)
+        self.words = Remembered(self._word)
         self.split = regex.compile(self.PATTERN).findall
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = np.array([t.id for t in self.merges.tokenize(spelt)], "<u4").tobytes()
-        return ids
+        spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges.tokenize(spelt)]).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if text.isascii() and text.isalpha():
-            return self._word(text.lower())
+            return self.words[text.lower()]
         # Other alphabets may compose anew, or have a lower case that depends on the place.
         if "<|" in text or max(text) >= "\u0180" or len(text) > 200:
             return self._whole(text)
-        return b"".join(map(self._word, self.split(text.lower())))
+        return b"".join(map(self.words.__getitem__, self.split(text.lower())))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-            self.words.clear()
-        known, get = self.known, self.known.__getitem__
+        get = self.known.__getitem__
         for text in texts:
-            chunks = text.encode().split() if text else []
-            for chunk in set(chunks).difference(known):
-                known[chunk] = self._chunk(chunk)
-            yield b"".join(map(get, chunks))
+            yield b"".join(map(get, text.encode().split())) if text else b""
+
+
+@cache
+def tokenizer_at(path: str) -> ChunkTokenizer:
+    """One a Python worker, so that what it remembers serves its next tasks too."""
+    return ChunkTokenizer(path)
 
 
 @dataclass
@@ -261,7 +278,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, coder, seen = TaskContext.get().partitionId(), ChunkTokenizer(tokenizer), np.zeros(capacity + 1, np.int64)
+        part, coder, seen = TaskContext.get().partitionId(), tokenizer_at(tokenizer), np.zeros(capacity + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, text):
                 rows, ids = [], []
