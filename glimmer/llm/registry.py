@@ -1,8 +1,8 @@
 """All queries of this folder and the SQL of those that SQL can express."""
 
-from . import langid, packing, simhash, url_filter
+from . import html_text, langid, lm_score, packing, simhash, toxicity, url_filter
 
-MODULES = [langid, simhash, url_filter, packing]
+MODULES = [langid, simhash, lm_score, html_text, url_filter, packing, toxicity]
 
 
 def queries() -> dict:
