@@ -1,8 +1,8 @@
 """All queries of this folder and the SQL of those that SQL can express."""
 
-from . import html_text, langid, lm_score, packing, simhash, toxicity, url_filter
+from . import embedding_dedup, html_text, langid, lm_score, packing, quality, simhash, toxicity, url_filter
 
-MODULES = [langid, simhash, lm_score, html_text, url_filter, packing, toxicity]
+MODULES = [langid, simhash, lm_score, quality, html_text, embedding_dedup, url_filter, packing, toxicity]
 
 
 def queries() -> dict:
