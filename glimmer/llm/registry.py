@@ -1,8 +1,10 @@
 """All queries of this folder and the SQL of those that SQL can express."""
 
-from . import embedding_dedup, html_text, langid, lm_score, packing, quality, simhash, toxicity, url_filter
+from . import embedding_dedup, html_text, langid, lm_score, packing, piece_codec, quality, simhash, toxicity, url_filter
 
-MODULES = [langid, simhash, lm_score, quality, html_text, embedding_dedup, url_filter, packing, toxicity]
+MODULES = [
+    piece_codec, langid, simhash, lm_score, quality, html_text, embedding_dedup, url_filter, packing, toxicity,
+]
 
 
 def queries() -> dict:
