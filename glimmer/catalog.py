@@ -1,6 +1,9 @@
-"""Queries by name with their SQL, gathered from the operator modules."""
+"""Queries by name with their SQL, gathered from the plan modules."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import movie, segment
+
+MODULES = [movie, segment]
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
