@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import movie, segment
+from .plans import algebra, cells, movie, segment
 
-MODULES = [movie, segment]
+MODULES = [movie, segment, cells, algebra]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

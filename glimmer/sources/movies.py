@@ -60,7 +60,7 @@ def series(px: DataFrame) -> DataFrame:
 
 def event_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spikes(spkid, u, v > 0): what purchases of a user exceed 100 by, summed by hour."""
-    hour = F.floor((F.unix_micros("ts") - F.lit(1704067200000000)) / F.lit(3600000000)).cast("int")
+    hour = (F.datediff("ts", F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("int")
     value = F.greatest(F.col("value") - 100.0, F.lit(0.0))
     rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").cast("int").alias("spkid"), hour.alias("u")).agg(F.sum(value).alias("v"))
     return rows.where("v > 0 and u >= 0").where(F.col("u") < HOURS)
