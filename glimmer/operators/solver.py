@@ -1,0 +1,86 @@
+"""Alternating fit of traces and footprints, tile by tile.
+
+The movie is read once per solve, for the products that the objective needs; what reaches a
+tile's task are those products, not the movie.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import algebra as A
+
+
+@dataclass(frozen=True)
+class Penalty:
+    """Weights: footprints, spikes, backgrounds, and the two that tie the means."""
+
+    la: float = 0.01
+    lu: float = 0.001
+    lb: float = 1e-4
+    bs: float = 0.1
+    bt: float = 0.1
+
+
+def annealed(stage: int, step: float, most: float) -> float:
+    """A weight that grows with the stage up to its maximum."""
+    return min(stage * step, most)
+
+
+def _dense(rows, value: str, i: str, j: str, ni: dict, nj: dict) -> np.ndarray:
+    out = np.zeros((len(ni), len(nj)))
+    out[rows[i].map(ni), rows[j].map(nj)] = rows[value]
+    return out
+
+
+def solve(pairs: DataFrame, products: DataFrame, nx: int, ny: int, penalty: Penalty, kind: str, fac: float, forward=None, adjoint=None, extra: int = 0, epochs: int = 50) -> DataFrame:
+    """(tile, k, t, v, loss): traces of the components k over places t that fit a tile's products.
+
+    ``pairs`` is (tile, i, j, ycov, yout), ``products`` (tile, k, t, v). With a response, x has
+    ``extra`` more places than the data, ``forward`` applies it and ``adjoint`` is its transpose.
+    """
+    left = pairs.select("tile", F.lit(0).alias("what"), F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b"), F.col("ycov").alias("v"), F.col("yout").alias("w"))
+    right = products.select("tile", F.lit(1).alias("what"), F.col("k").cast("long").alias("a"), F.col("t").cast("long").alias("b"), "v", F.lit(0.0).alias("w"))
+
+    def run(key, rows):
+        import pandas as pd
+
+        two, one = rows[rows["what"] == 0], rows[rows["what"] == 1]
+        names = {k: n for n, k in enumerate(sorted(two["a"].unique()))}
+        places = {t: n for n, t in enumerate(range(nx))}
+        cov, out = _dense(two, "v", "a", "b", names, names), _dense(two, "w", "a", "b", names, names)
+        dot = _dense(one, "v", "a", "b", names, places)
+        x, losses = A.fit(np.zeros((len(names), nx + extra)) + 1e-3, cov, out, dot, nx, ny, penalty.bs, penalty.bt, kind, fac, epochs=epochs, forward=forward, adjoint=adjoint)
+        k, t = np.nonzero(x)
+        return pd.DataFrame({"tile": key[0], "k": np.array(list(names))[k], "t": t, "v": x[k, t], "loss": losses[-1]})
+
+    return left.unionByName(right).groupBy("tile").applyInPandas(run, "tile int, k long, t int, v double, loss double")
+
+
+def temporal(footprints: DataFrame, pixels: DataFrame, frames: int, places: int, penalty: Penalty = Penalty(), response: np.ndarray | None = None, epochs: int = 50) -> DataFrame:
+    """Traces (or spikes, with a response) of fixed footprints over the whole frame as one tile."""
+    pairs = A.gram(footprints, places).withColumn("tile", F.lit(0))
+    dots = A.data_product(footprints, pixels, places).withColumnRenamed("segid", "k").withColumn("tile", F.lit(0))
+    forward = adjoint = None
+    extra = 0
+    if response is not None:
+        extra = len(response) - 1
+        forward = lambda s: np.stack([np.convolve(row, response, "valid") for row in s])
+        adjoint = lambda g: np.stack([np.convolve(row, response[::-1], "full") for row in g])
+    return solve(pairs, dots, frames, places, penalty, "maxnorm", penalty.lu * places, forward, adjoint, extra, epochs)
+
+
+def spatial(traces: DataFrame, pixels: DataFrame, frames: int, width: int, places: int, penalty: Penalty = Penalty(), epochs: int = 50) -> DataFrame:
+    """footprints(segid, y, x, a) for fixed traces (segid, t, v): the same problem with places and frames exchanged."""
+    top = traces.groupBy("segid").agg(F.max("v").alias("top")).where("top > 0")
+    rows = traces.join(top, "segid").select("segid", F.col("t").alias("y"), F.lit(0).alias("x"), (F.col("v") / F.col("top")).alias("a"))
+    turned = pixels.select((F.col("y") * width + F.col("x")).alias("t"), F.col("t").alias("y"), F.lit(0).alias("x"), "v")
+    pairs = A.gram(rows, frames).withColumn("tile", F.lit(0))
+    dots = A.data_product(rows, turned, frames).withColumnRenamed("segid", "k").withColumn("tile", F.lit(0))
+    x = solve(pairs, dots, places, frames, penalty, "maxnorm", penalty.la * frames, epochs=epochs)
+    most = x.groupBy("k").agg(F.max("v").alias("top"))
+    return x.where("v > 0").join(most, "k").select(F.col("k").cast("int").alias("segid"), F.floor(F.col("t") / width).cast("int").alias("y"), (F.col("t") % width).alias("x"), (F.col("v") / F.col("top")).alias("a"))

@@ -1,0 +1,42 @@
+"""Queries that solve for traces and footprints. The search has no SQL form; tests hold it against
+planted movies and finite differences."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import solver as V
+from ..sources.store import materialise
+from .algebra import PLACES, unit_pixels
+from .movie import SIDE, frames
+from .segment import label_footprints
+
+
+def temporal_fit(spark, d):
+    """Traces of the label footprints."""
+    return V.temporal(label_footprints(spark, d), unit_pixels(spark, d), frames(spark, d).count(), PLACES)
+
+
+def spatial_fit(spark, d):
+    """Footprints of the fitted traces."""
+    px, n = materialise(unit_pixels(spark, d), "unit-pixels"), frames(spark, d).count()
+    traces = materialise(V.temporal(label_footprints(spark, d), px, n, PLACES).select(F.col("k").alias("segid"), "t", "v"), "fitted-traces")
+    return V.spatial(traces, px, n, SIDE, PLACES)
+
+
+def stage_loop(spark, d, stages: int = 2):
+    """Alternate both solves; one row a stage and component with its area and the solve's loss."""
+    px, n = materialise(unit_pixels(spark, d), "unit-pixels"), frames(spark, d).count()
+    feet, out = materialise(label_footprints(spark, d), "stage-footprints"), None
+    for stage in range(stages):
+        fitted = materialise(V.temporal(feet, px, n, PLACES), "stage-traces")
+        loss = fitted.agg(F.max("loss").alias("loss"))
+        sizes = feet.groupBy("segid").agg(F.count("*").alias("area")).crossJoin(F.broadcast(loss)).withColumn("stage", F.lit(stage))
+        out = sizes if out is None else out.unionByName(sizes)
+        if stage + 1 < stages:
+            feet = materialise(V.spatial(fitted.select(F.col("k").alias("segid"), "t", "v"), px, n, SIDE, PLACES), "stage-footprints")
+    return out
+
+
+QUERIES = {f.__name__: f for f in (temporal_fit, spatial_fit, stage_loop)}
+ORACLES: dict = {}
