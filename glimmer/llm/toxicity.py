@@ -211,14 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     Ids that labels repeat with different marks, null marks and null texts teach nothing.
     Without both classes the network scores every text alike."""
     sample = sample or SAMPLE_ROWS
+    own = docs.select(F.col(id_column).alias("_doc"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null")
     marks = labels.groupBy(F.col(id_column).alias("_id")).agg(F.min(label).alias("y"), F.max(label).alias("_top")).where("y = _top and _id is not null").select("_id", "y")
     totals = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     rate = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, sample[k] / max(1, totals.get(k, 1))))) for k in sample], F.lit(0.0))
     place = F.shiftrightunsigned(F.xxhash64(F.col("_id"), F.lit(23)), 11) / F.lit(float(2**53))
     drawn = marks.where(place < rate)
     rows = (
-        docs.where(F.col(text).isNotNull()).join(F.broadcast(drawn), F.col(id_column) == F.col("_id"))  # at most the sample's size
-        .select("_id", F.col(text).alias("text"), F.col(lang).alias("lang"), "y").toPandas().sort_values(["_id", "text"], kind="stable")
+        own.join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))  # at most the sample's size
+        .select("_id", "text", "lang", "y").toPandas().sort_values(["_id", "text"], kind="stable")
     )
     y = rows["y"].to_numpy().astype(int)
     held = np.arange(len(rows)) % 5 == 0
