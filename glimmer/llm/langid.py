@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .shared import in_fold, number_words, slices, table
 
 ORDER = 5
-#: About so many labelled rows of each language are learned from, and as many others calibrate
-#: the limit beyond which a text is rejected.
+#: About so many labelled rows of each language are learned from (four fifths of a smaller table),
+#: and at most as many others calibrate the limit beyond which a text is rejected.
 SAMPLE_ROWS = 400
 #: Times the largest cross-entropy among the calibrating texts.
 REJECT_MARGIN = 1.1
@@ -184,7 +184,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_column:
     totals = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
     if not totals:
         return Models([], [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1), [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1), 1.0)
-    rate = F.create_map(*[F.lit(x) for k, n in sorted(totals.items()) for x in (k, min(0.5, rows / n))])[F.col(lang)]
+    rate = F.create_map(*[F.lit(x) for k, n in sorted(totals.items()) for x in (k, min(0.8, rows / n))])[F.col(lang)]
     # ids that are alike in text are spread by the hash's high bits
     place = (F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.lit(11)), 11) / F.lit(float(2**53)))
     drawn = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (place / rate).alias("at")).where("at < 2")
