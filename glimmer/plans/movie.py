@@ -180,6 +180,39 @@ def nms_peaks_by_kind(spark, d):
     return out.groupBy("kind").agg(F.count("*").alias("n"), tidy(F.max("firmness")).alias("top"))
 
 
+def simple_peaks(spark, d):
+    """Places of each blurred frame that equal the largest of their 3 x 3 surroundings."""
+    from ..operators.stencils import by_frame
+
+    def work(t, images):
+        blurred = S.gaussian(images, 1.0)
+        n, y, x = np.nonzero(blurred == S.max_pool(blurred, (-2, -1)))
+        return {"t": t[n].astype(np.int32), "y": y.astype(np.int32), "x": x.astype(np.int32), "v": blurred[n, y, x]}
+
+    return by_frame(frames(spark, d), SIDE, SIDE, work, "t int, y int, x int, v double").withColumn("v", tidy("v"))
+
+
+def image_folds(spark, d):
+    """Least, largest, sum and the first frame of the largest value at each pixel."""
+    px = M.pixels(frames(spark, d))
+    top = F.max(F.struct("v", (-F.col("t")).alias("t")))
+    folded = px.groupBy("y", "x").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"), top.alias("top"))
+    return folded.select("y", "x", tidy("low").alias("low"), tidy("high").alias("high"), tidy("total").alias("total"), (-F.col("top.t")).alias("at"))
+
+
+def positive_peaks(spark, d):
+    """Peaks in scale space with a positive response, off the frame's edge and the outer scales."""
+    inner = F.col("y").between(1, SIDE - 2) & F.col("x").between(1, SIDE - 2) & F.col("ri").between(1, len(RADII) - 2)
+    return P.local_peaks(frames(spark, d), SIDE, SIDE, RADII).where(inner & (F.col("v") > 0)).select("t", "ri", "y", "x", tidy("v").alias("v"))
+
+
+def mask_fill(spark, d):
+    """The movie with zeros outside the mask."""
+    f = frames(spark, d)
+    mask = M.ring_mask(f).withColumn("inside", F.lit(True))
+    return M.pixels(f).join(mask, ["y", "x"], "left").select("t", "y", "x", tidy(F.when(F.col("inside"), F.col("v")).otherwise(0.0)).alias("v"))
+
+
 def _dilate(v: str, part: str, axis: str, a: int, b: int, fn: str, source: str, out: str) -> str:
     return f"{out} AS (SELECT t, y, x, {fn}({v}) OVER (PARTITION BY t, {part} ORDER BY {axis} ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING) AS v FROM {source})"
 
@@ -192,14 +225,16 @@ def closing_sql(source: str) -> str:
     ])
 
 
-_BLUR = f"""SELECT t, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {r('sum(v * g)')} AS v FROM (
+_BLURRED = f"""SELECT t, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, sum(v * g) AS v FROM (
   SELECT p.t, p.y, p.x + k.d AS x, p.v, k.g FROM (
     SELECT t, p.y + k.d AS y, x, sum(v * k.g) AS v FROM pixels p, {kernel_sql(1.0)} k WHERE p.y + k.d BETWEEN 0 AND 7 GROUP BY 1, 2, 3) p,
   {kernel_sql(1.0)} k WHERE p.x + k.d BETWEEN 0 AND 7) GROUP BY t, y, x"""
+_BLUR = f"SELECT t, y, x, {r('v')} AS v FROM ({_BLURRED})"
 
 QUERIES = {f.__name__: f for f in (
     frame_mean, pixel_stats, neighbor_corr, scalar_stats, normalized_movie, neighbor_mean, mask_crop, pixel_series, frame_choice, gaussian_blur, log_single,
     log_scales, max_pool3d, peak_test, find_peaks, peaks_per_radius, grey_closing, scale_table, histogram_uniform, nms_peaks, nms_peaks_by_kind,
+    simple_peaks, image_folds, positive_peaks, mask_fill,
 )}
 ORACLES = {
     "frame_mean": f"WITH {PIXELS} SELECT t, {r('avg(v)')} AS avgt FROM pixels GROUP BY t",
@@ -209,6 +244,10 @@ ORACLES = {
     "normalized_movie": f"WITH {CENTRED} SELECT t, y, x, {r('(d - avgx) / std0')} AS v FROM centred JOIN moments USING (y, x), unit",
     "neighbor_mean": f"WITH {PIXELS} SELECT t, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {r('sum(v) / 8')} AS v FROM (SELECT p.t, p.y + dy.k AS y, p.x + dx.k AS x, p.v FROM pixels p, range(-1, 2) dy(k), range(-1, 2) dx(k) WHERE dy.k <> 0 OR dx.k <> 0) WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 GROUP BY t, y, x",
     "mask_crop": f"WITH {PIXELS}, means AS (SELECT y, x, avg(v) AS m FROM pixels WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 GROUP BY y, x), mask AS (SELECT y, x FROM means WHERE m > (SELECT avg(m) FROM means)) SELECT t, y - (SELECT min(y) FROM mask) AS y, x - (SELECT min(x) FROM mask) AS x, {r('v')} AS v FROM pixels SEMI JOIN mask USING (y, x)",
+    "simple_peaks": f"WITH {PIXELS}, blurred AS ({_BLURRED}) SELECT t, y, x, {r('v')} AS v FROM (SELECT *, max(m1) OVER (PARTITION BY t, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM (SELECT *, max(v) OVER (PARTITION BY t, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m1 FROM blurred)) WHERE v = m",
+    "image_folds": f"WITH {PIXELS} SELECT y, x, {r('min(v)')} AS low, {r('max(v)')} AS high, {r('sum(v)')} AS total, (array_agg(t ORDER BY v DESC, t))[1] AS at FROM pixels GROUP BY y, x",
+    "positive_peaks": f"WITH {POOL_SQL} SELECT t, CAST(ri AS INTEGER) AS ri, y, x, {r('v')} AS v FROM pooled WHERE v = m AND v > 0 AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND ri BETWEEN 1 AND {len(RADII) - 2}",
+    "mask_fill": f"WITH {PIXELS}, means AS (SELECT y, x, avg(v) AS m FROM pixels WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 GROUP BY y, x), mask AS (SELECT y, x FROM means WHERE m > (SELECT avg(m) FROM means)) SELECT t, p.y, p.x, {r('CASE WHEN m.y IS NULL THEN 0 ELSE v END')} AS v FROM pixels p LEFT JOIN mask m ON p.y = m.y AND p.x = m.x",
     "pixel_series": f"WITH {PIXELS} SELECT y, x, count(*) AS n, {r('arg_min(v, t)')} AS first, {r('arg_max(v, t)')} AS last FROM pixels GROUP BY y, x",
     "frame_choice": f"WITH {PIXELS} SELECT t, y, x, {r('v')} AS v FROM pixels WHERE t IN (SELECT t FROM pixels GROUP BY t HAVING avg(v) > 0)",
     "gaussian_blur": f"WITH {PIXELS} {_BLUR}",

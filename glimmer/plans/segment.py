@@ -83,6 +83,13 @@ def max_overlap(spark, d):
     return G.overlap(label_footprints(spark, d), label_cells(spark, d)).select("segid", "max_dup_id", tidy("max_dup").alias("max_dup"))
 
 
+def mutual_duplicates(spark, d):
+    """Pairs of label footprints each of which exceeds 0.2 at the other's centre, by two equi-joins."""
+    p, c = label_footprints(spark, d), label_cells(spark, d).select("segid", "y", "x")
+    at = c.join(p.where("a > 0.2").select(F.col("segid").alias("o"), "y", "x"), ["y", "x"]).where("segid <> o").select("segid", "o")
+    return at.join(at.select(F.col("o").alias("segid"), F.col("segid").alias("o")), ["segid", "o"]).select(F.col("segid").alias("i"), F.col("o").alias("j"))
+
+
 def tiles(spark, d):
     """Tiles with the number of centres that each owns."""
     c = centre_cells(spark, d)
@@ -140,7 +147,7 @@ _ASPECT = """SELECT segid, (cyy + cxx) / 2 AS half, sqrt(pow((cyy - cxx) / 2, 2)
 
 QUERIES = {f.__name__: f for f in (
     segment_mask, rescale_segments, make_footprints, footprint_area, footprint_aspect, base_threshold, footprint_centres, nearest_neighbor,
-    max_overlap, tiles, tile_assign, clip_unclip, active_cells, clean_footprints,
+    max_overlap, tiles, tile_assign, clip_unclip, active_cells, clean_footprints, mutual_duplicates,
 )}
 ORACLES = {
     "segment_mask": f"WITH RECURSIVE {PIXELS}, {_grow('pixels')} SELECT t AS segid, y, x FROM grown",
@@ -154,6 +161,7 @@ ORACLES = {
     "footprint_centres": f"WITH {CENTRES} SELECT segid, y, x, {r('radius')} AS radius FROM centres",
     "nearest_neighbor": f"WITH {LABELS} SELECT segid, o AS min_dist_id, {r('dist')} AS min_dist FROM (SELECT a.segid, b.segid AS o, sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / a.radius AS dist, row_number() OVER (PARTITION BY a.segid ORDER BY sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / a.radius, b.segid) AS k FROM lcells a JOIN lcells b ON a.segid <> b.segid) WHERE k = 1",
     "max_overlap": f"WITH {LABELS} SELECT segid, o AS max_dup_id, {r('a')} AS max_dup FROM (SELECT c.segid, f.segid AS o, f.a, row_number() OVER (PARTITION BY c.segid ORDER BY f.a DESC, f.segid) AS k FROM lcells c JOIN lfoot f ON c.y = f.y AND c.x = f.x AND c.segid <> f.segid) WHERE k = 1",
+    "mutual_duplicates": f"WITH {LABELS}, hits AS (SELECT c.segid AS i, f.segid AS j FROM lcells c JOIN lfoot f ON c.y = f.y AND c.x = f.x AND c.segid <> f.segid AND f.a > 0.2) SELECT a.i, a.j FROM hits a JOIN hits b ON a.i = b.j AND a.j = b.i",
     "tiles": f"WITH {CENTRES}, {TILES_SQL} SELECT tile, y0, y1, x0, x1, margin, count(segid) AS n FROM tiles LEFT JOIN centres ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL",
     "tile_assign": f"WITH {PIXELS}, {TILES_SQL} SELECT tile, count(*) AS n, {r('sum(v)')} AS total FROM pixels JOIN tiles ON y >= y0 - margin AND y < y1 + margin AND x >= x0 - margin AND x < x1 + margin GROUP BY tile",
     "clip_unclip": f"WITH {PIXELS} SELECT t, y, x, CASE WHEN y >= {TILES[3][1] - 1} AND x >= {TILES[3][3] - 1} THEN {r('v')} ELSE 0.0 END AS v FROM pixels",

@@ -127,3 +127,46 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     return files.mapInArrow(decode, "t int, px array<double>")
+
+
+def tif_pages(raw: bytes) -> np.ndarray:
+    """Pages of an uncompressed grey-scale TIFF file as (t, y, x), whether or not they lie together."""
+    order = {b"II": "<", b"MM": ">"}[raw[:2]]
+    number = lambda at, kind: int(np.frombuffer(raw, order + kind, 1, at)[0])
+    if number(2, "u2") != 42:
+        raise ValueError("not a baseline TIFF file")
+    sizes = {1: "u1", 3: "u2", 4: "u4"}
+    pages, at = [], number(4, "u4")
+    while at:
+        tags = {}
+        for k in range(number(at, "u2")):
+            entry = at + 2 + 12 * k
+            kind, count = number(entry + 2, "u2"), number(entry + 4, "u4")
+            if kind in sizes:
+                width = int(sizes[kind][1])
+                where = entry + 8 if count * width <= 4 else number(entry + 8, "u4")
+                tags[number(entry, "u2")] = np.frombuffer(raw, order + sizes[kind], count, where)
+        one = lambda tag, default: int(tags[tag][0]) if tag in tags else default
+        if one(259, 1) != 1 or one(277, 1) != 1:
+            raise ValueError("compressed or coloured pages are not supported")
+        dtype = order + {1: "u", 2: "i", 3: "f"}[one(339, 1)] + str(one(258, 8) // 8)
+        data = b"".join(raw[int(o) : int(o) + int(n)] for o, n in zip(tags[273], tags[279], strict=True))
+        pages.append(np.frombuffer(data, dtype, one(256, 0) * one(257, 0)).reshape(one(257, 0), one(256, 0)))
+        at = number(at + 2 + 12 * number(at, "u2"), "u4")
+    return np.stack(pages)
+
+
+def read_tif(spark: SparkSession, path: str) -> DataFrame:
+    """frames(t, px) of multi-page files; each file is one task's work."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def decode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content"):
+                movie = tif_pages(content.as_buffer().to_pybytes())
+                values = [page.ravel().astype(np.float64) for page in movie]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values, pa.list_(pa.float64()))], ["t", "px"])
+
+    return files.mapInArrow(decode, "t int, px array<double>")

@@ -65,6 +65,42 @@ def test_array_and_raw_sources(spark, tmp_path):
         assert sorted((r["t"], list(r["px"])) for r in read().collect()) == want
 
 
+def tif_bytes(movie, order, together):
+    """An uncompressed TIFF file with one strip a page; pages' data and directories alternate unless ``together``."""
+    import struct
+
+    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
+    offsets = []
+    if together:
+        for page in movie:
+            offsets.append(len(out))
+            out += page.astype(order + "u2").tobytes()
+    link = 4
+    for k, page in enumerate(movie):
+        if not together:
+            offsets.append(len(out))
+            out += page.astype(order + "u2").tobytes()
+        out[link : link + 4] = struct.pack(order + "I", len(out))
+        tags = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, 16), (259, 3, 1), (273, 4, offsets[k]), (277, 3, 1), (279, 4, page.size * 2)]
+        out += struct.pack(order + "H", len(tags))
+        for tag, kind, value in tags:
+            out += struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+        link = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("together", [True, False])
+def test_tif_source(spark, tmp_path, order, together):
+    from glimmer.sources import movies
+
+    movie = np.arange(3 * 4 * 5, dtype=np.uint16).reshape(3, 4, 5)
+    (tmp_path / "m.tif").write_bytes(tif_bytes(movie, order, together))
+    rows = movies.read_tif(spark, f"file://{tmp_path}/m.tif").collect()
+    assert sorted((r["t"], list(r["px"])) for r in rows) == [(t, movie[t].ravel().astype(float).tolist()) for t in range(3)]
+
+
 def test_stages_are_saved_and_found(spark, tmp_path):
     from glimmer.sources import store
 
