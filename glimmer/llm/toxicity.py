@@ -24,8 +24,16 @@ SAMPLE_ROWS = {1: 2_500, 0: 5_000}
 EPOCHS, BATCH, RATE = 8, 32, 0.05
 #: Small samples are gone through more often: about so many texts in all, 24 times at most.
 VISITS = 40_000
+#: Buckets that fewer training texts touch carry nothing, so that rare words are not learned by heart.
+MIN_TEXTS = 3
+#: Share of the words that each visit of a training batch leaves out, so that no word hides behind another.
+DROP = 0.3
 #: A language needs so many calibrating texts of each class for a threshold of its own.
 MIN_CALIBRATION = 8
+#: Weight of the share of toxic texts caught; the rest is for clean texts left alone.
+CATCH = 0.35
+#: The threshold of all languages counts like so many calibrating texts.
+GENERAL_WEIGHT = 20
 #: Tokens whose responses are held at once.
 CHUNK_TOKENS = 200_000
 _STRIP = b".,;:!?\"'()[]{}<>|#*$%&-_/\\"
@@ -132,6 +140,13 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     ids, ends, words = number_words([t.lower() for t in texts])
     features = word_features(words)
     starts = np.concatenate([[0], ends[:-1]]).astype(int)
+    texts_with = np.zeros(BUCKETS, int)
+    for a, b in zip(starts, ends, strict=True):
+        texts_with[np.unique(features[ids[a:b]])] += 1
+    live = texts_with >= MIN_TEXTS
+    nothing = int(texts_with.argmin())
+    live[nothing] = False
+    net.table[~live] = 0
     scale_table = np.full((BUCKETS, 1), 1e-6, np.float32)
     scale = [np.full_like(x, 1e-6) for x in (*net.kernels, *net.shifts, net.weights)]
     scale_bias = 1e-6
@@ -142,8 +157,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
             some = order[first : first + BATCH]
             grads = [np.zeros_like(x) for x in (*net.kernels, *net.shifts, net.weights)]
             grad_bias, touched, pushes = 0.0, [], []
+            left_out = rng.random(BUCKETS) < DROP
             for d in some:
                 own = features[ids[starts[d] : ends[d]]]
+                own = np.where(left_out[own[:, :1]], nothing, own)
                 vectors = net.table[own].sum(1)
                 best, where = net.pooled(vectors)
                 out = best @ net.weights + net.bias
@@ -152,12 +169,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
                 grad_bias += g
                 for i, width in enumerate(WIDTHS):
                     at = where[i * FILTERS : (i + 1) * FILTERS]
-                    live = np.flatnonzero(at >= 0)
-                    back = g * net.weights[i * FILTERS + live]
-                    grads[len(WIDTHS) + i][live] += back
+                    fired = np.flatnonzero(at >= 0)
+                    back = g * net.weights[i * FILTERS + fired]
+                    grads[len(WIDTHS) + i][fired] += back
                     for k in range(width):
-                        there = at[live] + k < len(own)
-                        f, some_back, place = live[there], back[there], at[live[there]] + k
+                        there = at[fired] + k < len(own)
+                        f, some_back, place = fired[there], back[there], at[fired[there]] + k
                         grads[i][k][:, f] += some_back * vectors[place].T
                         touched.append(own[place].ravel())
                         pushes.append(np.repeat(some_back[:, None] * net.kernels[i][k][:, f].T, own.shape[1], axis=0))
@@ -167,17 +184,19 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
             scale_bias += grad_bias**2
             net.bias -= RATE * grad_bias / scale_bias**0.5
             if touched:
-                rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+                at = np.concatenate(touched)
+                own = live[at]
+                rows, inverse = np.unique(at[own], return_inverse=True)
                 total = np.zeros((len(rows), SIZE), np.float32)
-                np.add.at(total, inverse, np.concatenate(pushes))
+                np.add.at(total, inverse, np.concatenate(pushes)[own])
                 scale_table[rows] += (total**2).mean(1, keepdims=True)
                 net.table[rows] -= RATE * total / np.sqrt(scale_table[rows])
     return net
 
 
 def calibrate(net: Network, texts: list[str], labels: np.ndarray, langs: list[str | None], train_texts: list[str], train_langs: list[str | None]) -> None:
-    """Learn how to guess the language and set the threshold of each language: midway between
-    the classes where they separate, else where balanced accuracy is best."""
+    """Learn how to guess the language and set the threshold of each language where the weighted
+    accuracy of both classes is best, drawn towards the threshold of all languages."""
     net.languages = sorted({x for x in train_langs if x})
     counts = np.full((BUCKETS, max(1, len(net.languages))), 0.1)
     for j, lang in enumerate(net.languages):
@@ -189,21 +208,23 @@ def calibrate(net: Network, texts: list[str], labels: np.ndarray, langs: list[st
     raw, tongue = net.logits(ids, ends, word_features(words))
 
     def best_cut(values: np.ndarray, truth: np.ndarray) -> float:
-        low, high = values[truth == 0], values[truth == 1]
-        if not len(low) or not len(high):
+        """Midway between the two neighbouring outputs that part the classes best."""
+        if len(set(truth.tolist())) < 2:
             return 0.0
-        if low.max() < high.min():
-            return float((low.max() + high.min()) / 2)
-        cuts = np.unique(values)
-        gain = [((high >= c).mean() + (low < c).mean()) for c in cuts]
-        return float(cuts[int(np.argmax(gain))])
+        order = np.sort(np.unique(values))
+        cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2, [order[-1] + 1]])
+        low, high = np.sort(values[truth == 0]), np.sort(values[truth == 1])
+        gain = (1 - CATCH) * np.searchsorted(low, cuts) / len(low) + CATCH * (1 - np.searchsorted(high, cuts) / len(high))
+        best = np.flatnonzero(gain >= gain.max() - 1e-12)
+        return float(cuts[best[len(best) // 2]])
 
     general = best_cut(raw, labels)
     net.thresholds = np.full(max(1, len(net.languages)), general)
     for j in range(len(net.languages)):
         own = tongue == j
-        if min((labels[own] == 0).sum(), (labels[own] == 1).sum()) >= MIN_CALIBRATION:
-            net.thresholds[j] = best_cut(raw[own], labels[own])
+        n = min(int((labels[own] == 0).sum()), int((labels[own] == 1).sum()))
+        if n >= MIN_CALIBRATION:  # few texts move the threshold little
+            net.thresholds[j] = (n * best_cut(raw[own], labels[own]) + GENERAL_WEIGHT * general) / (n + GENERAL_WEIGHT)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", sample: dict[int, int] | None = None) -> Network:
