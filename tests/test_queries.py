@@ -129,3 +129,20 @@ def test_entry_survives_without_text_operators():
     code = "import sys; sys.modules['glimmer.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'pixel_stats' in e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Workers that cannot import the package get it from Spark."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+assert e.queries()["find_peaks"](spark, {DIR!r}).count() == 64
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True).returncode == 0
