@@ -154,9 +154,54 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
     )
 
 
+def sql() -> str:
+    """The same by DuckDB, with windows compared as texts."""
+    words = vocabulary()
+    share = lambda name: f"list_transform({name}, lambda x: x / list_sum({name}))"
+    mean = lambda name, n: "[" + ", ".join(f"avg({name}[{k}])" for k in range(1, n + 1)) + "]"
+    term = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0.0 END"
+    far = lambda p, q: f"list_sum(list_transform(range(1, len({p}) + 1), lambda k: ({term(f'{p}[k]', f'{q}[k]')} + {term(f'{q}[k]', f'{p}[k]')}) / 2))"
+    distance = lambda p, q: f"sqrt(greatest(least(coalesce(min({far(p, q)}), 1.0), 1.0), 0.0))"
+    beyond = lambda name, limit: f"coalesce(pow({name}, 2) > {limit[0]} + {limit[1]} / nullif(n_words, 0), false)"
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS s0 FROM documents
+), s1 AS (SELECT *, regexp_replace(s0, '\p{{Ll}}+', '', 'g') AS s1 FROM texts
+), s2 AS (SELECT *, regexp_replace(s1, '\p{{Lu}}+', '', 'g') AS s2 FROM s1
+), s3 AS (SELECT *, regexp_replace(s2, '{WORD_BREAK}', '', 'g') AS s3 FROM s2
+), s4 AS (SELECT *, regexp_replace(s3, '\p{{Nd}}+', '', 'g') AS s4 FROM s3
+), s5 AS (SELECT *, regexp_replace(s4, '[#*$%&|<>]+', '', 'g') AS s5,
+            list_filter(regexp_split_to_array(s0, '{WORD_BREAK}'), lambda w: w <> '') AS words,
+            list_filter(string_split(s0, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM s4
+), win AS (
+  SELECT rid, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM s5 WHERE len(words) >= {WINDOW})
+), twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS c FROM win) WHERE c > 1
+), covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(0, {WINDOW}) r(k) GROUP BY rid
+), found AS (
+  SELECT s5.rid, doc_id, lang, len(words) AS n_words, length(s0) - length(s2) + length(s3) AS word_chars, length(s4) - length(s5) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+         [length(s0) - length(s1), length(s1) - length(s2), length(s2) - length(s3), length(s3) - length(s4), length(s4) - length(s5), length(s5)]::DOUBLE[] AS chars,
+         [{", ".join(f"len(list_filter(words, lambda w: w = '{w}'))" for w in words)}, len(list_filter(words, lambda w: w NOT IN ({", ".join(f"'{w}'" for w in words)})))]::DOUBLE[] AS common
+  FROM s5 LEFT JOIN covered ON covered.rid = s5.rid
+), shared AS (SELECT *, {share('chars')} AS c, {share('common')} AS w FROM found
+), refs AS (SELECT lang, {mean('c', 6)} AS rc, {mean('w', len(words) + 1)} AS rw FROM shared WHERE n_words >= {WORD_GUARD} GROUP BY lang HAVING count(*) >= {MIN_REFERENCE}
+), far AS (SELECT s.rid, {distance('c', 'rc')} AS cd, {distance('w', 'rw')} AS wd FROM shared s CROSS JOIN refs GROUP BY s.rid
+), judged AS (
+  SELECT shared.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed,
+         CASE WHEN n_words >= {CHAR_GUARD} THEN cd END AS cd, CASE WHEN n_words >= {WORD_GUARD} THEN wd END AS wd
+  FROM shared LEFT JOIN far ON far.rid = shared.rid
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR {beyond('cd', CHAR_LIMIT)} OR {beyond('wd', WORD_LIMIT)} OR ({beyond('cd', BOTH_LIMITS[0])} AND {beyond('wd', BOTH_LIMITS[1])})) AS kept,
+       round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM judged
+"""
+
+
 QUERIES = {"op5_quality_rules": op5_quality_rules}
-ORACLES: dict = {}
+ORACLES = {"op5_quality_rules": sql()}
