@@ -8,6 +8,7 @@ from ..functions.numeric import tidy
 from ..operators import algebra as A
 from ..operators import normalize as N
 from ..sources import movies as M
+from ..sources.store import materialise
 from .cells import TRACES, traces
 from .movie import CENTRED, SIDE, frames, r
 from .segment import LABELS, label_footprints
@@ -17,7 +18,7 @@ ETA, FAC = 0.5, 40.0
 
 
 def unit_pixels(spark, d):
-    m = N.pixel_moments(frames(spark, d), SIDE, SIDE)
+    m = materialise(N.pixel_moments(frames(spark, d), SIDE, SIDE), "moments")
     return M.pixels(N.normalized(frames(spark, d), m, N.scalar_stats(m), SIDE, SIDE))
 
 
@@ -30,16 +31,18 @@ def data_dot(spark, d):
     return out.select("segid", "t", tidy("v", 5).alias("v"))
 
 
-def first_traces(spark, d):
+def first_traces(spark, d, footprints=None):
     """Starting traces: each label's mean footprint weighs the frames of the movie, positive part."""
-    p = label_footprints(spark, d)
+    p = footprints if footprints is not None else label_footprints(spark, d)
     raw = p.join(M.pixels(frames(spark, d)), ["y", "x"]).groupBy("segid", "t").agg(F.greatest(F.sum(F.col("a") * F.col("v")), F.lit(0.0)).alias("v"))
     return raw
 
 
 def loss_value(spark, d):
-    p, x = label_footprints(spark, d), first_traces(spark, d).withColumnRenamed("segid", "k")
-    pairs = A.gram(p, PLACES)
+    # both are read several times, and small beside the movie
+    p = materialise(label_footprints(spark, d), "label-footprints")
+    x = materialise(first_traces(spark, d, p).withColumnRenamed("segid", "k"), "first-traces")
+    pairs = materialise(A.gram(p, PLACES), "gram")
     nx = frames(spark, d).count()
     dot = A.data_product(p, unit_pixels(spark, d), PLACES).withColumnRenamed("segid", "k")
     out = A.variance(pairs.select("i", "j", "ycov"), pairs.select("i", "j", "yout"), dot, x, nx, PLACES, 0.1, 0.1)

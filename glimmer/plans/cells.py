@@ -8,6 +8,7 @@ from ..functions.numeric import over, tidy
 from ..operators import classify as C
 from ..operators import traces as T
 from ..sources import movies as M
+from ..sources.store import materialise
 from .movie import r
 
 SIZE, FAST, SLOW, SCALE = T.double_exp()
@@ -65,8 +66,13 @@ def cells(spark, d):
     })
 
 
-def live(spark, d):
-    return cells(spark, d).where("kind = 'cell' and signal > 0")
+def kept_cells(spark, d):
+    """The statistics table as a stage file: what follows reads it several times."""
+    return materialise(cells(spark, d), "cells")
+
+
+def live(spark, d, table=None):
+    return (table if table is not None else kept_cells(spark, d)).where("kind = 'cell' and signal > 0")
 
 
 def robust_zscore(spark, d):
@@ -77,8 +83,8 @@ def mahalanobis(spark, d):
     return T.mahalanobis(live(spark, d), "firmness", "rsn", "mah").select("segid", tidy("mah").alias("mah"))
 
 
-def _scored(spark, d):
-    z = T.robust_zscore(T.robust_zscore(live(spark, d), "rsn", "zrsn"), "firmness", "zfirm")
+def _scored(spark, d, table=None):
+    z = T.robust_zscore(T.robust_zscore(live(spark, d, table), "rsn", "zrsn"), "firmness", "zfirm")
     return T.mahalanobis(z.withColumn("hypot", F.hypot("zfirm", "zrsn")), "firmness", "rsn", "mah")
 
 
@@ -107,9 +113,10 @@ def evaluate_kind(spark, d):
 
 
 def _metrics(spark, d):
-    s = _scored(spark, d).select("segid", "zrsn", "hypot", "mah")
+    own = kept_cells(spark, d)
+    s = _scored(spark, d, own).select("segid", "zrsn", "hypot", "mah")
     b = T.background_stats(spikes(spark, d).select(F.col("spkid").alias("id"), "v")).withColumnRenamed("id", "segid")
-    return cells(spark, d).join(s, "segid", "left").join(b, "segid", "left")
+    return own.join(s, "segid", "left").join(b, "segid", "left")
 
 
 def fix_kind(spark, d):

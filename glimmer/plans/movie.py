@@ -10,6 +10,7 @@ from ..operators import normalize as N
 from ..operators import peaks as P
 from ..operators import stencils as S
 from ..sources import movies as M
+from ..sources.store import materialise
 
 SIDE = M.SIDE
 RADII = P.radii("logscale", 0.8, 1.8, 3)
@@ -74,7 +75,8 @@ def frame_mean(spark, d):
 
 
 def _moments(spark, d):
-    return N.pixel_moments(frames(spark, d), SIDE, SIDE)
+    """A row a pixel, as a stage file: the scalars and the normalised movie read it again."""
+    return materialise(N.pixel_moments(frames(spark, d), SIDE, SIDE), "moments")
 
 
 def pixel_stats(spark, d):
