@@ -27,7 +27,7 @@ from .shared import cut, slices, table
 CAPACITY = 2048
 #: Chunks, and words, whose ids a Python worker remembers: two generations of so many, about 200
 #: bytes each; the older is forgotten when the newer is full, so frequent ones stay.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 240_000
 #: Fillings looked at around one largest length, and nodes of the whole search, before the incumbent is kept.
 FILLING_NODES, SEARCH_NODES = 2_000, 300_000
 
