@@ -3,8 +3,9 @@
 Each document's histogram of character classes and its histogram of common words are compared
 with the references of every language by Jensen-Shannon distance. The references are means over
 all documents of a language. A document is judged by the language it is nearest to, and only
-where it is long enough for its histogram to mean something. All features are made within the
-row; only the references are gathered.
+where it is long enough for its histogram to mean something. A document whose language has too few
+documents for a reference is not judged by the references of others: only the base rules decide.
+All features are made within the row; only the references are gathered.
 """
 
 from __future__ import annotations
@@ -112,13 +113,20 @@ def references(found: DataFrame, lang: str = "lang", bins: int | None = None) ->
     return {r["l"]: (list(r["c"]), list(r["w"])) for r in means.orderBy("l").collect()}
 
 
-def judge(found: DataFrame, known: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """Add char_distance, word_distance, base_failed and kept to rows that have ``features``."""
-    nothing = F.lit(0.0)
-    least = lambda column, at: F.least(*[divergence(column, ref[at]) for ref in known.values()], F.lit(1.0)) if known else nothing
+def judge(found: DataFrame, known: dict[str, tuple[list[float], list[float]]], lang: str | None = None) -> DataFrame:
+    """Add char_distance, word_distance, base_failed and kept to rows that have ``features``.
+
+    Where ``lang`` is given, rows of a language that is not ``known`` have no distances, and the
+    base rules alone decide; rows without a language are judged by the nearest. Without it, every
+    row is judged by the nearest. With nothing ``known`` no row has distances.
+    """
+    compared = F.lit(bool(known))
+    if lang is not None and known:
+        compared = F.coalesce(F.col(lang), F.lit("")).isin("", *known)
+    least = lambda column, at: F.least(*[divergence(column, ref[at]) for ref in known.values()], F.lit(1.0)) if known else F.lit(None).cast("double")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     rows = found.withColumns({"_c": shares(F.col("_chars")), "_w": shares(F.col("_common"))})
-    far = lambda column, guard, at: F.when(F.col("n_words") >= guard, F.sqrt(F.greatest(least(F.col(column), at), F.lit(0.0))))
+    far = lambda column, guard, at: F.when(compared & (F.col("n_words") >= guard), F.sqrt(F.greatest(least(F.col(column), at), F.lit(0.0))))
     rows = rows.withColumns({
         "char_distance": far("_c", CHAR_GUARD, 0),
         "word_distance": far("_w", WORD_GUARD, 1),
@@ -133,8 +141,16 @@ def judge(found: DataFrame, known: dict[str, tuple[list[float], list[float]]]) -
     return rows.withColumn("kept", ~(F.col("base_failed") | odd)).drop("_c", "_w")
 
 
-def quality(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns ``keep`` of every row with its base counts, distances and verdict.
+def verdicts(found: DataFrame) -> DataFrame:
+    """``judge`` by the languages that have a reference; rows without a language give none."""
+    known = references(found, "_lang")
+    known.pop("", None)
+    return judge(found, known, "_lang")
+
+
+def quality(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", lang: str = "lang", nearest: bool = False) -> DataFrame:
+    """The columns ``keep`` of every row with its base counts, distances and verdict; with
+    ``nearest``, rows of languages without a reference are judged by the nearest other one.
 
     Null and empty texts have no words and fail. Texts of one endless word, only white space or
     only symbols are counted like any other. Repeated rows are judged alike, each for itself.
@@ -142,18 +158,20 @@ def quality(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "tex
     """
     picked = docs.select(*keep, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     found = cut(features(picked, "_text").drop("_text"), "quality")
-    return judge(found, references(found, "_lang")).drop("_lang", "_chars", "_common")
+    judged = judge(found, references(found, "_lang")) if nearest else verdicts(found)
+    return judged.drop("_lang", "_chars", "_common")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
     named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     found = cut(features(named, "_text").drop("_text"), "quality-rows")
-    return judge(found, references(found, "_lang")).where("kept").select("_row.*")
+    return verdicts(found).where("kept").select("_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).select(
+    # as its SQL has it: every row is judged by the nearest reference
+    return quality(table(spark, sf_dir, "documents"), nearest=True).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
     )
@@ -177,7 +195,8 @@ WITH texts AS (
 ), s4 AS (SELECT *, regexp_replace(s3, '\p{{Nd}}+', '', 'g') AS s4 FROM s3
 ), s5 AS (SELECT *, regexp_replace(s4, '[#*$%&|<>]+', '', 'g') AS s5,
             list_filter(regexp_split_to_array(s0, '{WORD_BREAK}'), lambda w: w <> '') AS words,
-            list_filter(string_split(s0, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM s4
+            list_filter(string_split(s0, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM s4
 ), win AS (
   SELECT rid, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM s5 WHERE len(words) >= {WINDOW})
 ), twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS c FROM win) WHERE c > 1

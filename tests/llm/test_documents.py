@@ -245,6 +245,25 @@ def test_verdicts_follow_the_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.2
 
 
+def test_small_languages_are_not_judged_by_others(docs):
+    """Sixteen long Spanish documents give no reference: the base rules alone decide, also without any reference."""
+    from pyspark.sql import functions as F
+
+    found = quality.quality(docs, ("doc_id", "lang")).collect()
+    spanish = [r for r in found if r["lang"] == "es"]
+    assert len(spanish) == 17 and all(r["kept"] != r["base_failed"] and r["word_distance"] is None for r in spanish)
+    assert any(not r["kept"] and not r["base_failed"] for r in found)
+    kept = {r["doc_id"] for r in quality.keep_good(docs).collect()}
+    assert kept == {r["doc_id"] for r in found if r["kept"]}
+    alone = quality.quality(docs.where("lang = 'es'")).collect()
+    assert len(alone) == 17 and all(r["kept"] != r["base_failed"] and r["char_distance"] is None for r in alone)
+    # rows without a language are judged by the languages that are known, and are none of their own
+    unnamed = docs.withColumn("lang", F.when(docs.lang != "es", docs.lang))
+    without = {r["doc_id"]: r["kept"] for r in quality.quality(unnamed).collect()}
+    assert sum(not without[r["doc_id"]] and not r["base_failed"] for r in spanish) >= 10
+    assert all(r["char_distance"] is None for r in quality.quality(docs.withColumn("lang", F.lit(None).cast("string"))).collect())
+
+
 # ---- op9 ----
 
 
