@@ -3,6 +3,7 @@
 Each pass draws random hyperplanes; a vector's key is the concatenation of the signs. Vectors are
 ordered by pass and key, every vector is compared in double precision with a bounded window of its
 followers, and verified pairs are united across passes. Equal vectors collapse before the passes.
+The number of passes grows with the number of different vectors, so that recall does not fall.
 Within the components so found, all pairs are then verified in blocks, so that the links counted
 are all the component's links and not only those that a window showed.
 """
@@ -18,11 +19,21 @@ from .shared import cut, table
 from .simhash import roots
 
 COSINE = 0.9
-#: Passes, signs a key, followers a vector is compared with.
+#: Passes at least, signs a key, followers a vector is compared with.
 PASSES, SIGNS, WINDOW = 24, 64, 24
 #: Rows of a component that one task compares with as many others.
 BLOCK = 4_096
 SEED = 77
+#: Expected share of isolated pairs just at the cosine that some window shows.
+RECALL = 0.99
+
+
+def passes_for(count: int, cosine: float) -> int:
+    """Passes that show a pair at ``cosine`` with chance RECALL among ``count`` spread vectors. One
+    pass shows it where about log2(count / WINDOW) leading signs agree, each with chance 1 - angle / pi."""
+    agree = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    shown = agree ** np.log2(max(count / WINDOW, 1))
+    return PASSES if shown >= 1 else max(PASSES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-shown))))
 
 
 def planes(size: int, one_pass: int) -> np.ndarray:
@@ -36,7 +47,7 @@ def matrix(column) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def keyed(vectors: DataFrame) -> DataFrame:
+def keyed(vectors: DataFrame, passes: int) -> DataFrame:
     """(pass, key, node, v): every vector once a pass, its signs as a number that orders like their text."""
 
     def run(batches):
@@ -47,13 +58,13 @@ def keyed(vectors: DataFrame) -> DataFrame:
             for size in np.unique(batch.column("size").to_numpy()):
                 own = batch.filter(pa.array(batch.column("size").to_numpy() == size))
                 units = matrix(own.column("v"))
-                for p in range(PASSES):
+                for p in range(passes):
                     if (p, size) not in drawn:
                         drawn[p, size] = planes(int(size), p)
                     signs = units @ drawn[p, size] > 0
                     keys = np.packbits(signs, axis=1).copy().view(">u8").ravel().astype(np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), int(size) * PASSES + p, np.int32)), pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), own.column("node"), own.column("v")],
+                        [pa.array(np.full(len(keys), int(size) * passes + p, np.int32)), pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), own.column("node"), own.column("v")],
                         ["pass", "key", "node", "v"],
                     )
 
@@ -61,14 +72,18 @@ def keyed(vectors: DataFrame) -> DataFrame:
     return vectors.select("node", "v", F.size("v").alias("size")).mapInArrow(run, f"pass int, key bigint, node {kinds['node']}, v {kinds['v']}")
 
 
-def window_links(vectors: DataFrame, cosine: float) -> DataFrame:
+def window_links(vectors: DataFrame, cosine: float, passes: int) -> DataFrame:
     """Edges (a, b) that connect what the windows of all passes link: in each run of rows, each
-    node with the least node it reaches there."""
+    node with the least node it reaches there. The first and last WINDOW rows of every partition
+    meet once more by pass, so that windows reach over the partitions' borders."""
+    kinds = dict(vectors.dtypes)
+    node = kinds["node"]
 
-    def run(batches):
+    def links(batches, borders):
         import pyarrow as pa
 
         held: list = [None, None, None]
+        empty = lambda n, name: pa.nulls(n, out.field(name).type)
 
         def compare(passes, nodes, units, fresh):
             """Links of rows from ``fresh`` on with rows up to WINDOW before them."""
@@ -83,9 +98,30 @@ def window_links(vectors: DataFrame, cosine: float) -> DataFrame:
                 return None
             label = roots(len(nodes), np.concatenate(a), np.concatenate(b))
             moved = np.flatnonzero(label != np.arange(len(nodes)))
-            return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"]) if len(moved) else None
+            if not len(moved):
+                return None
+            ends = [pa.array(nodes[moved]), pa.array(nodes[label[moved]])]
+            return pa.RecordBatch.from_arrays([*ends, *[empty(len(moved), c) for c in ("pass", "key", "v")]], schema=out)
+
+        def border(rows):
+            own = [rows.column("node"), empty(rows.num_rows, "b")]
+            return pa.RecordBatch.from_arrays([*own, *[rows.column(c) for c in ("pass", "key", "v")]], schema=out)
 
+        out, seen, last = None, 0, []
         for batch in batches:
+            if out is None:
+                types = [batch.schema.field(c).type for c in ("node", "node", "pass", "key", "v")]
+                out = pa.schema(list(zip(("a", "b", "pass", "key", "v"), types, strict=True)))
+            if not batch.num_rows:
+                continue
+            if borders:
+                if seen < WINDOW:
+                    yield border(batch.slice(0, WINDOW - seen))
+                start = max(0, batch.num_rows - WINDOW)
+                last.append((seen + start, batch.slice(start)))
+                while len(last) > 1 and seen + batch.num_rows - last[1][0] >= WINDOW:
+                    last.pop(0)
+                seen += batch.num_rows
             width = np.unique(np.diff(batch.column("v").offsets.to_numpy()))
             if len(width) > 1:  # vectors of several lengths: passes do not mix them, so take runs
                 cuts = np.flatnonzero(np.diff(batch.column("pass").to_numpy())) + 1
@@ -101,10 +137,17 @@ def window_links(vectors: DataFrame, cosine: float) -> DataFrame:
                 if (found := compare(passes, nodes, units, fresh)) is not None:
                     yield found
                 held = [passes[-WINDOW:], nodes[-WINDOW:], units[-WINDOW:]]
+        for at, rows in last:
+            skip = max(WINDOW, seen - WINDOW) - at  # the first WINDOW rows are out already
+            if skip < rows.num_rows:
+                yield border(rows.slice(max(skip, 0)))
 
-    ordered = keyed(vectors).repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
-    node = dict(vectors.dtypes)["node"]
-    return ordered.mapInArrow(run, f"a {node}, b {node}").distinct()
+    form = f"a {node}, b {node}, pass int, key bigint, v {kinds['v']}"
+    ordered = keyed(vectors, passes).repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
+    found = cut(ordered.mapInArrow(lambda batches: links(batches, True), form), "windows")
+    rows = found.where("b is null").select("pass", "key", F.col("a").alias("node"), "v")
+    across = rows.repartition("pass").sortWithinPartitions("pass", "key", "node").mapInArrow(lambda batches: links(batches, False), form)
+    return found.where("b is not null").select("a", "b").union(across.select("a", "b")).distinct()
 
 
 def block_links(members: DataFrame, cosine: float) -> DataFrame:
@@ -156,7 +199,7 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector: str = "e
     named = own.withColumn("_key", F.xxhash64("_v"))
     # equal vectors collapse; the key only spreads them, the vector itself decides
     classes = cut(named.where("_v is not null").groupBy("_key", "_v").agg(F.min("_id").alias("node"), F.count("*").alias("copies")), "vectors").withColumnRenamed("_v", "v")
-    groups = cut(components(cut(window_links(classes, cosine), "window-links"), "a", "b"), "vector-groups")
+    groups = cut(components(cut(window_links(classes, cosine, passes_for(classes.count(), cosine)), "window-links"), "a", "b"), "vector-groups")
     members = classes.join(groups, "node").select("node", "component", "copies", "v")
     counted = block_links(members, cosine)
     known = cut(
