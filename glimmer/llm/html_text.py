@@ -3,7 +3,9 @@
 Every node's density is its characters per tag, adjusted by the share of link text; a node's
 density sum adds its children's densities. The body's threshold is the least density on the path
 from the body to the densest subtree; the node with the largest density sum is the root of the
-article, and its blocks that reach the threshold, or are no boilerplate, give the text.
+article, or an ancestor that adds much text in blocks that reach the threshold. Containers below
+the root that do not reach it are left out. What tags and classes mark as boilerplate is left out
+too, unless the page would lose its article or most of its text by that.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ CLOSED_BY = {
     "option": frozenset({"option", "optgroup"}),
 }
 BARRIERS = frozenset("table td th ul ol dl article section div main body html aside nav footer header form blockquote".split())
+#: Elements that group blocks, which the threshold can leave out; lists and tables only if mostly links.
+CONTAINERS, LISTS = frozenset("div section center fieldset".split()), frozenset("ul ol dl table".split())
+#: What a node's own tag and attributes say: text, boilerplate, or never shown.
+PLAIN, MARKED, HIDDEN = 0, 1, 2
 #: Words in class or id that mark boilerplate, whole between separators.
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adbox|banner|promo|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|"
@@ -45,11 +51,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "parent", "mark", "skip", "low", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool) -> None:
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, mark: int) -> None:
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.children: list = []  # nodes and texts
+        self.skip = self.low = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -58,23 +65,26 @@ def attributes(source: str) -> dict[str, str]:
     return {name.lower(): html.unescape(a or b or c) for name, a, b, c in ATTRIBUTE.findall(source)}
 
 
-def is_boilerplate(tag: str, source: str) -> bool:
-    """Whether a tag says of itself that it holds no article text."""
-    if tag in SKIPPED:
-        return True
+def mark_of(tag: str, source: str) -> int:
+    """What a tag says of itself: MARKED if it holds no article text, HIDDEN if it is not shown."""
+    if tag in RAW or tag in {"head", "datalist"}:
+        return HIDDEN
+    by_tag = MARKED if tag in SKIPPED else PLAIN
     if not source or "=" not in source and "hidden" not in source:
-        return False
+        return by_tag
     have = attributes(source)
     if "hidden" in have or have.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", have.get("style", ""), re.I):
-        return True
+        return HIDDEN
     if have.get("role", "").lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}:
-        return True
-    return tag not in {"html", "body", "article", "main"} and any(BOILERPLATE.search(have.get(k, "")) for k in ("class", "id"))
+        return MARKED
+    if tag not in {"html", "body", "article", "main"} and any(BOILERPLATE.search(have.get(k, "")) for k in ("class", "id")):
+        return MARKED
+    return by_tag
 
 
 def parse(source: str) -> Node:
     """A tree that follows the elements' implied ends; stray end tags are dropped."""
-    root = here = Node("html", None, False)
+    root = here = Node("html", None, PLAIN)
     at = 0
     for start, end, closing, tag, rest in iter_tokens(source):
         if start > at:
@@ -101,11 +111,9 @@ def parse(source: str) -> Node:
                 here = node.parent
                 break
             node = node.parent
-        new = Node(tag, here, here.skip or is_boilerplate(tag, rest))
+        new = Node(tag, here, mark_of(tag, rest))
         here.children.append(new)
-        if tag in RAW:
-            new.skip = True
-        elif tag not in VOID and not rest.rstrip().endswith("/"):
+        if tag not in RAW and tag not in VOID and not rest.rstrip().endswith("/"):
             here = new
     if at < len(source):
         here.children.append(source[at:])
@@ -124,15 +132,15 @@ def iter_tokens(source: str):
         yield found.start(), at, bool(found[1]), tag, found[3] or ""
 
 
-def measure(root: Node) -> list[Node]:
-    """Counts and densities from the leaves up, without recursion; all nodes in page order."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+def plain(node: Node) -> int:
+    """Characters outside links."""
+    return node.chars - node.link_chars
+
+
+def count(order: list[Node]) -> None:
+    """Characters and tags from the leaves up, without the texts of skipped nodes."""
     for node in reversed(order):
-        in_link = node.tag == "a"
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
             if isinstance(c, Node):
                 node.tags += c.tags + 1
@@ -141,13 +149,57 @@ def measure(root: Node) -> list[Node]:
                 node.link_tags += c.link_tags + (c.tag == "a")
             elif not node.skip:
                 node.chars += len(c) - c.count(" ") if c.strip() else 0
-        if in_link:
+        if node.tag == "a":
             node.link_chars = node.chars
+
+
+def skip_boilerplate(root: Node, order: list[Node]) -> None:
+    """Set ``skip`` and the counts. Hidden nodes are skipped with all below them, and so are marked
+    nodes, unless no article or main element is outside marked nodes and the node holds the largest
+    one, with as much plain text as all that is unmarked, or three quarters of the page's plain text."""
+    for node in order:
+        node.skip = node.mark == HIDDEN or node.parent is not None and node.parent.skip
+    count(order)
+    if not any(n.mark == MARKED and not n.skip for n in order):
+        return
+    under: set[Node] = set()
+    left, free, top = plain(root), False, None
+    for n in order:
+        if n.parent in under:
+            under.add(n)
+        elif n.mark == MARKED:
+            under.add(n)
+            left -= plain(n)
+        if n.tag in {"article", "main"} and n.mark == PLAIN and plain(n) > 0:
+            free |= n not in under
+            if top is None or plain(n) > plain(top):
+                top = n
+    holds: set[Node] = set()
+    if top is not None and plain(top) >= left:
+        node = top.parent
+        while node is not None:
+            holds.add(node)
+            node = node.parent
+    most = max(1.0, 0.75 * plain(root))
+    for n in order:
+        spared = not free and (n in holds or plain(n) >= most and (n.tag == "form" or n.tag not in SKIPPED))
+        n.skip |= n.parent is not None and n.parent.skip or n.mark == MARKED and not spared
+    count(order)
+
+
+def measure(root: Node) -> list[Node]:
+    """Counts and densities from the leaves up, without recursion; all nodes in page order."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    skip_boilerplate(root, order)
     body_chars, body_links = max(1, root.chars), max(1, root.link_chars)
     for node in reversed(order):
         if node.chars and not node.skip:
-            plain, tags, links, link_tags = max(1, node.chars - node.link_chars), max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-            ratio = node.chars / plain * node.link_chars + body_links / body_chars * node.chars
+            words, tags, links, link_tags = max(1, plain(node)), max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
+            ratio = node.chars / words * node.link_chars + body_links / body_chars * node.chars
             base = max(math.e, ratio + math.e)
             node.density = node.chars / tags * math.log(max(1.0001, node.chars / links * tags / link_tags)) / math.log(math.log(base) + 1.0001)
         node.total = sum(c.density for c in node.children if isinstance(c, Node)) or node.density
@@ -156,8 +208,9 @@ def measure(root: Node) -> list[Node]:
 
 def article_root(root: Node) -> Node:
     """The subtree with the largest density sum; an article or main element that holds most of
-    the page's plain text stands for it, and so does the nearest ancestor that holds much more
-    plain text without being less dense than the body's threshold."""
+    the page's plain text and reaches the body's threshold stands for it, and so does the nearest
+    ancestor that holds much more plain text in blocks that reach it. Sets ``low`` for the
+    containers that do not."""
     order = [n for n in measure(root) if not n.skip and n.chars]
     if not order:
         return root
@@ -167,14 +220,28 @@ def article_root(root: Node) -> Node:
         path.append(node)
         node = node.parent
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
-    plain = lambda n: n.chars - n.link_chars
-    marked = [n for n in order if n.tag in {"article", "main"} and plain(n) > 0]
+    for n in order:
+        n.low = n.density < threshold and (n.tag in CONTAINERS or n.tag in LISTS and 2 * n.link_chars > n.chars)
+    marked = [n for n in order if n.tag in {"article", "main"} and plain(n) > 0 and n.density >= threshold]
     if marked:
         top = max(marked, key=plain)
         if 2 * plain(top) >= plain(root):
             return top
+    # plain text without what is low: each low node's own, once, is taken off its ancestors on the path
+    kept = {n: plain(n) for n in path}
+    inside: set[Node] = set()
+    for n in order:
+        if n.parent in inside:
+            inside.add(n)
+        elif n.low:
+            inside.add(n)
+            above = n.parent
+            while above is not None:
+                if above in kept:
+                    kept[above] -= plain(n)
+                above = above.parent
     for n in path:
-        if n.density >= threshold and plain(n) > 1.2 * plain(best) and n.tag not in {"p", "span"}:
+        if kept[n] > 1.2 * kept[best] and n.tag not in {"p", "span"}:
             best = n
     return best
 
@@ -197,7 +264,7 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif isinstance(one, str):
             run.append(one)
-        elif one.skip:
+        elif one.skip or one.low and one is not node:
             if one.tag not in INLINE and one.tag not in RAW:
                 flush()
         elif one.tag == "br":

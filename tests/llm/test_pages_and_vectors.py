@@ -31,6 +31,29 @@ def test_main_text(page, want):
     assert isinstance(got, str) and (want is None or got == want)
 
 
+LONG_TEXT = "A sentence of the article that goes on for a while, and on. " * 8
+LINES = f"<p>{LONG_TEXT}</p><p>{LONG_TEXT}</p>"
+WANT = "\n".join([LONG_TEXT.strip()] * 2)
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>More {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='layout has-sidebar'><article>{LINES}</article></div></body>",
+        f"<body><div class='content no-comments'>{LINES}</div></body>",
+        f"<body><form id=page method=post><nav><a href=/>Home</a></nav><div class=text>{LINES}</div></form></body>",
+        f"<body><form><div class='with sidebar'><main>{LINES}</main></div><aside>Buy it</aside></form></body>",
+        f"<body><article>{LINES}<div class=x><a href=a>Buy</a> <a href=b>now</a> cheap</div></article>{LINKS}</body>",
+        f"<body><div class=box>{LINES}<div class=y>{LINKS}</div></div><div class=z>{LINKS}</div></body>",
+        f"<body><article>{LINES}</article><div class=comments><article>Me too. {LONG_TEXT * 4}</article></div></body>",
+        f"<body><article>{LINES}</article><div hidden><article>{LONG_TEXT * 9}</article></div></body>",
+    ],
+)
+def test_wrappers_stay_and_unmarked_boilerplate_goes(page):
+    assert html_text.main_text(page) == WANT
+
+
 def test_pages_give_their_articles(spark):
     rows = {r["page_id"]: r for r in html_text.op6_html_extraction(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
