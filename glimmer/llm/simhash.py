@@ -203,28 +203,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     A null id gets the component of its fingerprint (null if all ids there are null). Other columns
     are not read; an empty table gives an empty result.
     """
+    return grouped(docs, id_column, text, distance).select(id_column, "fp", "component_id")
+
+
+def grouped(docs: DataFrame, id_column: str, text: str, distance: int = DISTANCE) -> DataFrame:
+    """``near_duplicates`` with ``first_fp``: the least fingerprint that has the id ``component_id`` in the group."""
     own = cut(fingerprints(docs, id_column, text), "fingerprints")
     distinct = cut(own.groupBy("fp").agg(F.min(id_column).alias("least")), "distinct-fingerprints")
     groups = components(links(distinct, distance), "a", "b")
     joined = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(joined.join(least, "component").select("fp", "component_id"), "named-fingerprints")
-    return own.join(named, "fp").select(id_column, "fp", "component_id")
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", F.col("fp").alias("first_fp"))))
+    least = joined.groupBy("component").agg(first.alias("first")).select("component", F.col("first.least").alias("component_id"), "first.first_fp")
+    named = cut(joined.join(least, "component").select("fp", "component_id", "first_fp"), "named-fingerprints")
+    return own.join(named, "fp").select(id_column, "fp", "component_id", "first_fp")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group, the row with the smallest id
-    stays, one of them if the id is repeated. Rows without an id cannot be told apart and stay."""
-    found = cut(near_duplicates(docs, id_column, text), "groups")
-    keep = found.where(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count("*").alias("_rows"))
-    kept = docs.join(keep, id_column)
-    twice = keep.where("_rows > 1").limit(1).count() > 0
-    stay = kept.where("_rows = 1") if twice else kept
-    out = stay.select(*docs.columns)
-    if twice:
-        out = out.unionByName(kept.where("_rows > 1").dropDuplicates([id_column]).select(*docs.columns))
+    """The rows of ``docs`` without near duplicates: of each group, a row with the smallest id stays.
+    Rows of a repeated id are told apart by their fingerprints. Rows without an id cannot be told
+    apart and stay."""
+    found = cut(grouped(docs, id_column, text), "groups")
+    first = (F.col(id_column) == F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
+    ids = found.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count("*").alias("_rows"), F.max(first).alias("_stay"))
+    stay_ids = cut(ids.where("_stay"), "kept-ids")
+    out = docs.join(stay_ids.where("_rows = 1"), id_column).select(*docs.columns)
+    if stay_ids.where("_rows > 1").limit(1).count():
+        rows = docs.join(stay_ids.where("_rows > 1"), id_column).select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+        own = fingerprints(rows, "_row", "_text").select("_row", F.col(f"_row.{id_column}").alias("_id"), F.col("fp").alias("_fp"))
+        stay = found.where(first).select(F.col(id_column).alias("_id"), F.col("fp").alias("_fp")).distinct()
+        out = out.unionByName(own.join(stay, ["_id", "_fp"]).dropDuplicates(["_id", "_fp"]).select("_row.*"))
     return out.unionByName(docs.where(F.col(id_column).isNull()))
 
 

@@ -187,6 +187,15 @@ def test_odd_rows_have_groups(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_repeated_ids_of_several_groups_stay(spark):
+    """One id begins two groups, another has a row in a foreign group and is the least of its own."""
+    one, two, three, four = ([f"{name}{i}" for i in range(40)] for name in ("red", "green", "blue", "grey"))
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, two), (4, three), (5, four), (4, one), (6, three)]
+    table = spark.createDataFrame([(i, " ".join(words), "x") for i, words in rows], "doc_id long, text string, fp string").repartition(3)
+    kept = sorted((r["doc_id"], r["text"].split()[0]) for r in simhash.drop_near_duplicates(table).collect())
+    assert kept == [(1, "green0"), (1, "red0"), (4, "blue0"), (5, "grey0")]
+
+
 # ---- op4 ----
 
 
