@@ -1,15 +1,16 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step groups by node, so a task holds a node's minimum and never a whole component;
-the number of rounds is logarithmic in the longest path. Every round is cut to the shared
-folder. Nothing of the graph reaches the driver but one checksum per round."""
+Each step needs a node's least neighbour only; the edges of a node with many neighbours are
+dealt to many tasks, so neither a component nor a hub is ever in one. The number of rounds is
+logarithmic in the longest path. Every round is cut to the shared folder. Nothing of the graph
+reaches the driver but one checksum per round."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import beside, cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,12 +20,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     else:
         seen = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = seen.join(least, "u")
+    linked = beside(seen, "u", "v", F.min("v"), F.min, "m").withColumn("m", F.least("u", "m"))
     if large:
         out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
+        out = linked.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
     return out.where("a <> b").distinct()
 
 

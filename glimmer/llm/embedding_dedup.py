@@ -1,11 +1,13 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 Each pass draws random hyperplanes; a vector's key is the concatenation of the signs. Vectors are
-ordered by pass and key, every vector is compared in double precision with a bounded window of its
-followers, and verified pairs are united across passes. Equal vectors collapse before the passes.
+ordered by pass and key, every vector is compared with a bounded window of its followers, and
+verified pairs are united across passes. Equal vectors collapse before the passes. What moves
+through the passes is the unit vector in half precision: pairs so near the limit that rounding
+could decide them are verified once more on the vectors themselves in double precision.
 The number of passes grows with the number of different vectors, so that recall does not fall.
-Within the components so found, all pairs are then verified in blocks, so that the links counted
-are all the component's links and not only those that a window showed.
+Within the components so found, all pairs are then verified in blocks in double precision, so that
+the links counted are all the component's links and not only those that a window showed.
 """
 
 from __future__ import annotations
@@ -15,17 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, table
+from .shared import beside, cut, table
 from .simhash import roots
 
 COSINE = 0.9
 #: Passes at least, signs a key, followers a vector is compared with.
-PASSES, SIGNS, WINDOW = 24, 64, 24
-#: Rows of a component that one task compares with as many others.
-BLOCK = 4_096
+PASSES, SIGNS, WINDOW = 8, 64, 256
+#: Rows of a component that one task compares with as many others; smaller components of more than
+#: SPLIT rows are split as well.
+BLOCK, SPLIT = 4_096, 128
 SEED = 77
 #: Expected share of isolated pairs just at the cosine that some window shows.
 RECALL = 0.99
+#: What rounding two unit vectors to half precision can change in their product: twice half a unit
+#: in the last of 11 digits, and a little for sums in single precision.
+ROUNDING = 2.0**-10 + 2.0**-13
 
 
 def passes_for(count: int, cosine: float) -> int:
@@ -48,7 +54,8 @@ def matrix(column) -> np.ndarray:
 
 
 def keyed(vectors: DataFrame, passes: int) -> DataFrame:
-    """(pass, key, node, v): every vector once a pass, its signs as a number that orders like their text."""
+    """(pass, key, node, half): every vector once a pass, its signs as a number that orders like
+    their text, and its unit vector in half precision as bytes. Lengths do not share passes."""
 
     def run(batches):
         import pyarrow as pa
@@ -58,26 +65,45 @@ def keyed(vectors: DataFrame, passes: int) -> DataFrame:
             for size in np.unique(batch.column("size").to_numpy()):
                 own = batch.filter(pa.array(batch.column("size").to_numpy() == size))
                 units = matrix(own.column("v"))
+                halves = np.ascontiguousarray(units.astype("<f2"))
+                ends = np.arange(len(units) + 1, dtype=np.int32) * (2 * int(size))
+                packed = pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(ends), pa.py_buffer(halves)])
                 for p in range(passes):
                     if (p, size) not in drawn:
                         drawn[p, size] = planes(int(size), p)
                     signs = units @ drawn[p, size] > 0
                     keys = np.packbits(signs, axis=1).copy().view(">u8").ravel().astype(np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), int(size) * passes + p, np.int32)), pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), own.column("node"), own.column("v")],
-                        ["pass", "key", "node", "v"],
+                        [pa.array(np.full(len(keys), int(size) * passes + p, np.int32)), pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), own.column("node"), packed],
+                        ["pass", "key", "node", "half"],
                     )
 
     kinds = dict(vectors.dtypes)
-    return vectors.select("node", "v", F.size("v").alias("size")).mapInArrow(run, f"pass int, key bigint, node {kinds['node']}, v {kinds['v']}")
-
-
-def window_links(vectors: DataFrame, cosine: float, passes: int) -> DataFrame:
+    return vectors.select("node", "v", F.size("v").alias("size")).mapInArrow(run, f"pass int, key bigint, node {kinds['node']}, half binary")
+
+
+def window_pairs(passes: np.ndarray, units: np.ndarray, fresh: int, cosine: float, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows from ``fresh`` on with rows up to ``window`` before them in the same pass, where their
+    product is about ``cosine`` or more: the earlier row, the later row, whether rounding may decide."""
+    left, right, unsure = [], [], []
+    for start in range(fresh, len(units), window):
+        stop, low = min(start + window, len(units)), max(0, start - window)
+        near = units[start:stop] @ units[low:stop].T
+        i, j = np.nonzero(near >= cosine - ROUNDING)
+        a, b = j + low, i + start
+        stay = (a < b) & (b - a <= window) & (passes[a] == passes[b])
+        left.append(a[stay])
+        right.append(b[stay])
+        unsure.append(near[i[stay], j[stay]] < cosine + ROUNDING)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, unsure))
+
+
+def window_links(vectors: DataFrame, cosine: float, passes: int, window: int = WINDOW) -> DataFrame:
     """Edges (a, b) that connect what the windows of all passes link: in each run of rows, each
-    node with the least node it reaches there. The first and last WINDOW rows of every partition
-    meet once more by pass, so that windows reach over the partitions' borders."""
-    kinds = dict(vectors.dtypes)
-    node = kinds["node"]
+    node with the least node it reaches there. The first and last ``window`` rows of every partition
+    meet once more by pass, so that windows reach over the partitions' borders. Pairs that rounding
+    may decide, unless other links join them in their run, are verified on the vectors."""
+    node = dict(vectors.dtypes)["node"]
 
     def links(batches, borders):
         import pyarrow as pa
@@ -85,76 +111,72 @@ def window_links(vectors: DataFrame, cosine: float, passes: int) -> DataFrame:
         held: list = [None, None, None]
         empty = lambda n, name: pa.nulls(n, out.field(name).type)
 
-        def compare(passes, nodes, units, fresh):
-            """Links of rows from ``fresh`` on with rows up to WINDOW before them."""
-            a, b = [], []
-            for step in range(1, min(WINDOW, len(nodes) - 1) + 1):
-                right = np.arange(max(step, fresh), len(nodes))
-                left = right - step
-                close = (passes[left] == passes[right]) & ((units[left] * units[right]).sum(1) >= cosine)
-                a.append(left[close])
-                b.append(right[close])
-            if not a:
-                return None
-            label = roots(len(nodes), np.concatenate(a), np.concatenate(b))
-            moved = np.flatnonzero(label != np.arange(len(nodes)))
-            if not len(moved):
-                return None
-            ends = [pa.array(nodes[moved]), pa.array(nodes[label[moved]])]
-            return pa.RecordBatch.from_arrays([*ends, *[empty(len(moved), c) for c in ("pass", "key", "v")]], schema=out)
+        def edges(a, b, unsure):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), unsure)), *[empty(len(a), c) for c in ("pass", "key", "half")]], schema=out)
 
         def border(rows):
-            own = [rows.column("node"), empty(rows.num_rows, "b")]
-            return pa.RecordBatch.from_arrays([*own, *[rows.column(c) for c in ("pass", "key", "v")]], schema=out)
+            own = [rows.column("node"), empty(rows.num_rows, "b"), empty(rows.num_rows, "unsure")]
+            return pa.RecordBatch.from_arrays([*own, *[rows.column(c) for c in ("pass", "key", "half")]], schema=out)
 
         out, seen, last = None, 0, []
         for batch in batches:
             if out is None:
-                types = [batch.schema.field(c).type for c in ("node", "node", "pass", "key", "v")]
-                out = pa.schema(list(zip(("a", "b", "pass", "key", "v"), types, strict=True)))
+                kind = batch.schema.field("node").type
+                out = pa.schema([("a", kind), ("b", kind), ("unsure", pa.bool_()), *[(c, batch.schema.field(c).type) for c in ("pass", "key", "half")]])
             if not batch.num_rows:
                 continue
             if borders:
-                if seen < WINDOW:
-                    yield border(batch.slice(0, WINDOW - seen))
-                start = max(0, batch.num_rows - WINDOW)
+                if seen < window:
+                    yield border(batch.slice(0, window - seen))
+                start = max(0, batch.num_rows - window)
                 last.append((seen + start, batch.slice(start)))
-                while len(last) > 1 and seen + batch.num_rows - last[1][0] >= WINDOW:
+                while len(last) > 1 and seen + batch.num_rows - last[1][0] >= window:
                     last.pop(0)
                 seen += batch.num_rows
-            width = np.unique(np.diff(batch.column("v").offsets.to_numpy()))
-            if len(width) > 1:  # vectors of several lengths: passes do not mix them, so take runs
-                cuts = np.flatnonzero(np.diff(batch.column("pass").to_numpy())) + 1
-                parts = [batch.slice(s, e - s) for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True)]
-            else:
-                parts = [batch]
-            for part in parts:
-                passes, nodes, units = part.column("pass").to_numpy(), part.column("node").to_numpy(), matrix(part.column("v"))
+            sizes = np.diff(np.frombuffer(batch.column("half").buffers()[1], np.int32)[batch.column("half").offset :][: batch.num_rows + 1])
+            cuts = np.flatnonzero(np.diff(sizes)) + 1  # vectors of several lengths are in different passes
+            for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                part = batch.slice(s, e - s)
+                raw = b"".join(part.column("half").to_pylist())
+                order, nodes = part.column("pass").to_numpy(), part.column("node").to_numpy()
+                units = np.frombuffer(raw, "<f2").reshape(e - s, -1).astype(np.float32)
                 fresh = 0
                 if held[0] is not None and held[2].shape[1] == units.shape[1]:
                     fresh = len(held[0])
-                    passes, nodes, units = (np.concatenate([x, y]) for x, y in zip(held, (passes, nodes, units), strict=True))
-                if (found := compare(passes, nodes, units, fresh)) is not None:
-                    yield found
-                held = [passes[-WINDOW:], nodes[-WINDOW:], units[-WINDOW:]]
+                    order, nodes, units = (np.concatenate([x, y]) for x, y in zip(held, (order, nodes, units), strict=True))
+                a, b, unsure = window_pairs(order, units, fresh, cosine, window)
+                if len(a):
+                    label = roots(len(nodes), a[~unsure], b[~unsure])
+                    moved = np.flatnonzero(label != np.arange(len(nodes)))
+                    yield edges(nodes[moved], nodes[label[moved]], False)
+                    apart = unsure & (label[a] != label[b])
+                    yield edges(nodes[a[apart]], nodes[b[apart]], True)
+                held = [order[-window:], nodes[-window:], units[-window:]]
         for at, rows in last:
-            skip = max(WINDOW, seen - WINDOW) - at  # the first WINDOW rows are out already
+            skip = max(window, seen - window) - at  # the first are out already
             if skip < rows.num_rows:
                 yield border(rows.slice(max(skip, 0)))
 
-    form = f"a {node}, b {node}, pass int, key bigint, v {kinds['v']}"
+    form = f"a {node}, b {node}, unsure boolean, pass int, key bigint, half binary"
     ordered = keyed(vectors, passes).repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
     found = cut(ordered.mapInArrow(lambda batches: links(batches, True), form), "windows")
-    rows = found.where("b is null").select("pass", "key", F.col("a").alias("node"), "v")
+    rows = found.where("b is null").select("pass", "key", F.col("a").alias("node"), "half")
     across = rows.repartition("pass").sortWithinPartitions("pass", "key", "node").mapInArrow(lambda batches: links(batches, False), form)
-    return found.where("b is not null").select("a", "b").union(across.select("a", "b")).distinct()
+    every = cut(found.where("b is not null").union(across).select("a", "b", "unsure").distinct(), "window-edges")
+    ends = [vectors.select(F.col("node").alias(c), F.col("v").alias(f"v{c}")) for c in ("a", "b")]
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    product = total("va", "vb") / F.sqrt(total("va", "va") * total("vb", "vb"))
+    verified = every.where("unsure").join(ends[0], "a").join(ends[1], "b").where(product >= cosine)
+    return every.where("not unsure").select("a", "b").union(verified.select("a", "b"))
 
 
 def block_links(members: DataFrame, cosine: float) -> DataFrame:
     """(node, n): for every node of a component the rows it is linked with, ``copies`` counted.
     A component is split into blocks of about BLOCK nodes, and one task compares two of them."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = cut(members, "members").join(cut(sizes, "component-sizes"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sized = beside(cut(members, "members"), "component", "node", F.count("*"), F.sum, "size")
+    few = F.least(F.lit(4), F.ceil(F.col("size") / F.lit(SPLIT)))
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), few).cast("int")
+    placed = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = placed.select("component", "node", "copies", "v", "block", F.explode(others).alias("other")).select(
         "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "v"
@@ -188,7 +210,9 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector: str = "e
 
     Null, empty and zero vectors, and vectors with null or non-finite components, link with nothing;
     so do rows without an id, whose component is null. Vectors of different lengths never link.
-    Equal vectors always link, also as repeated rows of one id. Other columns are not read.
+    Equal vectors always link, also as repeated rows of one id. Other columns are not read. An
+    empty table gives an empty result. Links are never false; an isolated pair just at ``cosine``
+    is missed with a chance of 1 - RECALL, nearer pairs more seldom.
     """
     values = F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))

@@ -35,6 +35,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key are spread over so many groups before they meet their key's total.
+SALT = 256
+
+
+def beside(rows: DataFrame, key: str, spread: str, value: F.Column, merge, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: the aggregate ``value`` over all rows of the same ``key``, whose
+    partial results ``merge`` combines. Rows meet it by key and a hash of ``spread``, so that one
+    hot key's rows are dealt to many tasks; only SALT partial results a key ever meet."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int"))
+    part = salted.groupBy(key, "_salt").agg(value.alias(name))
+    whole = part.groupBy(key).agg(merge(name).alias(name))
+    return salted.join(part.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
+
+
 def in_fold(column: str, buckets: int, fold: int) -> F.Column:
     """True where crc32 of the id's decimal text falls into ``fold``; a null id never does."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % buckets == fold, F.lit(False))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, slices, split_words, table
+from .shared import beside, cut, slices, split_words, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Blocks of the fingerprint; a bucket key covers all but ``distance`` of them.
@@ -215,8 +215,8 @@ def grouped(docs: DataFrame, id_column: str, text: str, distance: int = DISTANCE
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", F.col("fp").alias("first_fp"))))
-    least = joined.groupBy("component").agg(first.alias("first")).select("component", F.col("first.least").alias("component_id"), "first.first_fp")
-    named = cut(joined.join(least, "component").select("fp", "component_id", "first_fp"), "named-fingerprints")
+    least = beside(joined, "component", "fp", first, F.min, "first").select("fp", F.col("first.least").alias("component_id"), "first.first_fp")
+    named = cut(least, "named-fingerprints")
     return own.join(named, "fp").select(id_column, "fp", "component_id", "first_fp")
 
 

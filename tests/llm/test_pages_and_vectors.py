@@ -155,14 +155,36 @@ def test_near_vectors(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(table.where("false")).count() == 0
 
 
-def test_recall_on_the_table(spark):
-    table = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").where("vec_id < 1500")
-    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(table).collect()}
-    rows = sorted(table.collect(), key=lambda r: r["vec_id"])
-    x = np.array([r["embedding"] for r in rows], float)
+def planted_pairs(count, pairs, cosine, size=64, seed=3):
+    """Random unit vectors; the second ``pairs`` rows are at ``cosine`` from the first, one each."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(count, size)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = (x @ x.T >= 0.9).sum(1) - 1
-    assert sum(got.values()) >= 0.9 * want.sum() and all(got[r["vec_id"]] <= n for r, n in zip(rows, want))
+    other = rng.normal(size=(pairs, size))
+    other -= (other * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    x[pairs : 2 * pairs] = cosine * x[:pairs] + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    return x
+
+
+def test_recall_on_generated_vectors(spark):
+    """Isolated pairs just above the cosine in 20,000 vectors are found, and nothing else is linked."""
+    x = planted_pairs(20_000, 400, 0.905)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(rows).where("n_links > 0").collect()}
+    assert len(got) >= 0.97 * 800 and all(got[i]["component_id"] == i % 400 and got[i]["n_links"] == 1 for i in got)
+
+
+def test_pairs_at_the_limit_are_verified_in_double(spark):
+    """Products that half precision cannot tell from the limit: those below it are no links."""
+    rng = np.random.default_rng(6)
+    pairs = []
+    for k in range(300):
+        cosine = 0.9 + (k - 150) * 4e-6
+        u, w = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        pairs += [u, cosine * u + np.sqrt(1 - cosine**2) * w]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pairs)], "vec_id long, embedding array<double>")).collect()}
+    exact = [float(u @ v / np.linalg.norm(u) / np.linalg.norm(v)) for u, v in zip(pairs[::2], pairs[1::2])]
+    assert [got[2 * k] for k in range(300) if k != 150] == [int(c >= 0.9) for k, c in enumerate(exact) if k != 150]
 
 
 def signs_as_keys(units, one_pass):
@@ -176,13 +198,13 @@ def test_windows_reach_over_partitions(spark):
     x = np.repeat(rng.normal(size=(150, 32)), 2, axis=0) + rng.normal(size=(300, 32)) * 0.01
     order = np.argsort(signs_as_keys(x / np.linalg.norm(x, axis=1, keepdims=True), 0), kind="stable")
     place = np.argsort(order)
-    shown = {(i + 1, i) for i in range(0, 300, 2) if abs(place[i] - place[i + 1]) <= embedding_dedup.WINDOW}
+    shown = {(i + 1, i) for i in range(0, 300, 2) if abs(place[i] - place[i + 1]) <= 24}
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "150")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
-        got = {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in embedding_dedup.window_links(rows, 0.9, 1).collect()}
+        got = {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in embedding_dedup.window_links(rows, 0.9, 1, 24).collect()}
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -191,12 +213,7 @@ def test_windows_reach_over_partitions(spark):
 
 def test_recall_does_not_fall_with_size():
     """500 planted isolated pairs at cosine 0.902 among 200,000 vectors, passes replayed over one order."""
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(200_000, 64)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    other = rng.normal(size=(500, 64))
-    other -= (other * x[:500]).sum(1, keepdims=True) * x[:500]
-    x[500:1000] = 0.902 * x[:500] + np.sqrt(1 - 0.902**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    x = planted_pairs(200_000, 500, 0.902)
     shown = np.zeros(500, bool)
     for p in range(embedding_dedup.passes_for(len(x), 0.9)):
         place = np.argsort(np.argsort(signs_as_keys(x, p), kind="stable"))
