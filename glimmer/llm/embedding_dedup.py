@@ -23,8 +23,8 @@ from .simhash import roots
 COSINE = 0.9
 #: Passes at least, signs a key, followers a vector is compared with.
 PASSES, SIGNS, WINDOW = 8, 64, 256
-#: Rows of a component that one task compares with as many others; smaller components of more than
-#: SPLIT rows are split as well.
+#: Rows of a component that one task compares with as many others; smaller components are split into
+#: up to 8 blocks of SPLIT rows, so that one group of copies is not one task.
 BLOCK, SPLIT = 4_096, 128
 SEED = 77
 #: Expected share of isolated pairs just at the cosine that some window shows.
@@ -174,7 +174,7 @@ def block_links(members: DataFrame, cosine: float) -> DataFrame:
     """(node, n): for every node of a component the rows it is linked with, ``copies`` counted.
     A component is split into blocks of about BLOCK nodes, and one task compares two of them."""
     sized = beside(cut(members, "members"), "component", "node", F.count("*"), F.sum, "size")
-    few = F.least(F.lit(4), F.ceil(F.col("size") / F.lit(SPLIT)))
+    few = F.least(F.lit(8), F.ceil(F.col("size") / F.lit(SPLIT)))
     blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), few).cast("int")
     placed = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
