@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density over the DOM.
 
 Every node's density is its characters per tag, adjusted by the share of link text; a node's
-density sum adds its children's densities. The body's threshold is the least density on the path
-from the body to the densest subtree; the node with the largest density sum is the root of the
-article, or an ancestor that adds much text in blocks that reach the threshold. Containers below
-the root that do not reach it are left out. What tags and classes mark as boilerplate is left out
-too, unless the page would lose its article or most of its text by that.
+density sum adds its children's densities. The node with the largest density sum is the densest
+subtree. What tags and classes mark as boilerplate only counts less in that choice, and nothing
+that holds the densest subtree is ever left out for its name. The body's threshold is the least
+density on the path from the body to the densest subtree; containers that do not reach it are left
+out, and the article's root is the widest ancestor that adds much text which does reach it, or a
+heading. Marked nodes beside the densest subtree are left out.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from .shared import slices, table
 
 # How HTML elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title xmp noframes".split())
+RAW = frozenset("script style noscript template iframe svg textarea title xmp noframes annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr object "
+    "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 SKIPPED = frozenset("nav footer aside form button select menu dialog header head datalist".split())
 # An element's end is implied by the start of these, up to the given ancestors.
@@ -37,26 +39,37 @@ BARRIERS = frozenset("table td th ul ol dl article section div main body html as
 CONTAINERS, LISTS = frozenset("div section center fieldset".split()), frozenset("ul ol dl table".split())
 #: What a node's own tag and attributes say: text, boilerplate, or never shown.
 PLAIN, MARKED, HIDDEN = 0, 1, 2
-#: Words in class or id that mark boilerplate, whole between separators.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adbox|banner|promo|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|"
-    r"cookie|cookies|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|reply|replies|disqus|respond|pagination|pager|skip|copyright|legal)"
-    r"(?:$|[\s_-])|^comment|comments?$", re.I,
+# Words in class or id that name boilerplate, and words that may stand beside them
+# in one hyphenated name; a name with any other word in it marks nothing.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement adbox adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead "
+    "cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies disqus respond "
+    "pagination pager skip copyright legal".split()
 )
+BESIDE = frozenset(
+    "article bar block blog body bottom box button buttons col column container content entry fixed form global google group icons inner item items left link links list main message module "
+    "outer overlay page panel part post posts primary reader right rail row secondary section site slot sticky story sub text thread top unit user widget widgets wrap wrapper".split()
+)
+#: Names of an article's own head are no boilerplate.
+OWN = frozenset("article blog entry post story".split())
+#: What a marked node's density, and the density sums below it, count for.
+PENALTY = 0.02
+HEADINGS = frozenset({"h1", "h2"})
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""", re.S)
 SPACE = re.compile(r"\s+")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "mark", "skip", "low", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "parent", "mark", "under", "skip", "low", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, mark: int) -> None:
         self.tag, self.parent, self.mark = tag, parent, mark
         self.children: list = []  # nodes and texts
-        self.skip = self.low = False
+        self.under = self.skip = self.low = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -77,11 +90,18 @@ def mark_of(tag: str, source: str) -> int:
         return HIDDEN
     if have.get("role", "").lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}:
         return MARKED
-    if tag not in {"html", "body", "article", "main"} and any(BOILERPLATE.search(have.get(k, "")) for k in ("class", "id")):
+    if tag not in {"html", "body", "article", "main"} and any(names_boilerplate(one) for k in ("class", "id") for one in have.get(k, "").split()):
         return MARKED
     return by_tag
 
 
+def names_boilerplate(name: str) -> bool:
+    """Whether one class or id, split at hyphens, digits and capitals, says nothing but boilerplate."""
+    words = {w.lower() for w in NAME.findall(name) if not w.isdigit()}
+    named = words & BOILERPLATE
+    return bool(named) and words <= BOILERPLATE | BESIDE and not (named == {"header"} and words & OWN)
+
+
 def parse(source: str) -> Node:
     """A tree that follows the elements' implied ends; stray end tags are dropped."""
     root = here = Node("html", None, PLAIN)
@@ -153,65 +173,46 @@ def count(order: list[Node]) -> None:
             node.link_chars = node.chars
 
 
-def skip_boilerplate(root: Node, order: list[Node]) -> None:
-    """Set ``skip`` and the counts. Hidden nodes are skipped with all below them, and so are marked
-    nodes, unless no article or main element is outside marked nodes and the node holds the largest
-    one, with as much plain text as all that is unmarked, or three quarters of the page's plain text."""
+def densities(order: list[Node]) -> None:
+    """Composite density of every node: characters per tag, times a logarithm of how little of the
+    text and of the tags are links, to a base that grows with the links of node and body. One is
+    added within the base's logarithm, so that a page without links stays finite."""
+    root = order[0]
+    body_links = max(1, root.link_chars) / max(1, root.chars)
     for node in order:
-        node.skip = node.mark == HIDDEN or node.parent is not None and node.parent.skip
-    count(order)
-    if not any(n.mark == MARKED and not n.skip for n in order):
-        return
-    under: set[Node] = set()
-    left, free, top = plain(root), False, None
-    for n in order:
-        if n.parent in under:
-            under.add(n)
-        elif n.mark == MARKED:
-            under.add(n)
-            left -= plain(n)
-        if n.tag in {"article", "main"} and n.mark == PLAIN and plain(n) > 0:
-            free |= n not in under
-            if top is None or plain(n) > plain(top):
-                top = n
-    holds: set[Node] = set()
-    if top is not None and plain(top) >= left:
-        node = top.parent
-        while node is not None:
-            holds.add(node)
-            node = node.parent
-    most = max(1.0, 0.75 * plain(root))
-    for n in order:
-        spared = not free and (n in holds or plain(n) >= most and (n.tag == "form" or n.tag not in SKIPPED))
-        n.skip |= n.parent is not None and n.parent.skip or n.mark == MARKED and not spared
-    count(order)
+        node.density = 0.0
+        if node.chars and not node.skip:
+            tags, links = max(1, node.tags), max(1, node.link_chars)
+            base = node.chars / max(1, plain(node)) * node.link_chars + body_links * node.chars + math.e
+            few = node.chars / links * tags / max(1, node.link_tags)
+            node.density = node.chars / tags * math.log(max(1.0001, few)) / math.log(math.log(base) + 1.0001)
 
 
 def measure(root: Node) -> list[Node]:
-    """Counts and densities from the leaves up, without recursion; all nodes in page order."""
+    """Counts, densities and density sums, without recursion; all nodes in page order. A marked
+    node's density counts PENALTY in its parent's sum, and so do the sums of nodes in marked ones."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    skip_boilerplate(root, order)
-    body_chars, body_links = max(1, root.chars), max(1, root.link_chars)
-    for node in reversed(order):
-        if node.chars and not node.skip:
-            words, tags, links, link_tags = max(1, plain(node)), max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-            ratio = node.chars / words * node.link_chars + body_links / body_chars * node.chars
-            base = max(math.e, ratio + math.e)
-            node.density = node.chars / tags * math.log(max(1.0001, node.chars / links * tags / link_tags)) / math.log(math.log(base) + 1.0001)
-        node.total = sum(c.density for c in node.children if isinstance(c, Node)) or node.density
+    for node in order:
+        above = node.parent
+        node.skip = node.mark == HIDDEN or above is not None and above.skip
+        node.under = node.mark == MARKED or above is not None and above.under
+    count(order)
+    densities(order)
+    for node in order:
+        held = sum(c.density * (PENALTY if c.mark == MARKED else 1) for c in node.children if isinstance(c, Node))
+        node.total = (held or node.density) * (PENALTY if node.under else 1)
     return order
 
 
 def article_root(root: Node) -> Node:
-    """The subtree with the largest density sum; an article or main element that holds most of
-    the page's plain text and reaches the body's threshold stands for it, and so does the nearest
-    ancestor that holds much more plain text in blocks that reach it. Sets ``low`` for the
-    containers that do not."""
-    order = [n for n in measure(root) if not n.skip and n.chars]
+    """The widest ancestor of the densest subtree that belongs to it. Sets ``skip`` for marked nodes
+    beside the densest subtree and ``low`` for containers below the threshold."""
+    whole = measure(root)
+    order = [n for n in whole if not n.skip and n.chars]
     if not order:
         return root
     best = max(order, key=lambda n: n.total)
@@ -219,14 +220,14 @@ def article_root(root: Node) -> Node:
     while node is not None:
         path.append(node)
         node = node.parent
+    holders = set(path)
+    for n in whole:
+        n.skip |= n.parent is not None and n.parent.skip or n.mark == MARKED and n not in holders
+    count(whole)
+    densities(whole)
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
     for n in order:
-        n.low = n.density < threshold and (n.tag in CONTAINERS or n.tag in LISTS and 2 * n.link_chars > n.chars)
-    marked = [n for n in order if n.tag in {"article", "main"} and plain(n) > 0 and n.density >= threshold]
-    if marked:
-        top = max(marked, key=plain)
-        if 2 * plain(top) >= plain(root):
-            return top
+        n.low = n not in holders and n.density < threshold and (n.tag in CONTAINERS or n.tag in LISTS and 2 * n.link_chars > n.chars)
     # plain text without what is low: each low node's own, once, is taken off its ancestors on the path
     kept = {n: plain(n) for n in path}
     inside: set[Node] = set()
@@ -240,8 +241,9 @@ def article_root(root: Node) -> Node:
                 if above in kept:
                     kept[above] -= plain(n)
                 above = above.parent
-    for n in path:
-        if kept[n] > 1.2 * kept[best] and n.tag not in {"p", "span"}:
+    for n in path[1:]:
+        headed = n is not root and n.tag != "body" and any(isinstance(c, Node) and c.tag in HEADINGS and c.chars for c in n.children)
+        if n.tag in {"article", "main"} or headed or kept[n] > 1.2 * kept[best] and n.tag not in {"p", "span"}:
             best = n
     return best
 

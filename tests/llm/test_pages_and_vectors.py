@@ -1,6 +1,7 @@
 """Pages, URLs and vectors against plain code, and on odd rows."""
 
 import html
+import math
 import re
 from collections import Counter
 
@@ -48,12 +49,77 @@ LINKS = "<ul>" + "".join(f"<li><a href=/{i}>More {i}</a></li>" for i in range(12
         f"<body><div class=box>{LINES}<div class=y>{LINKS}</div></div><div class=z>{LINKS}</div></body>",
         f"<body><article>{LINES}</article><div class=comments><article>Me too. {LONG_TEXT * 4}</article></div></body>",
         f"<body><article>{LINES}</article><div hidden><article>{LONG_TEXT * 9}</article></div></body>",
+        f"<body><div class='right-side'>{LINES}</div></body>",
+        f"<body><nav><a href=/>Home</a></nav><div class='post legal'>{LINES}</div><footer>all rights kept</footer></body>",
+        f"<body><div><p>{LONG_TEXT}</p><p class='social-history'>{LONG_TEXT}</p></div><div class=share-buttons>Share this</div></body>",
+        f"<body><div>{LINES}</div><div id=CommentList>{'<p>Me too, I think so as well.</p>' * 20}</div></body>",
+        f"<body><aside><div>{LINES}</div></aside><div class=menuBar>{LINKS}</div></body>",
     ],
 )
 def test_wrappers_stay_and_unmarked_boilerplate_goes(page):
     assert html_text.main_text(page) == WANT
 
 
+def test_formulas_and_titles_stay():
+    page = f"<body><div class=wrap><h1>Title</h1><div>{LINES}<p>It is <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here.</p></div></div>{LINKS}</body>"
+    assert html_text.main_text(page) == f"Title\n{WANT}\nIt is mc2 here."
+
+
+def test_long_pages_without_caps():
+    lines = [f"Line {i} of a long article without any end in sight." for i in range(20_000)]
+    assert html_text.main_text("<body><nav><a href=x>y</a></nav><div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div></body>") == "\n".join(lines)
+
+
+def plain_density(tree, body):
+    """(density, density sum) of (tag, children) by the definition, recursively; texts are strings."""
+
+    def sizes(node):
+        if isinstance(node, str):
+            return len(node) - node.count(" "), 0, 0, 0
+        parts = [sizes(c) for c in node[1]]
+        chars, tags, links, link_tags = (sum(p[k] for p in parts) for k in range(4))
+        inner = [c for c in node[1] if not isinstance(c, str)]
+        links = chars if node[0] == "a" else links
+        return chars, tags + len(inner), links, link_tags + sum(c[0] == "a" for c in inner)
+
+    def density(node):
+        chars, tags, links, link_tags = sizes(node)
+        if not chars:
+            return 0.0
+        all_chars, _, all_links, _ = sizes(body)
+        base = math.log(chars / max(1, chars - links) * links + max(1, all_links) / max(1, all_chars) * chars + math.e)
+        return chars / max(1, tags) * math.log(max(1.0001, chars / max(1, links) * max(1, tags) / max(1, link_tags)), base + 1.0001)
+
+    inner = [c for c in tree[1] if not isinstance(c, str)]
+    return density(tree), sum(map(density, inner)) or density(tree)
+
+
+def test_densities_follow_the_definition():
+    """Every node of random trees against a recursive computation, and the choice of the densest."""
+    rng = np.random.default_rng(8)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return (str(rng.choice(["p", "a", "h3"])), ["word " * int(rng.integers(1, 40))])
+        return (str(rng.choice(["div", "section"])), [grow(depth - 1) for _ in range(int(rng.integers(1, 4)))])
+
+    def write(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(write, node[1]))}</{node[0]}>"
+
+    def walk(node):
+        yield node
+        for c in node[1]:
+            if not isinstance(c, str):
+                yield from walk(c)
+
+    for _ in range(40):
+        tree = ("html", [grow(4), grow(3)])
+        nodes = html_text.measure(html_text.parse("".join(map(write, tree[1]))))
+        want = [plain_density(n, tree) for n in walk(tree)]
+        assert [n.tag for n in nodes] == [n[0] for n in walk(tree)]
+        assert np.allclose([(n.density, n.total) for n in nodes], want)
+
+
 def test_pages_give_their_articles(spark):
     rows = {r["page_id"]: r for r in html_text.op6_html_extraction(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
