@@ -15,12 +15,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_fold, number_words, slices, table
+from .shared import cut, in_fold, number_words, slices, table
 
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 STEMS = (4, 6)
 #: About so many labelled rows of each class are trained on; every fifth of them calibrates.
 SAMPLE_ROWS = {1: 2_500, 0: 5_000}
+#: The sample that the driver gets is thinned to about so many bytes of text, and to those rows in
+#: all where ids are repeated.
+SAMPLE_BYTES = 64_000_000
 EPOCHS, BATCH, RATE = 8, 32, 0.05
 #: Small samples are gone through more often: about so many texts in all, 24 times at most.
 VISITS = 40_000
@@ -75,30 +78,30 @@ class Network:
             0.0,
         )
 
-    def responses(self, vectors: np.ndarray, width: int) -> np.ndarray:
-        """Filter responses at every place of a text, as if zero vectors followed it."""
-        kernel, n = self.kernels[width], len(vectors)
-        out = vectors @ kernel[0] + self.shifts[width]
-        for k in range(1, kernel.shape[0]):
-            if n > k:
-                out[: n - k] += vectors[k:] @ kernel[k]
-        return out
-
-    def pooled(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest positive response of each filter, and where it is (-1: none)."""
-        best, where = np.zeros(len(self.weights), np.float32), np.full(len(self.weights), -1)
-        if len(vectors):
-            for i in range(len(WIDTHS)):
-                out = self.responses(vectors, i)
-                at = out.argmax(0)
-                top = out[at, np.arange(FILTERS)]
-                cut = slice(i * FILTERS, (i + 1) * FILTERS)
-                best[cut] = np.maximum(top, 0)
-                where[cut] = np.where(top > 0, at, -1)
+    def pooled(self, vectors: np.ndarray, starts: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest positive response of each filter in each text, and its row (-1: none). The texts
+        stand one after the other from ``starts`` on; rows that are not ``real`` hold zeros, follow
+        each text, and are no places of a response."""
+        rows = np.arange(len(vectors))[:, None]
+        best = np.zeros((len(starts), len(self.weights)), np.float32)
+        where = np.full(best.shape, -1)
+        of_text = np.searchsorted(starts, rows[:, 0], "right") - 1
+        for i, kernel in enumerate(self.kernels):
+            out = vectors @ kernel[0] + self.shifts[i]
+            for k in range(1, len(kernel)):
+                out[:-k] += vectors[k:] @ kernel[k]
+            out[~real] = -np.inf
+            top = np.maximum.reduceat(out, starts)
+            at = np.minimum.reduceat(np.where(out == top[of_text], rows, len(vectors)), starts)
+            of = slice(i * FILTERS, (i + 1) * FILTERS)
+            best[:, of] = np.maximum(top, 0)
+            where[:, of] = np.where(top > 0, at, -1)
         return best, where
 
-    def logits(self, ids: np.ndarray, ends: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Raw outputs of texts given as word numbers, and their language scores."""
+    def logits(self, ids: np.ndarray, ends: np.ndarray, features: np.ndarray, chunk: int = CHUNK_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+        """Raw outputs of texts given as word numbers, and the number of their likeliest language.
+        Zero vectors follow a text. Long texts go through in chunks that overlap by the widest
+        filter, so the largest response is the whole text's."""
         vectors = self.table[features].sum(1)
         projected = np.concatenate([vectors @ k for kernel in self.kernels for k in kernel], axis=1)
         logs = self.word_logs[features[:, 0]] if self.word_logs is not None and len(self.languages) else None
@@ -107,17 +110,17 @@ class Network:
         start = 0
         for i, end in enumerate(ends):
             best = np.zeros(len(self.weights), np.float32)
-            # long texts go through in overlapping chunks; the largest response is the same
-            for a in range(start, end, CHUNK_TOKENS):
-                b = min(end, a + CHUNK_TOKENS + len(WIDTHS) - 1)
+            for a in range(start, end, chunk):
+                b = min(end, a + chunk + max(WIDTHS) - 1)
+                own = b - a if b == end else chunk  # places whose filters see all that follows
                 rows, column = projected[ids[a:b]], 0
                 for j, width in enumerate(WIDTHS):
                     out = rows[:, column : column + FILTERS] + self.shifts[j]
                     for k in range(1, width):
                         out[: max(0, len(out) - k)] += rows[k:, column + k * FILTERS : column + (k + 1) * FILTERS]
                     column += width * FILTERS
-                    cut = slice(j * FILTERS, (j + 1) * FILTERS)
-                    best[cut] = np.maximum(best[cut], out.max(0))
+                    of = slice(j * FILTERS, (j + 1) * FILTERS)
+                    best[of] = np.maximum(best[of], out[:own].max(0))
             found[i] = best @ self.weights + self.bias
             if logs is not None and end > start:
                 tongue[i] = logs[ids[start:end]].sum(0)
@@ -147,6 +150,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     nothing = int(texts_with.argmin())
     live[nothing] = False
     net.table[~live] = 0
+    # rows that follow every text in a batch, so that no filter sees the next text
+    pad = np.full(max(WIDTHS) - 1, len(features))
+    features = np.vstack([features, np.full((1, features.shape[1]), nothing)])
     scale_table = np.full((BUCKETS, 1), 1e-6, np.float32)
     scale = [np.full_like(x, 1e-6) for x in (*net.kernels, *net.shifts, net.weights)]
     scale_bias = 1e-6
@@ -155,29 +161,29 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
         order = rng.permutation(len(texts))
         for first in range(0, len(order), BATCH):
             some = order[first : first + BATCH]
-            grads = [np.zeros_like(x) for x in (*net.kernels, *net.shifts, net.weights)]
-            grad_bias, touched, pushes = 0.0, [], []
+            rows = np.concatenate([np.append(ids[starts[d] : ends[d]], pad) for d in some])
+            sizes = ends[some] - starts[some] + len(pad)
+            heads = np.cumsum(sizes) - sizes
+            own = features[rows]
             left_out = rng.random(BUCKETS) < DROP
-            for d in some:
-                own = features[ids[starts[d] : ends[d]]]
-                own = np.where(left_out[own[:, :1]], nothing, own)
-                vectors = net.table[own].sum(1)
-                best, where = net.pooled(vectors)
-                out = best @ net.weights + net.bias
-                g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[d]) * balance[d] / len(some)
-                grads[-1] += g * best
-                grad_bias += g
-                for i, width in enumerate(WIDTHS):
-                    at = where[i * FILTERS : (i + 1) * FILTERS]
-                    fired = np.flatnonzero(at >= 0)
-                    back = g * net.weights[i * FILTERS + fired]
-                    grads[len(WIDTHS) + i][fired] += back
-                    for k in range(width):
-                        there = at[fired] + k < len(own)
-                        f, some_back, place = fired[there], back[there], at[fired[there]] + k
-                        grads[i][k][:, f] += some_back * vectors[place].T
-                        touched.append(own[place].ravel())
-                        pushes.append(np.repeat(some_back[:, None] * net.kernels[i][k][:, f].T, own.shape[1], axis=0))
+            own = np.where(left_out[own[:, :1]], nothing, own)
+            vectors = net.table[own].sum(1)
+            best, where = net.pooled(vectors, heads, rows != pad[0])
+            out = best @ net.weights + net.bias
+            g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[some]) * balance[some] / len(some)
+            grads = [np.zeros_like(x) for x in (*net.kernels, *net.shifts, net.weights)]
+            grads[-1] += g @ best
+            grad_bias, touched, pushes = g.sum(), [], []
+            back = np.where(where >= 0, g[:, None] * net.weights, 0)
+            for i, width in enumerate(WIDTHS):
+                of = slice(i * FILTERS, (i + 1) * FILTERS)
+                text, one = np.nonzero(where[:, of] >= 0)
+                push, at = back[:, of][text, one], where[:, of][text, one]
+                grads[len(WIDTHS) + i] += back[:, of].sum(0)
+                for k in range(width):
+                    np.add.at(grads[i][k].T, one, push[:, None] * vectors[at + k])
+                    touched.append(own[at + k].ravel())
+                    pushes.append(np.repeat(push[:, None] * net.kernels[i][k].T[one], own.shape[1], axis=0))
             for x, s, gr in zip((*net.kernels, *net.shifts, net.weights), scale, grads, strict=True):
                 s += gr**2
                 x -= RATE * gr / np.sqrt(s)
@@ -229,7 +235,8 @@ def calibrate(net: Network, texts: list[str], labels: np.ndarray, langs: list[st
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", sample: dict[int, int] | None = None) -> Network:
     """Train and calibrate on about ``sample[class]`` labelled rows, taken by a hash of their id.
-    Ids that labels repeat with different marks, null marks and null texts teach nothing.
+    Ids that labels repeat with different marks, null marks and null texts teach nothing. Rows that
+    repeat an id all count, as far as SAMPLE_BYTES and the sample's rows allow.
     Without both classes the network scores every text alike."""
     sample = sample or SAMPLE_ROWS
     own = docs.select(F.col(id_column).alias("_doc"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null")
@@ -238,10 +245,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     rate = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, sample[k] / max(1, totals.get(k, 1))))) for k in sample], F.lit(0.0))
     place = F.shiftrightunsigned(F.xxhash64(F.col("_id"), F.lit(23)), 11) / F.lit(float(2**53))
     drawn = marks.where(place < rate)
-    rows = (
-        own.join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))  # at most the sample's size
-        .select("_id", "text", "lang", "y").toPandas().sort_values(["_id", "text"], kind="stable")
-    )
+    # the ids are a sample of bounded size; what repeats them is thinned before it leaves Spark
+    found = cut(own.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("_id", "text", "lang", "y"), "toxicity-sample")
+    held_rows, held_bytes = found.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    stay = min(1.0, sum(sample.values()) / max(1, held_rows), SAMPLE_BYTES / max(1, held_bytes or 1))
+    if stay < 1:
+        found = found.where(F.shiftrightunsigned(F.xxhash64("_id", "text", F.lit(29)), 11) / F.lit(float(2**53)) < stay)
+    rows = found.toPandas().sort_values(["_id", "text"], kind="stable")
     y = rows["y"].to_numpy().astype(int)
     held = np.arange(len(rows)) % 5 == 0
     texts, langs = rows["text"].tolist(), [x if isinstance(x, str) else None for x in rows["lang"]]
@@ -255,7 +265,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
 def score(docs: DataFrame, net: Network, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score, predicted) of every row from its whole text alone. Null and empty texts get the
-    score of a text without any word. Ids may be null or repeated; other columns are not read."""
+    score of a text without any word. Texts of any length are read whole. Equal texts get equal
+    scores; a score of just 0.5 is predicted 1. Ids may be null or repeated; other columns are not read.
+    An empty table gives an empty result."""
     key = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(net)  # fixed size
 

@@ -353,3 +353,44 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and len({r["score"] for r in rows if r["doc_id"] in (5, 6, 7)}) == 1
     assert toxicity.score(no_docs, toxicity.fit(no_docs, labels)).count() == 0
     assert toxicity.score(odd_docs, toxicity.fit(odd_docs, labels.where("false"))).count() == odd_docs.count()
+
+
+def slow_forward(net, words):
+    """The network by its definition: one word, filter and place at a time."""
+    def vector(word):
+        return sum(net.table[b].astype(float) for b in toxicity.word_features([word])[0])
+
+    rows = [vector(w) for w in words]
+    best = []
+    for kernel, shift in zip(net.kernels, net.shifts):
+        for f in range(toxicity.FILTERS):
+            top = 0.0
+            for at in range(len(rows)):
+                top = max(top, float(shift[f]) + sum(float(rows[at + k] @ kernel[k][:, f]) for k in range(len(kernel)) if at + k < len(rows)))
+            best.append(top)
+    return float(np.dot(best, net.weights) + net.bias)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 200_000])
+def test_network_follows_its_definition_in_any_chunks(chunk):
+    rng = np.random.default_rng(chunk)
+    net = toxicity.Network.new(rng)
+    net.table *= 20
+    net.shifts = [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    texts = [[f"w{i}".encode() for i in rng.integers(0, 50, n)] for n in (0, 1, 2, 3, 7, 8, 9, 23, 60)]
+    words = sorted({w for t in texts for w in t})
+    ids = np.array([words.index(w) for t in texts for w in t])
+    got, _ = net.logits(ids, np.cumsum([len(t) for t in texts]), toxicity.word_features(words), chunk)
+    assert np.allclose(got, [slow_forward(net, t) for t in texts], atol=1e-4)
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark, monkeypatch):
+    rows = [(i % 4, f"bad words here {i}" if i % 2 else f"kind words there {i}", "en") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, **k: seen.append(len(texts)) or real(texts, y, **k))
+    net = toxicity.fit(table, labels, sample={0: 40, 1: 40})
+    assert 30 <= seen[0] <= 100
+    assert [round(x) for x in net.score(["bad words here", "kind words there"])] == [1, 0]
