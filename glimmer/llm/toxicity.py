@@ -135,6 +135,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
+def row_sums(count: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(count, size): the sum of the rows of ``values`` that go to each place."""
+    size = values.shape[1]
+    return np.bincount((at[:, None] * size + np.arange(size)).ravel(), values.ravel(), count * size).reshape(count, size)
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     """Stochastic gradient with per-parameter scaled steps; gradients only flow through the
     places where a filter's response was largest."""
@@ -181,7 +187,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
                 push, at = back[:, of][text, one], where[:, of][text, one]
                 grads[len(WIDTHS) + i] += back[:, of].sum(0)
                 for k in range(width):
-                    np.add.at(grads[i][k].T, one, push[:, None] * vectors[at + k])
+                    grads[i][k] += row_sums(FILTERS, one, push[:, None] * vectors[at + k]).T
                     touched.append(own[at + k].ravel())
                     pushes.append(np.repeat(push[:, None] * net.kernels[i][k].T[one], own.shape[1], axis=0))
             for x, s, gr in zip((*net.kernels, *net.shifts, net.weights), scale, grads, strict=True):
@@ -193,8 +199,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
                 at = np.concatenate(touched)
                 own = live[at]
                 rows, inverse = np.unique(at[own], return_inverse=True)
-                total = np.zeros((len(rows), SIZE), np.float32)
-                np.add.at(total, inverse, np.concatenate(pushes)[own])
+                total = row_sums(len(rows), inverse, np.concatenate(pushes)[own]).astype(np.float32)
                 scale_table[rows] += (total**2).mean(1, keepdims=True)
                 net.table[rows] -= RATE * total / np.sqrt(scale_table[rows])
     return net
