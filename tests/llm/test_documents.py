@@ -199,7 +199,7 @@ def test_repeated_ids_of_several_groups_stay(spark):
 # ---- op4 ----
 
 
-def test_base_scores_and_normalised_model(spark, docs):
+def test_base_scores_and_the_model_beats_them(spark, docs):
     rows = docs.collect()
     train = Counter(w for r in rows if not fold(r["doc_id"], 7, 2) for w in [*words_of(r["text"]), "\n"])
     n, v = sum(train.values()), len(train)
@@ -210,8 +210,82 @@ def test_base_scores_and_normalised_model(spark, docs):
         assert got["base_score"] == pytest.approx(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in tokens))
     held = [x for x in found.values() if x["held_out"]]
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
-    pairs = np.random.default_rng(0).integers(0, 5, (7, 7)).astype(float)
-    assert np.allclose((10.0 ** lm_score.train(pairs).log10_chances()).sum(1), 1, atol=1e-4)
+
+
+def small_model(units=23, width=5, seed=1):
+    rng = np.random.default_rng(seed)
+    mass = np.sort(rng.integers(1, 50, units))[::-1].astype(float)
+    model = lm_score.LogBilinear.new(mass, width, seed)
+    for x in model.parts():
+        x += rng.normal(0, 0.5, x.shape).astype(np.float32) * (x > -60)
+    return mass, model
+
+
+def test_chances_follow_their_definition_and_sum_to_one():
+    """Group softmax times softmax within the group, token by token."""
+    mass, m = small_model()
+    for before in ([3, 7], [0, 0], [22, 1]):
+        q = sum(m.context[u] * m.reach[k] for k, u in enumerate(before)).astype(float)
+        groups = np.exp(m.group[:, :-1] @ q + m.group[:, -1])
+        want = []
+        for u in range(len(mass)):
+            own = m.unit[u // 5 * 5 : u // 5 * 5 + 5]
+            inner = np.exp(own[:, :-1] @ q + own[:, -1])
+            want.append(math.log(groups[u // 5] / groups.sum() * inner[u % 5] / inner.sum()))
+        got = m.log_chances(np.array([before] * len(mass)), np.arange(len(mass)))
+        assert np.allclose(got, want, atol=1e-4) and np.exp(got).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_untrained_model_is_the_unigram_model():
+    mass = np.array([9.0, 5, 3, 2, 1])
+    model = lm_score.LogBilinear.new(mass, 2)
+    model.context[:] = 0
+    assert np.allclose(np.exp(model.log_chances(np.zeros((5, 2), int), np.arange(5))), mass / 20)
+
+
+def test_noise_contrast_learns_what_follows():
+    """In a language where each unit has one follower, two steps of context are told apart."""
+    rng = np.random.default_rng(4)
+    mass = np.ones(30)
+    model = lm_score.LogBilinear.new(mass, 6)
+    own = lm_score.Trainer(model, mass, rng)
+    follow = rng.permutation(30)
+    for _ in range(400):
+        before = rng.integers(0, 30, (512, 2))
+        own.step(before, follow[before[:, 0]])
+    before = rng.integers(0, 30, (200, 2))
+    assert np.exp(model.log_chances(before, follow[before[:, 0]])).mean() > 0.8
+
+
+def test_contexts_do_not_cross_texts():
+    assert lm_score.units_before(np.array([1, 2, 3, 9, 9, 4, 9]), 9).tolist() == [[9, 9], [1, 9], [2, 1], [3, 2], [9, 9], [9, 9], [4, 9]]
+
+
+def test_scores_are_the_model_and_the_counts(spark, docs, monkeypatch):
+    """The score of every text from the trained model, token by token, with words by their form in units."""
+    kept = {}
+    for name in ("vocabulary", "train"):
+        real = getattr(lm_score, name)
+        monkeypatch.setattr(lm_score, name, lambda *a, real=real, name=name, **k: kept.setdefault(name, real(*a, **k)))
+    monkeypatch.setattr(lm_score, "HEAD_WORDS", 300)
+    found = {r["doc_id"]: r for r in lm_score.op4_lm_scoring(spark, SF).collect()}
+    words, model = kept["vocabulary"], kept["train"]
+    rows = docs.collect()
+    train = Counter(w for r in rows if not fold(r["doc_id"], 7, 2) for w in [*words_of(r["text"]), "\n"])
+    for r in rows[:60]:
+        tokens, total = [*words_of(r["text"]), "\n"], 0.0
+        units, parts = [], []
+        for t in tokens:
+            raw = [t.encode()]
+            count, unit, norm = (x[0] for x in words.look_up(lm_score.token_hashes(raw), lm_score.forms(raw)))
+            units.append(int(unit))
+            parts.append(math.log10((train[t] + 1) / norm) if norm else 0.0)
+            assert count in (-1, train[t])
+        seen = [words.end, words.end]
+        for u, part in zip(units, parts):
+            total += model.log_chances(np.array([seen[::-1]]), np.array([u]))[0] / math.log(10) + part
+            seen = [seen[1], u]
+        assert found[r["doc_id"]]["score"] == pytest.approx(total, rel=1e-5, abs=1e-3)
 
 
 def test_rare_words_meet_their_counts(odd_docs, no_docs, monkeypatch):
