@@ -290,13 +290,13 @@ def test_scores_are_the_model_and_the_counts(spark, docs, monkeypatch):
 
 def test_rare_words_meet_their_counts(odd_docs, no_docs, monkeypatch):
     """With a tiny head almost all counts come by the shuffle; the scores stay the same."""
-    whole = {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["base_score"], 8)) for r in lm_score.score(odd_docs, odd_docs).collect()}
+    whole = {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["base_score"], 8)) for r in lm_score.score(odd_docs).collect()}
     monkeypatch.setattr(lm_score, "HEAD_WORDS", 3)
-    small = {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["base_score"], 8)) for r in lm_score.score(odd_docs, odd_docs).collect()}
-    assert whole == small and len(lm_score.score(odd_docs, odd_docs).collect()) == odd_docs.count()
-    untrained = lm_score.score(odd_docs, no_docs).collect()
+    small = {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["base_score"], 8)) for r in lm_score.score(odd_docs).collect()}
+    assert whole == small and len(lm_score.score(odd_docs).collect()) == odd_docs.count()
+    untrained = lm_score.score(odd_docs, odd_docs.doc_id < 0).collect()
     assert len(untrained) == odd_docs.count() and all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in untrained)
-    assert lm_score.score(no_docs, no_docs).count() == 0
+    assert lm_score.score(no_docs).count() == 0
 
 
 # ---- op5 ----
