@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -28,8 +29,8 @@ CAPACITY = 2048
 #: Chunks, and words, whose ids a Python worker remembers: two generations of so many, about 200
 #: bytes each; the older is forgotten when the newer is full, so frequent ones stay.
 CACHE_ENTRIES = 240_000
-#: Fillings looked at around one largest length, and nodes of the whole search, before the incumbent is kept.
-FILLING_NODES, SEARCH_NODES = 2_000, 300_000
+#: Nodes of the search before the incumbent is kept; None: none is too many.
+SEARCH_NODES: int | None = 60_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -114,14 +115,6 @@ class Run:
     times: int
 
 
-@dataclass
-class _Search:
-    capacity: int
-    nodes: int = 0
-    best: list[Run] = field(default_factory=list)
-    best_bins: int = 0
-
-
 def best_fit(counts: np.ndarray, capacity: int) -> list[Run]:
     """Best fit in descending order of length, over runs of equal bins: each length goes to the
     fullest bins that take it, else to new ones."""
@@ -147,125 +140,165 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Run]:
     return [run for runs in bins.values() for run in runs]
 
 
-def fillings(counts: np.ndarray, room: int, most_waste: int, limit: int = FILLING_NODES) -> tuple[list[tuple[int, list[int]]], int]:
-    """Undominated fillings of ``room`` with available lengths, as (waste, lengths), least waste first;
-    and how many nodes were looked at.
+def fewest_possible(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound on the sequences that ``counts`` need: the largest of the volume, of the bounds
+    that split pieces at half the capacity and at each smaller length, and of those by roundings to
+    k-ths of a sequence, under which no filling can exceed one sequence."""
+    n, length = np.asarray(counts, np.int64), np.arange(len(counts))
+    volume = int((n * length).sum())
+    best = -(-volume // capacity)
+    many, sums = np.cumsum(n), np.cumsum(n * length)
+    half, last = capacity // 2, len(n) - 1
+    least = np.arange(1, half + 1)  # pieces shorter than this are left out of the count
+    top, mid, low = np.minimum(capacity - least, last), min(half, last), np.minimum(least - 1, last)
+    large, middle = many[-1] - many[top], many[top] - many[mid]
+    small = sums[mid] - sums[low] - (middle * capacity - (sums[top] - sums[mid]))
+    best = max(best, int((large + middle + np.maximum(0, -(-small // capacity))).max(initial=0)))
+    k = np.arange(1, 33)[:, None]
+    whole = (k + 1) * length
+    rounded = np.where(whole % capacity == 0, whole * k, whole // capacity * (k + 1) * capacity)  # in units of 1 / (k (k + 1) capacity)
+    return max(best, int((-(-(n * rounded).sum(1) // (k * (k + 1) * capacity)[:, 0])).max()))
+
+
+class Budget:
+    """How many more nodes a search may look at; None: as many as it takes."""
+
+    def __init__(self, nodes: int | None) -> None:
+        self.left = nodes
+
+    def spend(self, nodes: int = 1) -> bool:
+        if self.left is None:
+            return True
+        self.left -= nodes
+        return self.left >= 0
+
 
-    Lengths are tried in descending order; a branch ends where even all that is left cannot bring
-    the waste to ``most_waste``. A filling is dominated if an available longer piece could replace
-    one of its pieces and still fit. Looking at more than ``limit`` nodes ends the enumeration.
-    """
-    found: list[tuple[int, list[int]]] = []
-    there = np.flatnonzero(counts[: room + 1])
-    nodes = 0
+def fillings(counts: np.ndarray, room: int, most_waste: int, budget: Budget) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Undominated fillings of ``room`` with available lengths, as (waste, lengths), as they are
+    found: those that waste little first, in bands of waste up to ``most_waste``.
 
-    def free(length: int, chosen: list[int]) -> int:
-        return int(counts[length]) - chosen.count(length)
+    Lengths are tried in descending order; a branch ends where no sum of available pieces brings
+    the waste into the band. A filling is dominated if an available longer piece could replace one
+    of its pieces and still fit, or if a piece could be added.
+    """
+    there = [int(x) for x in np.flatnonzero(counts[: room + 1])]
+    # bit s of reach[i]: pieces of the first i lengths have a sum of s
+    reach, full = [1], (1 << room + 1) - 1
+    for x in there:
+        sums, times, step = reach[-1], min(int(counts[x]), room // x), 1
+        while times > 0:
+            step = min(step, times)
+            sums |= sums << x * step & full
+            times -= step
+            step *= 2
+        reach.append(sums)
+    if not budget.spend(1 + len(there) // 16):
+        return
 
     def undominated(waste: int, chosen: list[int]) -> bool:
-        for x in set(chosen):
-            for y in there[np.searchsorted(there, x, "right") : np.searchsorted(there, x + waste, "right")]:
-                if free(int(y), chosen) > 0:
-                    return False
-        return True
-
-    def grow(left: int, top: int, chosen: list[int]) -> bool:
-        nonlocal nodes
-        nodes += 1
-        if nodes > limit:
-            return True
-        if left == 0:
-            found.append((0, list(chosen)))
-            return True
-        fit = there[: np.searchsorted(there, min(left, top), "right")]
-        extended = False
-        # the piece that fills the room exactly, if there is one, ends the search at once
-        if len(fit) and fit[-1] == left and free(left, chosen) > 0:
-            found.append((0, [*chosen, left]))
-            return True
-        for x in fit[::-1]:
-            x = int(x)
-            if free(x, chosen) <= 0:
+        return not any(
+            int(counts[y]) > chosen.count(y) for x in {0, *chosen} for y in there[bisect_right(there, x) : bisect_right(there, x + waste)]
+        )
+
+    low = -1
+    for high in sorted({min(w, most_waste) for w in (0, 1, 3, 7, 15, 31, 63, 127, 255, 511, most_waste)}):
+        if not reach[-1] >> max(0, room - high) & (1 << max(0, high - low)) - 1:
+            low = high
+            continue
+        # one entry a chosen piece: the index in ``there`` up to which the next piece may come
+        chosen: list[int] = []
+        left, upto = room, [len(there) - 1]
+        while upto:
+            if not budget.spend():
+                return
+            at = min(upto[-1], bisect_right(there, left) - 1)
+            while at >= 0 and int(counts[there[at]]) <= chosen.count(there[at]):
+                at -= 1
+            if at >= 0 and reach[at + 1] >> max(0, left - high) & (1 << min(high, left) + 1) - 1:
+                chosen.append(there[at])
+                left -= there[at]
+                upto[-1] = at - 1  # after this piece, a shorter one takes its place
+                upto.append(at)
                 continue
-            extended = True
-            chosen.append(x)
-            done = grow(left - x, x, chosen)
-            chosen.pop()
-            if done:
-                return True
-        if not extended and left <= most_waste and undominated(left, chosen):
-            found.append((left, list(chosen)))
-            most = sorted(found, key=lambda f: f[0])[:4]
-            found[:] = most
-        return False
-
-    grow(room, room, [])
-    return sorted(found, key=lambda f: (f[0], [-x for x in f[1]])), nodes
-
-
-def complete_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[Run]:
+            if low < left <= high and undominated(left, chosen):
+                yield left, tuple(chosen)
+            upto.pop()
+            if chosen:
+                left += chosen.pop()
+        low = high
+
+
+def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | None = SEARCH_NODES) -> list[Run]:
     """Runs of sequences that hold ``counts[length]`` pieces of each length, in as few sequences
-    as the search finds; the best-fit packing is the first incumbent."""
+    as the search finds; best fit gives the first incumbent.
+
+    Each step takes the largest piece that is left and branches on its undominated fillings and on
+    how often each is taken, most often first. Branches end where the waste so far, or the least
+    that the rest needs, cannot beat the incumbent. The search is over when the incumbent meets the
+    lower bound, when all branches are done (the result is optimal then), or after ``nodes`` nodes;
+    with None it always ends with an optimal packing.
+    """
     counts = np.asarray(counts, np.int64).copy()
     counts[0] = 0
     total = int((counts * np.arange(len(counts))).sum())
-    incumbent = best_fit(counts, capacity)
-    bins = sum(r.times for r in incumbent)
-    least = -(-total // capacity)
-    search = _Search(capacity, 0, incumbent, bins)
-
-    def step(left: np.ndarray, made: list[Run], used: int, waste: int) -> bool:
-        """True once the search is over."""
-        if search.best_bins <= least or search.nodes > SEARCH_NODES:
-            return True
-        there = np.flatnonzero(left)
-        if not len(there):
-            if used < search.best_bins:
-                search.best, search.best_bins = list(made), used
-            return search.best_bins <= least
-        largest = int(there[-1])
-        spare = (search.best_bins - 1) * capacity - total - waste
-        if spare < 0:
-            return False
+    best = best_fit(counts, capacity)
+    bins = sum(r.times for r in best)
+    least = fewest_possible(counts, capacity)
+    budget = Budget(nodes)
+    left = counts.copy()
+
+    def options(waste: int) -> Iterator[tuple[dict[int, int], Run, int]]:
+        """Ways to go on: what is taken of each length, the run, and its waste in all."""
+        largest = int(np.flatnonzero(left)[-1])
         left[largest] -= 1
-        options, nodes = fillings(left, capacity - largest, spare)
-        search.nodes += 1 + nodes
+        others = left.copy()
         left[largest] += 1
-        if not options:  # the enumeration ran out before it met one: the greedy filling
-            room, chosen = capacity - largest, []
-            for x in there[::-1]:
-                n = min(room // int(x), int(left[x]) - (x == largest))
-                chosen += [int(x)] * n
-                room -= n * int(x)
-            options = [(room, chosen)]
-        for unused, filling in options[:3]:
+        for unused, filling in fillings(others, capacity - largest, (bins - 1) * capacity - total - waste, budget):
             pieces = [largest, *filling]
             need = {x: pieces.count(x) for x in pieces}
-            times = min(int(left[x]) // n for x, n in need.items())
-            if unused:
-                times = min(times, max(1, spare // unused))
-            if waste + times * unused > (search.best_bins - 1) * capacity - total:
-                continue
-            for x, n in need.items():
-                left[x] -= n * times
-            made.append(Run(pieces, times))
-            over = step(left, made, used + times, waste + times * unused)
-            made.pop()
-            for x, n in need.items():
-                left[x] += n * times
-            if over:
-                return True
-        return False
-
-    import sys
-
-    depth = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(depth, 40_000))
-    try:
-        step(counts.copy(), [], 0, 0)
-    finally:
-        sys.setrecursionlimit(depth)
-    return search.best
+            most = min(int(left[x]) // n for x, n in need.items())
+            for times in range(most, 0, -1):
+                yield {x: n * times for x, n in need.items()}, Run(pieces, times), times * unused
+
+    made: list[Run] = []
+    taken: list[tuple[dict[int, int], int]] = []
+    used = waste = 0
+    open_ = [options(0)] if bins > least and total else []
+    while open_ and bins > least:
+        step = next(open_[-1], None)
+        if step is None or budget.left is not None and budget.left < 0:
+            if budget.left is not None and budget.left < 0:
+                break
+            open_.pop()
+            if taken:
+                need, unused = taken.pop()
+                for x, n in need.items():
+                    left[x] += n
+                used -= made.pop().times
+                waste -= unused
+            continue
+        need, run, unused = step
+        budget.spend()
+        if waste + unused > (bins - 1) * capacity - total:
+            continue
+        for x, n in need.items():
+            left[x] -= n
+        made.append(run)
+        taken.append((need, unused))
+        used += run.times
+        waste += unused
+        if not left.any():
+            if used < bins:
+                best, bins = list(made), used
+        elif budget.spend(8) and used + fewest_possible(left, capacity) < bins:
+            open_.append(options(waste))
+            continue
+        need, unused = taken.pop()
+        for x, n in need.items():
+            left[x] += n
+        used -= made.pop().times
+        waste -= unused
+    return best
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -320,19 +353,21 @@ def slots(runs: list[Run], capacity: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return found[:, 0], found[:, 1], found[:, 2], found[:, 3]
 
 
-def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, nodes: int | None = SEARCH_NODES) -> DataFrame:
     """Tokenise, cut and pack; one row per piece with its sequence_id and offset there.
 
     Null and empty texts become the end id alone, so they keep their row, as do null and repeated
     ids. Only documents of more than ``capacity`` tokens are cut. Offsets within a sequence are
-    gapless from 0. Other columns are not read. An empty table gives an empty result.
+    gapless from 0. Texts of any length are tokenised whole. Pieces of one length are dealt by
+    partition and place there. ``nodes`` bounds the search (see ``complete_bins``). Other columns are
+    not read. An empty table gives an empty result.
     """
     pieces = cut(token_pieces(docs, tokenizer, id_column, text, capacity, keep_ids), "pieces")
     by_part = cut(pieces.groupBy("_part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row per length
         counts[row["length"]] = row["n"]
-    length_of, first_rank, first_sequence, offset_of = slots(complete_bins(counts, capacity), capacity)
+    length_of, first_rank, first_sequence, offset_of = slots(complete_bins(counts, capacity, nodes), capacity)
     # one number that orders (length, rank); ranks stay below the number of pieces
     stride = int(counts.max()) + 1
     starts = length_of * stride + first_rank

@@ -397,14 +397,27 @@ def exact_bins(lengths, capacity):
     return best
 
 
-def test_bin_completion_is_optimal_on_small_inputs():
-    rng = np.random.default_rng(2)
-    for _ in range(40):
-        lengths = sorted((int(x) for x in rng.integers(5, 60, 9)), reverse=True)
-        runs = packing.complete_bins(np.bincount(lengths, minlength=101), 100)
+@pytest.mark.parametrize(("low", "high"), [(5, 60), (20, 50), (26, 45), (1, 90)])
+def test_bin_completion_is_optimal_on_small_inputs(low, high):
+    rng = np.random.default_rng(low)
+    for i in range(60):
+        lengths = sorted((int(x) for x in rng.integers(low, high, 7 + i % 5)), reverse=True)
+        counts = np.bincount(lengths, minlength=101)
+        runs = packing.complete_bins(counts, 100, None)
         assert sorted((x for r in runs for x in r.lengths * r.times), reverse=True) == lengths
         assert all(sum(r.lengths) <= 100 for r in runs)
-        assert sum(r.times for r in runs) == exact_bins(lengths, 100)
+        best = exact_bins(lengths, 100)
+        assert sum(r.times for r in runs) == best >= packing.fewest_possible(counts, 100)
+
+
+def test_search_beats_best_fit_and_ends():
+    counts = np.bincount([36, 33, 31] * 40, minlength=101)  # best fit needs more than the 40 that fit
+    assert sum(r.times for r in packing.best_fit(counts, 100)) > 40
+    assert sum(r.times for r in packing.complete_bins(counts, 100)) == packing.fewest_possible(counts, 100) == 40
+    rng = np.random.default_rng(0)
+    hard = np.bincount(rng.integers(600, 900, 20_000), minlength=2049)
+    runs = packing.complete_bins(hard, 2048, 20_000)
+    assert sum(r.times * len(r.lengths) for r in runs) == 20_000 and all(sum(r.lengths) <= 2048 for r in runs)
 
 
 # ---- op10 ----
