@@ -22,8 +22,10 @@ ORDER = 5
 #: About so many labelled rows of each language are learned from (four fifths of a smaller table),
 #: and at most as many others calibrate the limit beyond which a text is rejected.
 SAMPLE_ROWS = 400
-#: Times the largest cross-entropy among the calibrating texts.
-REJECT_MARGIN = 1.1
+#: A text is rejected beyond so many times the cross-entropy that all but a hundredth of the
+#: calibrating texts of its language stay below. A language with fewer than MIN_CALIBRATION of them
+#: takes the limit of all languages.
+REJECT_MARGIN, CALIBRATED_SHARE, MIN_CALIBRATION = 1.8, 0.99, 30
 #: Characters beyond which more evidence does not make the score steeper.
 EVIDENCE_CHARS = 40
 UNKNOWN = "und"
@@ -76,7 +78,14 @@ class Models:
     contexts: list[np.ndarray]  # by order of the gram: sorted hashes of its context
     back: list[np.ndarray]  # by order: (context, language) weight of the lower order
     floor: float
-    limit: float = float("inf")
+    limits: np.ndarray | None = None  # by language: largest cross-entropy that is accepted; None: any
+
+    def accepted(self, languages: list[str], entropy: np.ndarray) -> np.ndarray:
+        """Whether each text, of the language and cross-entropy found, is accepted; none without a letter."""
+        if self.limits is None or not len(self.limits):
+            return entropy < np.inf
+        limit = dict(zip(self.languages, self.limits, strict=True))
+        return entropy <= np.array([limit.get(x, 0.0) for x in languages], float)
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word, language) natural log-probabilities and characters predicted, for distinct words."""
@@ -125,6 +134,8 @@ class Models:
 def build(counts: dict[str, dict[str, int]]) -> Models:
     """Models from word counts by language."""
     languages = sorted(counts)
+    if not languages:
+        return Models([], [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1), [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1), 1.0)
     grams, chance, contexts, back = [[np.zeros(0, np.uint64)] for _ in range(4)]
     own: list[dict] = []
     alphabet: set[str] = {" "}
@@ -178,13 +189,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_column:
 
     Rows are taken by a hash of their id, at a rate that follows the language's count, so nothing
     is sorted and the sample spreads over the whole table. Rows without text or language teach
-    nothing. Without any labelled row every text will be ``und``.
+    nothing. Without any labelled row, or none that the sample meets, every text will be ``und``.
+    The counts that reach the driver are those of the sample's distinct words.
     """
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     totals = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
     if not totals:
-        return Models([], [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1), [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1), 1.0)
-    rate = F.create_map(*[F.lit(x) for k, n in sorted(totals.items()) for x in (k, min(0.8, rows / n))])[F.col(lang)]
+        return build({})
+    # a table of a few rows teaches whole, or a sample by hash could miss it
+    rate = F.create_map(*[F.lit(x) for k, n in sorted(totals.items()) for x in (k, min(0.8 if n >= MIN_CALIBRATION else 1.0, rows / n))])[F.col(lang)]
     # ids that are alike in text are spread by the hash's high bits
     place = (F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.lit(11)), 11) / F.lit(float(2**53)))
     drawn = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (place / rate).alias("at")).where("at < 2")
@@ -210,25 +223,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_column:
     for language, word, n in zip(*(counted.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         if any(map(str.isalpha, word)):
             counts.setdefault(language, {})[word] = n
-    if not counts:  # a few rows may all miss the sample
-        return fit_all(usable, text, lang)
+    if not counts:  # no word with a letter in the sample
+        return build({})
     models = build(counts)
-    held = predict(drawn.where("at >= 1").withColumn("_id", F.lit(0)), models, "_id", "text").select("entropy").toArrow().column(0).to_numpy(zero_copy_only=False)
-    held = held[~np.isnan(held)] if len(held) else held
-    models.limit = float(held.max()) * REJECT_MARGIN if len(held) else float("inf")
+    held = predict(drawn.where("at >= 1").withColumn("_id", F.lit(0)), models, "_id", "text").select("lang_pred", "entropy").toArrow()
+    found, entropy = np.array(held.column(0).to_pylist(), object), held.column(1).to_numpy(zero_copy_only=False)
+    found, entropy = found[~np.isnan(entropy)], entropy[~np.isnan(entropy)]
+    if len(entropy):
+        enough = lambda own: own if len(own) >= MIN_CALIBRATION else entropy
+        models.limits = REJECT_MARGIN * np.array([np.quantile(enough(entropy[found == x]), CALIBRATED_SHARE) for x in models.languages])
     return models
 
 
-def fit_all(usable: DataFrame, text: str, lang: str) -> Models:
-    """For tables so small that the sample missed them: learn from every row (at most a few)."""
-    counts: dict[str, dict[str, int]] = {}
-    for row in usable.select(lang, text).limit(SAMPLE_ROWS).collect():
-        own = counts.setdefault(row[0], {})
-        for w in row[1].lower().encode().split():
-            own[w.decode()] = own.get(w.decode(), 0) + 1
-    return build({k: v or {"a": 1} for k, v in counts.items()})
-
-
 def predict(docs: DataFrame, models: Models, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score, entropy, accepted) for every row, from its whole text alone.
 
@@ -246,7 +252,7 @@ def predict(docs: DataFrame, models: Models, id_column: str = "doc_id", text: st
             for batch in slices(whole, text):
                 languages, sure, entropy = own.score(batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_column), pa.array(languages), pa.array(sure), pa.array(entropy), pa.array(entropy <= own.limit)],
+                    [batch.column(id_column), pa.array(languages), pa.array(sure), pa.array(entropy), pa.array(own.accepted(languages, entropy))],
                     [id_column, "lang_pred", "score", "entropy", "accepted"],
                 )
 
@@ -263,8 +269,8 @@ def keep_known_languages(docs: DataFrame, models: Models, text: str = "text") ->
         own = shared.value
         for whole in batches:
             for batch in slices(whole, text):
-                _, _, entropy = own.score(batch.column(text).to_pylist())
-                yield batch.filter(pa.array(entropy <= own.limit))
+                languages, _, entropy = own.score(batch.column(text).to_pylist())
+                yield batch.filter(pa.array(own.accepted(languages, entropy)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -86,6 +86,55 @@ def test_models_are_distributions():
         assert (total <= 1 + 1e-5).all() and (total > 0.5).all()
 
 
+def kneser_ney(counts, order, vocabulary):
+    """Chance of a character after a context by the definition: absolute discounts on counts at the
+    highest order, on numbers of different longer grams below, down to equal chances."""
+    grams = {k: Counter() for k in range(1, order + 1)}
+    for word, n in counts.items():
+        line = " " * (order - 1) + word + " "
+        for i in range(order - 1, len(line)):
+            grams[order][line[i - order + 1 : i + 1]] += n
+    for k in range(order - 1, 0, -1):
+        for longer in grams[k + 1]:
+            grams[k][longer[1:]] += 1
+
+    def chance(context, char, k=order):
+        if k == 0:
+            return 1 / (vocabulary + 1)
+        own = {g: n for g, n in grams[k].items() if g[:-1] == context[len(context) - k + 1 :]}
+        lower = chance(context, char, k - 1)
+        if not own:
+            return lower
+        once, twice = (sum(n == x for n in grams[k].values()) for x in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        total = sum(own.values())
+        seen = own.get(context[len(context) - k + 1 :] + char, 0)
+        return max(seen - discount, 0) / total + discount * len(own) / total * lower
+
+    return chance
+
+
+def test_models_equal_kneser_ney_by_its_definition():
+    counts = {"x": {"abab": 3, "ba": 2, "abc": 1, "cab": 1}, "y": {"ccc": 2, "cab": 1, "bc": 4}}
+    own = langid.build(counts)
+    words = ["abab", "ba", "cc", "abx", "z", "bcab"]
+    got, sizes = own.word_scores(words)
+    assert sizes.tolist() == [len(w) + 1 for w in words]
+    for j, language in enumerate(("x", "y")):
+        chance = kneser_ney(counts[language], langid.ORDER, 4)
+        for i, w in enumerate(words):
+            line = " " * (langid.ORDER - 1) + w + " "
+            want = sum(math.log(chance(line[: k], line[k])) for k in range(langid.ORDER - 1, len(line)))
+            assert got[i, j] == pytest.approx(want, rel=1e-4)
+
+
+def test_other_languages_are_rejected(docs):
+    models = langid.fit(docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    foreign = ["Det var en gang en konge som hadde tre sønner og et stort slott ved fjorden der alle kunne bo.", "Жили-были старик со старухой у самого синего моря в ветхой землянке.", "A fost odată ca niciodată un împărat care avea trei feciori viteji și frumoși."]
+    names, _, entropy = models.score(foreign)
+    assert not models.accepted(names, entropy).any()
+
+
 def _prefix(models, text):
     """Log-probability of the letters of a word without its end."""
     codes, at = langid.spell([text])
