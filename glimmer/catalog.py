@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import algebra, cells, fit, movie, report, segment, streams
+from .plans import algebra, cells, movie, report, segment, stages, streams
 
-MODULES = [movie, segment, cells, algebra, report, streams, fit]
+MODULES = [movie, segment, cells, algebra, report, streams, stages]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

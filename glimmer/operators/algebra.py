@@ -49,8 +49,7 @@ def variance(ycov: DataFrame, yout: DataFrame, ydot: DataFrame, x: DataFrame, nx
     D = sum(ycov * xx) - 2 sum(ydot * xc) + nx ny; the penalty weighs the means; loss is
     (nm / 2)(ln V - ln nm) and sigma sqrt(V / nm) with nm = nx ny + nx + ny."""
     centred = x.join(x.groupBy("k").agg((F.sum("v") / nx).alias("m")), "k").withColumn("c", F.col("v") - F.col("m"))
-    other = centred.select(F.col("k").alias("j"), "t", F.col("c").alias("cj"))
-    xx = centred.select(F.col("k").alias("i"), "t", "c").join(other, "t").groupBy("i", "j").agg(F.sum(F.col("c") * F.col("cj")).alias("xx"))
+    xx = outer_sums(centred.select("k", "t", F.col("c").alias("v")))
     means = centred.select("k", "m").distinct()
     pair = ycov.join(yout, ["i", "j"]).join(xx, ["i", "j"], "left").join(means.select(F.col("k").alias("i"), F.col("m").alias("mi")), "i").join(means.select(F.col("k").alias("j"), F.col("m").alias("mj")), "j")
     first = pair.agg(
@@ -62,6 +61,56 @@ def variance(ycov: DataFrame, yout: DataFrame, ydot: DataFrame, x: DataFrame, nx
     return first.crossJoin(F.broadcast(dot)).select(v.alias("v")).withColumns({"loss": F.lit(nm / 2) * (F.ln("v") - F.ln(F.lit(float(nm)))), "sigma": F.sqrt(F.col("v") / nm)})
 
 
+def outer_sums(rows: DataFrame) -> DataFrame:
+    """(i, j, xx): the sums over t of products of two rows (k, t, v). Rows meet by t once; every task
+    adds up its places, and only one sum a pair and task is shuffled."""
+    kind = rows.schema["k"].dataType.simpleString()
+    packed = rows.groupBy("t").agg(F.collect_list("k").alias("ks"), F.collect_list("v").alias("vs"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for batch in batches:
+            ks, vs = batch.column("ks"), batch.column("vs")
+            names, spots = np.unique(ks.flatten().to_numpy(), return_inverse=True)
+            dense = np.zeros((batch.num_rows, len(names)))
+            dense[np.repeat(np.arange(batch.num_rows), np.diff(ks.offsets.to_numpy())), spots] = vs.flatten().to_numpy(zero_copy_only=False)
+            part = dense.T @ dense
+            old = sums.get("names")
+            if old is None:
+                sums = {"names": names, "part": part}
+            else:
+                both = np.union1d(old, names)
+                grown = np.zeros((len(both), len(both)))
+                for n, p in ((old, sums["part"]), (names, part)):
+                    at = np.searchsorted(both, n)
+                    grown[np.ix_(at, at)] += p
+                sums = {"names": both, "part": grown}
+        if sums:
+            n = len(sums["names"])
+            yield pa.RecordBatch.from_pydict({"i": np.repeat(sums["names"], n), "j": np.tile(sums["names"], n), "xx": sums["part"].ravel()})
+
+    return packed.select("ks", "vs").mapInArrow(run, f"i {kind}, j {kind}, xx double").groupBy("i", "j").agg(F.sum("xx").alias("xx"))
+
+
+def step(pairs: DataFrame, dots: DataFrame, x: DataFrame, v: DataFrame, nx: int, ny: int, bx: float, by: float, eta: float, fac: float, number: int) -> DataFrame:
+    """(k, t, new, z): one accelerated proximal step of the objective from x(k, t, v), dense over nx places,
+    with the non-negative L1 penalty; ``pairs`` (i, j, ycov, yout), ``dots`` (k, t, v), ``v`` one row
+    with the objective's V at x."""
+    nm = nx * ny + nx + ny
+    means = x.groupBy("k").agg((F.sum("v") / nx).alias("m"))
+    centred = x.join(means, "k").select(F.col("k").alias("j"), "t", (F.col("v") - F.col("m")).alias("c"))
+    mixed = pairs.join(centred, "j").groupBy(F.col("i").alias("k"), "t").agg(F.sum((F.col("ycov") + ny * bx * F.col("yout")) * F.col("c")).alias("lin"))
+    tied = pairs.join(means.withColumnRenamed("k", "j"), "j").groupBy(F.col("i").alias("k")).agg(F.sum(F.col("ycov") * F.col("m")).alias("tied"))
+    level = dots.groupBy("k").agg((F.sum("v") / nx).alias("level"))
+    slope = 2 * (F.col("lin") - (F.col("dot") - F.col("level"))) + 2 * by * F.col("tied")
+    every = x.join(mixed, ["k", "t"]).join(dots.withColumnRenamed("v", "dot"), ["k", "t"]).join(level, "k").join(tied, "k").crossJoin(F.broadcast(v.select(F.col("v").alias("big"))))
+    moved = every.withColumn("y", F.col("v") - eta * nm / (2 * F.col("big")) * slope).withColumn("new", prox("nonneg_l1", F.col("y"), eta, fac))
+    t0, t1 = momentum(number)
+    return moved.select("k", "t", "new", ((1 - t1) * F.col("new") + t1 * ((1 - t0) * F.col("v") + t0 * F.col("new"))).alias("z"))
+
+
 def prox(kind: str, y: Column, eta: float, fac: float, row: str = "id") -> Column:
     """The proximal step of a penalty; ``maxnorm`` needs the row's largest value, by a window over ``row``."""
     zero = F.lit(0.0)
@@ -104,6 +153,17 @@ def momentum(step: int, nu: float = 20.0) -> tuple[float, float]:
     return (nu + step) / nu, (nu + 1) / (nu + step + 1)
 
 
+def images_of(batch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times and pixels (frame, place) of an Arrow batch of packed frames; a frame that is null or
+    has other than ``size`` pixels is an error, as no product could be right."""
+    import pyarrow.compute as pc
+
+    px = batch.column("px")
+    if px.null_count or (len(px) and not pc.all(pc.equal(pc.list_value_length(px), size)).as_py()):
+        raise ValueError(f"a frame does not have {size} pixels")
+    return batch.column("t").to_numpy(), px.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
 # ---- dense kernels of a tile's solve (matrices of components by places) ----
 
 
@@ -123,9 +183,11 @@ def prox_rows(kind: str, y: np.ndarray, eta: float, fac: float) -> np.ndarray:
         return np.sign(y) * np.maximum(np.abs(y) - fac * eta, 0)
     if kind == "nonneg_l1":
         return np.maximum(y - fac * eta, 0)
+    if kind == "l2":
+        return y / (1 + fac * eta)
     if kind == "maxnorm":
         p = np.maximum(y, 0)
-        top = p.max(1, keepdims=True)
+        top = p.max(1, keepdims=True, initial=0)
         return np.maximum(np.where(p == top, p, p - fac * eta / np.where(top > 0, top, 1)), 0)
     return y
 
@@ -136,33 +198,9 @@ def penalty_rows(kind: str, x: np.ndarray, fac: float) -> float:
     p = np.maximum(x, 0)
     if kind == "nonneg_l1":
         return float((fac * p).sum())
+    if kind == "l2":
+        return float(((fac * x) ** 2).sum())
     if kind == "maxnorm":
-        top = p.max(1)
+        top = p.max(1, initial=0)
         return float((fac * p.sum(1)[top > 0] / top[top > 0]).sum())
     return 0.0
-
-
-def fit(x: np.ndarray, ycov, yout, ydot, nx: int, ny: int, bx: float, by: float, kind: str, fac: float, rate: float = 0.5, epochs: int = 100, steps: int = 20, tol: float = 1e-4, patience: int = 3, nu: float = 20.0, forward=None, adjoint=None):
-    """Accelerated proximal descent; momentum restarts each epoch. Ends after ``patience`` epochs without
-    a gain of ``tol``. ``forward`` and ``adjoint`` stand between x and what the objective sees.
-    Returns x and the scaled loss after each epoch."""
-    forward, adjoint = forward or (lambda z: z), adjoint or (lambda g: g)
-    nm = nx * ny + nx + ny
-    top = np.linalg.eigvalsh(ycov)[-1] / nx if len(ycov) else 1.0
-    eta = rate / (top if np.isfinite(top) and top > 0 else 1.0) / nm
-    scale = lambda z: (objective(forward(z), ycov, yout, ydot, nx, ny, bx, by)[0] + penalty_rows(kind, z, fac)) / nm
-    losses, best, waited = [], np.inf, 0
-    for _ in range(epochs):
-        z = x
-        for i in range(steps):
-            gradient = adjoint(objective(forward(z), ycov, yout, ydot, nx, ny, bx, by)[1])
-            new = prox_rows(kind, z - eta * gradient, eta, fac)
-            t0, t1 = momentum(i, nu)
-            w = (1 - t0) * x + t0 * new
-            x, z = new, (1 - t1) * new + t1 * w
-        losses.append(scale(x))
-        waited = waited + 1 if losses[-1] > best - tol else 0
-        best = min(best, losses[-1])
-        if waited >= patience:
-            break
-    return x, losses

@@ -10,34 +10,53 @@ from ..functions.numeric import aspect
 from .stencils import by_frame, grey_closing, log_filter, region, rescaled
 
 
-def brightest(image: np.ndarray) -> tuple[int, int]:
-    return divmod(int(image.argmax()), image.shape[1])
+def at_peaks(frames: DataFrame, peaks: DataFrame, height: int, width: int, work, schema: str) -> DataFrame:
+    """``work(segid, image, y, x)`` for every peak (segid, t, y, x, radius) on its frame filtered at its
+    radius; it returns a dict of columns without segid. Only frames that have peaks are read on;
+    peaks on frames that are null, ragged or missing have no rows."""
+    wanted = peaks.groupBy("t").agg(F.collect_list(F.struct("segid", "y", "x", "radius")).alias("own"))
+    names = [c.split()[0] for c in schema.split(",")]
 
+    def run(batches):
+        import pyarrow as pa
 
-def grow_brightest(frames: DataFrame, height: int, width: int) -> DataFrame:
-    """(segid, y, x, v): in every frame the region that grows from its brightest pixel."""
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in names}
+            for px, own in zip(batch.column("px").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                if px is None or len(px) != height * width:
+                    continue
+                image = np.array(px, float).reshape(1, height, width)
+                for peak in own:
+                    found = work(log_filter(image, peak["radius"])[0], peak["y"], peak["x"])
+                    for n, values in found.items():
+                        out[n].append(values)
+                    out["segid"].append(np.full(len(next(iter(found.values()))), peak["segid"], np.int32))
+            if out["segid"]:
+                yield pa.RecordBatch.from_pydict({n: np.concatenate(c) for n, c in out.items()})
 
-    def work(t, images):
-        rows = [(segid, *at, image[at]) for segid, image in zip(t, images, strict=True) for at in zip(*np.nonzero(region(image, *brightest(image))), strict=True)]
-        columns = list(zip(*rows, strict=True))
-        return {n: np.array(c, k) for n, c, k in zip(("segid", "y", "x", "v"), columns, (np.int32, np.int32, np.int32, float), strict=True)}
+    return frames.join(wanted, "t").select("px", "own").mapInArrow(run, schema)
 
-    return by_frame(frames, height, width, work, "segid int, y int, x int, v double")
 
+def grow(frames: DataFrame, peaks: DataFrame, height: int, width: int) -> DataFrame:
+    """(segid, y, x, v): the region that grows from every peak on its filtered frame."""
 
-def make_footprints(frames: DataFrame, height: int, width: int, radius: float, closing: int) -> DataFrame:
-    """(segid, y, x, a > 0): per frame, filter at ``radius``, grow from the brightest place, rescale, close."""
+    def work(image, y, x):
+        ys, xs = np.nonzero(region(image, y, x))
+        return {"y": ys.astype(np.int32), "x": xs.astype(np.int32), "v": image[ys, xs]}
 
-    def work(t, images):
-        out: dict[str, list] = {"segid": [], "y": [], "x": [], "a": []}
-        for segid, image in zip(t, log_filter(images, radius), strict=True):
-            closed = grey_closing(rescaled(image, region(image, *brightest(image))), closing)
-            y, x = np.nonzero(closed > 0)
-            for name, values in zip(out, (np.full(len(y), segid, np.int32), y.astype(np.int32), x.astype(np.int32), closed[y, x]), strict=True):
-                out[name].append(values)
-        return {n: np.concatenate(c) for n, c in out.items()}
+    return at_peaks(frames, peaks, height, width, work, "segid int, y int, x int, v double")
 
-    return by_frame(frames, height, width, work, "segid int, y int, x int, a double")
+
+def make_footprints(frames: DataFrame, peaks: DataFrame, height: int, width: int, closing: int = 10) -> DataFrame:
+    """(segid, y, x, a > 0): per peak, its frame filtered at its radius, grown from its place, brought
+    to 0..1 and closed. A region of one value has no weight and no rows."""
+
+    def work(image, y, x):
+        closed = grey_closing(rescaled(image, region(image, y, x)), closing)
+        ys, xs = np.nonzero(closed > 0)
+        return {"y": ys.astype(np.int32), "x": xs.astype(np.int32), "a": closed[ys, xs]}
+
+    return at_peaks(frames, peaks, height, width, work, "segid int, y int, x int, a double")
 
 
 def clean_footprints(footprints: DataFrame, height: int, width: int, radii: list[float], closing: int) -> DataFrame:
@@ -49,7 +68,8 @@ def clean_footprints(footprints: DataFrame, height: int, width: int, radii: list
 
         image = np.zeros((height, width))
         image[rows["y"], rows["x"]] = rows["a"]
-        image /= image.max()
+        if image.max() > 0:
+            image /= image.max()
         space = np.stack([log_filter(image, r) for r in radii])
         ri, cy, cx = np.unravel_index(space.argmax(), space.shape)
         closed = grey_closing(rescaled(space[ri], region(space[ri], cy, cx)), closing)
@@ -65,6 +85,19 @@ def positive_parts(pixels: DataFrame, key: str = "t") -> DataFrame:
     return pixels.where("v > 0").join(top, key).select(F.col(key).alias("segid"), "y", "x", (F.col("v") / F.col("top")).alias("a"))
 
 
+def positive_frames(frames: DataFrame, width: int) -> DataFrame:
+    """The same of packed frames, within the row: no shuffle."""
+    top = frames.select(F.col("t").alias("segid"), F.array_max("px").alias("top"), F.posexplode("px").alias("p", "v"))
+    return top.where("v > 0").select("segid", (F.col("p") / width).cast("int").alias("y"), (F.col("p") % width).cast("int").alias("x"), (F.col("v") / F.col("top")).alias("a"))
+
+
+def densify(footprints: DataFrame, height: int, width: int) -> DataFrame:
+    """(segid, px): every footprint as a packed image, zero where it has no weight."""
+    size = height * width
+    held = footprints.groupBy("segid").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int"), F.col("a")))).alias("m"))
+    return held.select("segid", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.coalesce(F.element_at("m", p), F.lit(0.0))).alias("px"))
+
+
 def measures(footprints: DataFrame) -> DataFrame:
     """(segid, asum, area, aratio)."""
     return footprints.groupBy("segid").agg(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.store import materialise
 from .stencils import by_frame, log_scales, max_pool
 
 
@@ -43,11 +43,11 @@ def best_peaks(found: DataFrame, scales: Sequence[float]) -> DataFrame:
     return top.select("y", "x", (-F.col("b.t")).alias("t"), (-F.col("b.ri")).alias("ri"), radius.alias("radius"), F.col("b.v").alias("v"))
 
 
-def suppress(y, x, radius, v, low: float, high: float, ratio: float) -> np.ndarray:
+def suppress(y, x, radius, v, low: float, high: float, ratio: float, old=None) -> np.ndarray:
     """Greedy suppression in descending v (then y, x): 1 cell, 2 background, 0 removed.
 
-    Distances are in units of the candidate's radius. Radii below ``low`` go; above ``high`` they
-    are backgrounds if no accepted background is nearer than ``ratio``; others are cells if no
+    Distances are in units of the candidate's radius. Radii below ``low`` go; those above ``high``, and
+    candidates that are backgrounds already (``old``), are backgrounds if no accepted background is nearer than ``ratio``; others are cells if no
     accepted cell is nearer, and an accepted cell removes what is left within ``ratio`` of it.
     """
     kind, open_ = np.zeros(len(v), np.int32), np.ones(len(v), bool)
@@ -60,11 +60,12 @@ def suppress(y, x, radius, v, low: float, high: float, ratio: float) -> np.ndarr
         r = radius[i]
         if r < low:
             continue
-        held = wide if r > high else cells
+        ground = r > high or old is not None and bool(old[i])
+        held = wide if ground else cells
         if held and np.min(np.hypot(y[held] - y[i], x[held] - x[i])) / r < ratio:
             continue
         held.append(i)
-        if r > high:
+        if ground:
             kind[i] = 2
             continue
         kind[i] = 1
@@ -72,18 +73,24 @@ def suppress(y, x, radius, v, low: float, high: float, ratio: float) -> np.ndarr
     return kind
 
 
-def reduce_peaks(peaks: DataFrame, height: int, width: int, low: float, high: float, ratio: float, block: int = 100, bg_type: str = "bg") -> DataFrame:
+def reduce_peaks(peaks: DataFrame, height: int, width: int, low: float, high: float, ratio: float, block: int = 100, bg_type: str = "bg", widest: float | None = None) -> DataFrame:
     """(segid, kind, y, x, t, radius, firmness) after suppression in tiles of ``block`` pixels.
 
     A tile sees a halo of ratio times the largest radius around it and keeps the peaks that it
-    owns. Tiles cover the whole frame. Within a frame one tile is what the whole would be.
+    owns. Tiles cover the whole frame. Within a frame one tile is what the whole would be. The
+    largest radius is ``widest`` or read from the peaks. A boolean column ``old_bg`` marks peaks that are
+    backgrounds already. Peaks without a value are none; without peaks the result is empty.
     """
-    halo = int(np.ceil(ratio * peaks.agg(F.max("radius")).first()[0] or 0))
+    if "old_bg" not in peaks.columns:
+        peaks = peaks.withColumn("old_bg", F.lit(False))
+    if widest is None:
+        widest = peaks.agg(F.max("radius")).first()[0] or 0.0
+    halo = int(np.ceil(ratio * widest))
     tile = lambda c, d: F.sequence(F.floor((F.greatest(F.col(c) - halo, F.lit(0))) / block), F.floor(F.least(F.col(c) + halo, F.lit(d - 1)) / block))
     dealt = peaks.where("v is not null").withColumn("ty", F.explode(tile("y", height))).withColumn("tx", F.explode(tile("x", width)))
 
     def run(key, rows):
-        kind = suppress(*(rows[c].to_numpy() for c in ("y", "x", "radius", "v")), low, high, ratio)
+        kind = suppress(*(rows[c].to_numpy() for c in ("y", "x", "radius", "v")), low, high, ratio, rows["old_bg"].fillna(False).to_numpy(bool))
         rows = rows.assign(kind=kind)
         own = (rows["y"] // block == rows["ty"]) & (rows["x"] // block == rows["tx"])
         return rows.loc[own & (kind > 0), ["y", "x", "t", "radius", "v", "kind"]]
@@ -96,13 +103,15 @@ def reduce_peaks(peaks: DataFrame, height: int, width: int, low: float, high: fl
 
 
 def with_segid(peaks: DataFrame) -> DataFrame:
-    """Number peaks from 0: cells first, then backgrounds, each by falling firmness, then y, x.
-    Numbers come from the rank within range partitions plus what stands before them."""
-    order = [F.when(F.col("kind") == "cell", 0).otherwise(1), F.desc("firmness"), "y", "x"]
-    ranked = peaks.orderBy(*order).rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    schema = StructType([*peaks.schema.fields, StructField("segid", LongType())])
-    out = peaks.sparkSession.createDataFrame(ranked, schema)
-    return out.select(F.col("segid").cast("int"), *peaks.columns)
+    """Number peaks from 0: cells first, then backgrounds, each by falling firmness, then y, x. Peaks
+    are sorted in ranges; a number is the place within its range after what the ranges before hold."""
+    order = [F.when(F.col("kind") == "cell", 0).otherwise(1), F.desc("firmness"), F.asc("y"), F.asc("x")]
+    at = F.monotonically_increasing_id()  # the partition in the high bits, the row in the low 33
+    placed = materialise(peaks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "peaks")
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))  # one row a range
+    return placed.join(base, "_part").select((F.col("_base") + F.col("_at")).cast("int").alias("segid"), *peaks.columns)
 
 
 def tiles(height: int, width: int, rows: int, columns: int, margin: int) -> list[tuple[int, int, int, int, int, int]]:

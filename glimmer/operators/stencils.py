@@ -95,19 +95,23 @@ def region(image: np.ndarray, y: int, x: int) -> np.ndarray:
 
 
 def rescaled(image: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Values inside brought to 0..1, zero outside; a flat region has no scale and is null (NaN)."""
+    """Values inside brought to 0..1, zero outside; a flat region has no scale and is zero."""
     low, high = image[inside].min(), image[inside].max()
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(inside, (image - low) / (high - low) if high > low else np.nan, 0.0)
+    return np.where(inside, (image - low) / (high - low), 0.0) if high > low else np.zeros_like(image)
 
 
 def by_frame(frames: DataFrame, height: int, width: int, work: Callable, schema: str) -> DataFrame:
-    """``work(t, images)`` on batches of frames; it returns a dict of columns for ``schema``."""
+    """``work(t, images)`` on batches of frames; it returns a dict of columns for ``schema``. A frame
+    that is null or has another number of pixels has no rows; a null pixel is NaN to ``work``."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
+            whole = pc.fill_null(pc.equal(pc.list_value_length(batch.column("px")), height * width), False)
+            if not pc.all(whole).as_py():
+                batch = batch.filter(whole)
             if not batch.num_rows:
                 continue
             flat = batch.column("px").flatten().to_numpy(zero_copy_only=False)

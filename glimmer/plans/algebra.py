@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import tidy
 from ..operators import algebra as A
+from ..operators import models as V
 from ..operators import normalize as N
 from ..sources import movies as M
 from ..sources.store import materialise
@@ -15,19 +16,27 @@ from .segment import LABELS, label_footprints
 
 PLACES = SIDE * SIDE
 ETA, FAC = 0.5, 40.0
+STEP_ETA, STEP_FAC = 1e-3, 50.0
 
 
-def unit_pixels(spark, d):
+def gram_matrix(spark, d):
+    return A.gram(label_footprints(spark, d), PLACES).select("i", "j", tidy("ycov").alias("ycov"), tidy("yout").alias("yout"))
+
+
+def unit_frames(spark, d):
     m = materialise(N.pixel_moments(frames(spark, d), SIDE, SIDE), "moments")
-    return M.pixels(N.normalized(frames(spark, d), m, N.scalar_stats(m), SIDE, SIDE))
+    return N.normalized(frames(spark, d), m, N.scalar_stats(m), SIDE, SIDE)
 
 
-def gram_matrix(spark, d):
-    return A.gram(label_footprints(spark, d), PLACES).select("i", "j", tidy("ycov").alias("ycov"), tidy("yout").alias("yout"))
+def dots(spark, d, footprints):
+    """(segid, t, v): centred footprints times every frame, in the scan's tasks."""
+    whole = [(0, 0, SIDE, 0, SIDE, 0)]
+    found = V.tile_dots(unit_frames(spark, d), footprints.withColumn("tile", F.lit(0)), whole, SIDE, SIDE)
+    return found.select(F.col("k").cast("int").alias("segid"), "t", "v")
 
 
 def data_dot(spark, d):
-    out = A.data_product(label_footprints(spark, d), unit_pixels(spark, d), PLACES)
+    out = dots(spark, d, materialise(label_footprints(spark, d), "label-footprints"))
     return out.select("segid", "t", tidy("v", 5).alias("v"))
 
 
@@ -38,14 +47,19 @@ def first_traces(spark, d, footprints=None):
     return raw
 
 
-def loss_value(spark, d):
-    # both are read several times, and small beside the movie
+def _problem(spark, d):
+    """Footprints, starting traces, Gram matrix, data product and V of the objective, as stage files."""
+    # all are read several times, and small beside the movie
     p = materialise(label_footprints(spark, d), "label-footprints")
     x = materialise(first_traces(spark, d, p).withColumnRenamed("segid", "k"), "first-traces")
     pairs = materialise(A.gram(p, PLACES), "gram")
     nx = frames(spark, d).count()
-    dot = A.data_product(p, unit_pixels(spark, d), PLACES).withColumnRenamed("segid", "k")
-    out = A.variance(pairs.select("i", "j", "ycov"), pairs.select("i", "j", "yout"), dot, x, nx, PLACES, 0.1, 0.1)
+    dot = materialise(dots(spark, d, p).withColumnRenamed("segid", "k"), "dots")
+    return x, pairs, dot, nx, A.variance(pairs.select("i", "j", "ycov"), pairs.select("i", "j", "yout"), dot, x, nx, PLACES, 0.1, 0.1)
+
+
+def loss_value(spark, d):
+    out = _problem(spark, d)[-1]
     return out.select(tidy("v", 3).alias("v"), tidy("loss", 2).alias("loss"), tidy("sigma").alias("sigma"))
 
 
@@ -65,17 +79,10 @@ def penalty_value(spark, d):
 
 
 def nesterov_step(spark, d):
-    """One accelerated proximal step on the traces towards zero-gradient smoothness: the gradient is
-    the trace minus the mean of its two neighbours in time."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("id").orderBy("t")
-    x = traces(spark, d)
-    g = F.col("v") - (F.coalesce(F.lag("v").over(w), F.col("v")) + F.coalesce(F.lead("v").over(w), F.col("v"))) / 2
-    t0, t1 = A.momentum(1)
-    stepped = x.withColumn("z", F.col("v") - 0.3 * g).withColumn("new", A.prox("nonneg_l1", F.col("z"), 0.3, FAC))
-    ahead = (1 - t0) * F.col("v") + t0 * F.col("new")
-    return stepped.select("id", "t", tidy("new").alias("new"), tidy((1 - t1) * F.col("new") + t1 * ahead).alias("z"))
+    """One accelerated proximal step of the objective from the starting traces."""
+    x, pairs, dot, nx, value = _problem(spark, d)
+    out = A.step(pairs, dot, x, materialise(value, "value"), nx, PLACES, 0.1, 0.1, STEP_ETA, STEP_FAC, 1)
+    return out.select("k", "t", tidy("new", 5).alias("new"), tidy("z", 5).alias("z"))
 
 
 def reconstruct(spark, d):
@@ -112,8 +119,17 @@ ORACLES = {
       SELECT {r('v', 3)} AS v, {r('nm / 2 * (ln(v) - ln(nm))', 2)} AS loss, {r('sqrt(v / nm)')} AS sigma FROM vv""",
     "penalty_value": f"""WITH {TRACES} SELECT 'l1' AS kind, {r('sum(abs(0.01 * v))', 4)} AS value FROM traces UNION ALL SELECT 'l2', {r('sum(pow(0.01 * v, 2))', 4)} FROM traces
       UNION ALL SELECT 'nonneg_l1', {r('sum(0.01 * greatest(v, 0.0))', 4)} FROM traces UNION ALL SELECT 'maxnorm', {r('sum(q)', 4)} FROM (SELECT sum(0.01 * greatest(v, 0.0)) / nullif(max(greatest(v, 0.0)), 0) AS q FROM traces GROUP BY id)""",
-    "nesterov_step": f"""WITH {TRACES}, g AS (SELECT *, v - 0.3 * (v - (coalesce(lag(v) OVER w, v) + coalesce(lead(v) OVER w, v)) / 2) AS z FROM traces WINDOW w AS (PARTITION BY id ORDER BY t)),
-      s AS (SELECT *, greatest(z - {0.3 * FAC!r}, 0.0) AS n FROM g) SELECT id, t, {r('n')} AS new, {r('(1 - t1) * n + t1 * ((1 - t0) * v + t0 * n)')} AS z FROM s, (SELECT 21 / 20.0::DOUBLE AS t0, 21 / 22.0::DOUBLE AS t1)""",
+    "nesterov_step": f"""WITH {UNIT}, {LABELS}, {GRAM}, {DOT}, {START}, n AS (SELECT count(DISTINCT t) * 1.0 AS nx FROM pixels),
+      cen AS (SELECT k, t, v - avg(v) OVER (PARTITION BY k) AS c, avg(v) OVER (PARTITION BY k) AS m, v FROM start),
+      xx AS (SELECT a.k AS i, b.k AS j, sum(a.c * b.c) AS xx FROM cen a JOIN cen b USING (t) GROUP BY 1, 2), ms AS (SELECT DISTINCT k, m FROM cen),
+      parts AS (SELECT sum(ycov * xx) AS p1, sum(yout * xx) AS p2, sum(ycov * a.m * b.m) AS p3 FROM gram JOIN xx USING (i, j) JOIN ms a ON a.k = i JOIN ms b ON b.k = j),
+      vv AS (SELECT p1 - 2 * (SELECT sum(dots.v * c) FROM dots JOIN cen USING (k, t)) + nx * {PLACES} + {PLACES} * 0.1 * p2 + nx * 0.1 * p3 AS v, nx * {PLACES} + nx + {PLACES} AS nm FROM parts, n),
+      lin AS (SELECT i AS k, t, sum((ycov + {PLACES} * 0.1 * yout) * c) AS lin FROM gram JOIN cen ON k = j GROUP BY 1, 2),
+      tied AS (SELECT i AS k, sum(ycov * m) AS tied FROM gram JOIN ms ON k = j GROUP BY 1),
+      dd AS (SELECT k, t, v - avg(v) OVER (PARTITION BY k) AS dot FROM dots),
+      y AS (SELECT k, t, cen.v, cen.v - {STEP_ETA!r} * nm / (2 * vv.v) * (2 * (lin - dot) + 0.2 * tied) AS y FROM cen JOIN lin USING (k, t) JOIN dd USING (k, t) JOIN tied USING (k), vv),
+      s AS (SELECT *, greatest(y - {STEP_ETA * STEP_FAC!r}, 0.0) AS new FROM y)
+      SELECT k, t, {r('new', 5)} AS new, {r('(1 - t1) * new + t1 * ((1 - t0) * v + t0 * new)', 5)} AS z FROM s, (SELECT 21 / 20.0::DOUBLE AS t0, 21 / 22.0::DOUBLE AS t1)""",
     "reconstruct": f"WITH {CENTRED}, {LABELS}, {START} SELECT s.t, y, x, {r('sum(a * s.v)')} AS v FROM lfoot f JOIN start s ON s.k = f.segid GROUP BY ALL",
     "background_weight": f"WITH {TRACES} SELECT id, {r('sum(abs(0.0001 * v))')} AS weight FROM traces GROUP BY id",
 } | {f"prox_{k}": f"WITH {TRACES} SELECT id, t, {r(_PROX[k])} AS v FROM (SELECT *, max(greatest(v, 0.0)) OVER (PARTITION BY id) AS top FROM traces)" for k in _KIND}

@@ -14,6 +14,7 @@ from .movie import r
 SIZE, FAST, SLOW, SCALE = T.double_exp()
 FRAMES = M.HOURS - SIZE + 1
 EDGES = [-3.0, -1.0, 0.0, 0.5, 1.0, 2.0, 5.0]
+FIRM_EDGES = [0.0, 0.05, 0.1, 0.2, 0.4, 1.0]
 
 
 def spikes(spark, d):
@@ -109,7 +110,7 @@ def robust_report(spark, d):
 
 
 def evaluate_kind(spark, d):
-    return C.renumber(C.silent_to_remove(cells(spark, d))).select("segid", "kind", "old_kind", "spkid", "bgid")
+    return C.silent_to_remove(cells(spark, d)).select("segid", "kind", "old_kind", "spkid", "bgid")
 
 
 def _metrics(spark, d):
@@ -137,6 +138,28 @@ def sort_segid(spark, d):
     return with_segid(c).select("segid", "kind", "t", tidy("firmness").alias("firmness"))
 
 
+def histogram_firmness(spark, d):
+    """Cells by bins of firmness; half-open, the last closed."""
+    z = live(spark, d).select(T.in_bins(F.col("firmness"), FIRM_EDGES).alias("bin"))
+    return z.where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def report_order(spark, d):
+    """The order of the reports: cells by falling signal, backgrounds by falling firmness, as ranks."""
+    from pyspark.sql import Window
+
+    c = cells(spark, d)
+    key = F.when(F.col("kind") == "cell", F.coalesce("signal", F.lit(0.0))).otherwise(F.col("firmness"))
+    return c.select("kind", "segid", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(key), "segid")).alias("place"))
+
+
+def after_removal(spark, d):
+    """Cells that the cleaning rules leave, as the next step reads them."""
+    kept = kept_cells(spark, d)
+    gone = C.silent_to_remove(kept).where("kind = 'remove'").select("segid")
+    return kept.join(gone, "segid", "left_anti").select("segid", "kind", tidy("radius").alias("radius"))
+
+
 def fix_top(spark, d):
     return T.damp_top(traces(spark, d)).select("id", "t", tidy("v").alias("v"))
 
@@ -160,7 +183,7 @@ def old_filters(spark, d):
 
 SPIKES = f"""spikes AS (
   SELECT * FROM (SELECT CAST(user_id AS INTEGER) AS spkid, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000000) AS INTEGER) AS u, sum(greatest(value - 100.0, 0.0)) AS v
-  FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) WHERE v > 0 AND u >= 0 AND u < {M.HOURS}
+  FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) WHERE v > 0 AND u >= 0
 ), sstats AS (
   SELECT spkid, signal, total / {M.HOURS} / nullif(signal, 0) AS udense, unz, signal / nullif(1.4826 * med, 0) AS snratio, 1 / nullif(signal / nullif(1.4826 * med, 0), 0) AS rsn
   FROM (SELECT spkid, max(v) AS signal, sum(v) AS total, count(*) AS unz, median(v) AS med FROM spikes GROUP BY spkid)
@@ -190,13 +213,19 @@ _FIX = CELLS + """, fixed AS (SELECT segid, kind AS old_kind, CASE
   WHEN kind = 'cell' AND (coalesce(zrsn > 1.0, false) OR coalesce(mah > 2.0, false) OR coalesce(udense < 0.004, false)) THEN 'background'
   WHEN kind = 'background' AND coalesce(bmax > 150.0, false) AND coalesce(bsparse > 2.0, false) THEN 'cell' ELSE kind END AS kind FROM metrics)"""
 _NUMBERED = """SELECT segid, kind, old_kind, CAST(CASE WHEN kind = 'cell' THEN n ELSE -1 END AS INTEGER) AS spkid, CAST(CASE WHEN kind = 'background' THEN n ELSE -1 END AS INTEGER) AS bgid
-  FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY segid) - 1 AS n FROM fixed)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY kind <> old_kind, segid) - 1 AS n FROM fixed)"""
 _KERNEL = f"(SELECT CAST(j AS INTEGER) AS j, (exp(-(j + 1) / {FAST!r}) - exp(-(j + 1) / {SLOW!r})) / {SCALE!r} AS w FROM range(0, {SIZE}) k(j))"
-_BINS = "CASE " + " ".join(f"WHEN z >= {a} AND z {'<=' if i == len(EDGES) - 2 else '<'} {b} THEN {i}" for i, (a, b) in enumerate(zip(EDGES[:-1], EDGES[1:], strict=True))) + " END"
+
+
+def _bins(edges):
+    return "CASE " + " ".join(f"WHEN z >= {a} AND z {'<=' if i == len(edges) - 2 else '<'} {b} THEN {i}" for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))) + " END"
+
+
+_BINS, _FIRM_BINS = _bins(EDGES), _bins(FIRM_EDGES)
 
 QUERIES = {f.__name__: f for f in (
     double_exp_kernel, spike_to_calcium, calcium_to_spike, spike_stats, signal_noise, background_stats, robust_zscore, mahalanobis, hypot_score, histogram_fixed,
-    robust_report, evaluate_kind, fix_kind, clean_rules, sort_segid, fix_top, kind_union, old_filters,
+    robust_report, histogram_firmness, report_order, after_removal, evaluate_kind, fix_kind, clean_rules, sort_segid, fix_top, kind_union, old_filters,
 )}
 ORACLES = {
     "double_exp_kernel": f"SELECT j, {r('w')} AS w, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS n FROM {_KERNEL}",
@@ -212,8 +241,12 @@ ORACLES = {
     "mahalanobis": f"WITH {CELLS} SELECT segid, {r('mah')} AS mah FROM scored",
     "hypot_score": f"WITH {CELLS} SELECT segid, {r('hypot')} AS hypot FROM scored",
     "histogram_fixed": f"WITH {CELLS} SELECT CAST({_BINS} AS INTEGER) AS bin, count(*) AS n FROM (SELECT zrsn AS z FROM scored) WHERE {_BINS} IS NOT NULL GROUP BY 1",
+    "histogram_firmness": f"WITH {CELLS} SELECT CAST({_FIRM_BINS} AS INTEGER) AS bin, count(*) AS n FROM (SELECT firmness AS z FROM live) WHERE {_FIRM_BINS} IS NOT NULL GROUP BY 1",
+    "report_order": f"WITH {CELLS} SELECT kind, segid, CAST(row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'cell' THEN coalesce(signal, 0) ELSE firmness END DESC, segid) AS INTEGER) AS place FROM cells",
+    "after_removal": f"WITH {CELLS} SELECT segid, kind, {r('radius')} AS radius FROM cells WHERE NOT (kind = 'cell' AND coalesce(signal, 0) = 0)",
     "robust_report": f"WITH {CELLS} SELECT 'firmness' AS metric, {r('mf + 2 * df')} AS level FROM mids, devs UNION ALL SELECT 'rsn', {r('mr + 2 * dr')} FROM mids, devs",
-    "evaluate_kind": f"WITH {_EVAL} {_NUMBERED}",
+    "evaluate_kind": f"""WITH {_EVAL} SELECT segid, kind, old_kind, CAST(CASE WHEN kind = 'cell' THEN n ELSE -1 END AS INTEGER) AS spkid, CAST(CASE WHEN kind = 'background' THEN n ELSE -1 END AS INTEGER) AS bgid
+      FROM (SELECT *, row_number() OVER (PARTITION BY old_kind ORDER BY segid) - 1 AS n FROM fixed)""",
     "fix_kind": f"WITH {_FIX} {_NUMBERED}",
     "clean_rules": f"""WITH {CELLS} SELECT segid, CASE WHEN (kind = 'cell' AND coalesce(pos_move > 0.25, false)) OR coalesce(radius < 3.0, false) THEN 'remove'
       WHEN coalesce(aratio > 2.6, false) OR coalesce(mah > 2.0, false) OR (kind = 'background' AND NOT coalesce(bmax > 150.0, false)) THEN 'background' ELSE 'cell' END AS kind, kind AS old_kind FROM metrics""",

@@ -111,7 +111,7 @@ def mask_crop(spark, d):
 
 def pixel_series(spark, d):
     s = M.series(M.pixels(frames(spark, d)))
-    return s.select("y", "x", F.size("v").cast("long").alias("n"), tidy(F.get("v", F.lit(0))).alias("first"), tidy(F.element_at("v", -1)).alias("last"))
+    return s.select("y", "x", "n", tidy("first").alias("first"), tidy("last").alias("last"))
 
 
 def frame_choice(spark, d):
@@ -173,12 +173,12 @@ def histogram_uniform(spark, d):
 
 
 def nms_peaks(spark, d):
-    out = P.reduce_peaks(_best(spark, d), SIDE, SIDE, 0.5, 1.5, 1.2, block=100)
+    out = P.reduce_peaks(_best(spark, d), SIDE, SIDE, 0.5, 1.5, 1.2, block=100, widest=max(RADII))
     return out.select("segid", "kind", "y", "x", "t", tidy("radius").alias("radius"), tidy("firmness").alias("firmness"))
 
 
 def nms_peaks_by_kind(spark, d):
-    out = P.reduce_peaks(_best(spark, d), SIDE, SIDE, 0.5, 1.5, 1.2, block=4)
+    out = P.reduce_peaks(_best(spark, d), SIDE, SIDE, 0.5, 1.5, 1.2, block=4, widest=max(RADII))
     return out.groupBy("kind").agg(F.count("*").alias("n"), tidy(F.max("firmness")).alias("top"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import over, tidy
 from ..sources import movies as M
+from ..sources.store import materialise
 from .algebra import first_traces
-from .cells import CELLS, SPIKES, TRACES, cells, live, spikes, traces
+from .cells import CELLS, SIZE, SPIKES, TRACES, cells, live, spikes, traces
 from .movie import CENTRED, _best, _moments, frames, r
 from .segment import LABELS, POSITIVE, centre_cells, label_footprints, positive
 
@@ -25,9 +26,9 @@ def bg_sum_image(spark, d):
 
 
 def spike_image(spark, d):
-    """Spikes over the row's maximum."""
+    """Spikes over the row's maximum, without the places that only lead into the first frame."""
     s = spikes(spark, d)
-    return s.join(s.groupBy("spkid").agg(F.max("v").alias("m")), "spkid").select("spkid", "u", tidy(F.col("v") / F.col("m")).alias("v"))
+    return s.where(F.col("u") >= SIZE - 1).join(s.groupBy("spkid").agg(F.max("v").alias("m")), "spkid").select("spkid", "u", tidy(F.col("v") / F.col("m")).alias("v"))
 
 
 def segs_crops(spark, d):
@@ -39,9 +40,10 @@ def segs_crops(spark, d):
 
 
 def cell_count_by_stage(spark, d):
-    """Cells by week of the events, as stages."""
-    e = M.table(spark, d, "events").where("user_id % 5 <> 0")
-    return e.groupBy(F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("stage")).agg(F.countDistinct("user_id").alias("n"))
+    """Cells and backgrounds by week of the events, as stages."""
+    e = M.table(spark, d, "events").select((F.floor((F.dayofmonth("ts") - 1) / 7)).cast("int").alias("stage"), "user_id").distinct()
+    kind = cells(spark, d).select(F.col("segid").cast("long").alias("user_id"), "kind")
+    return e.join(kind, "user_id").groupBy("stage", "kind").agg(F.count("*").alias("n"))
 
 
 def dense_signal(spark, d):
@@ -89,12 +91,13 @@ def close_pairs(spark, d):
     """Centres of label footprints nearer than three radii of the first, through a grid of that width."""
     from .segment import label_cells
 
-    c = label_cells(spark, d)
-    width = F.lit(24.0)
-    left = c.select(F.col("segid").alias("i"), "y", "x", "radius", F.explode(F.array(*[F.floor(F.col("y") / width) + k for k in (-1, 0, 1)])).alias("g"))
-    right = c.select(F.col("segid").alias("j"), F.col("y").alias("oy"), F.col("x").alias("ox"), F.floor(F.col("y") / width).alias("g"))
+    c = materialise(label_cells(spark, d), "label-cells")
+    c = c.crossJoin(F.broadcast(c.agg((3 * F.max("radius")).alias("w"))))  # one row
+    around = F.array(*[F.struct((F.floor(F.col("y") / F.col("w")) + a).alias("gy"), (F.floor(F.col("x") / F.col("w")) + b).alias("gx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    left = c.select(F.col("segid").alias("i"), "y", "x", "radius", F.explode(around).alias("g")).select("i", "y", "x", "radius", "g.gy", "g.gx")
+    right = c.select(F.col("segid").alias("j"), F.col("y").alias("oy"), F.col("x").alias("ox"), F.floor(F.col("y") / F.col("w")).alias("gy"), F.floor(F.col("x") / F.col("w")).alias("gx"))
     far = F.hypot(F.col("y") - F.col("oy"), F.col("x") - F.col("ox"))
-    return left.join(right, "g").where("i <> j").where(far < 3 * F.col("radius")).select("i", "j", tidy(far).alias("distance"))
+    return left.join(right, ["gy", "gx"]).where("i <> j").where(far < 3 * F.col("radius")).select("i", "j", tidy(far).alias("distance"))
 
 
 def kind_tables(spark, d):
@@ -131,9 +134,9 @@ def _oracles() -> dict[str, str]:
     return {
         "seg_max_image": f"WITH {POSITIVE} SELECT y, x, {r('max(greatest(0.0, (a - 0.3) / 0.7))')} AS a FROM foot GROUP BY y, x",
         "bg_sum_image": f"WITH {CENTRED}, {LABELS}, {START}, tops2 AS (SELECT k, max(abs(v)) AS bmax FROM start GROUP BY k), image AS (SELECT y, x, sum(a * bmax) AS v FROM lfoot JOIN tops2 ON k = segid GROUP BY y, x) SELECT y, x, {r('v / (SELECT max(v) FROM image)')} AS v FROM image",
-        "spike_image": f"WITH {SPIKES} SELECT spkid, u, {r('v / max(v) OVER (PARTITION BY spkid)')} AS v FROM spikes",
+        "spike_image": f"WITH {SPIKES} SELECT spkid, u, {r('v / m')} AS v FROM (SELECT *, max(v) OVER (PARTITION BY spkid) AS m FROM spikes) WHERE u >= {SIZE - 1}",
         "segs_crops": f"WITH {CENTRES} SELECT c.segid, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, {r('coalesce(a, 0.0)')} AS a FROM centres c, range(-2, 3) p(dy), range(-2, 3) q(dx) LEFT JOIN foot f ON f.segid = c.segid AND f.y = c.y + dy AND f.x = c.x + dx",
-        "cell_count_by_stage": "SELECT CAST(floor((day(ts) - 1) / 7) AS INTEGER) AS stage, count(DISTINCT user_id) AS n FROM events WHERE user_id % 5 <> 0 GROUP BY 1",
+        "cell_count_by_stage": f"WITH {CELLS} SELECT CAST(floor((day(ts) - 1) / 7) AS INTEGER) AS stage, kind, count(DISTINCT user_id) AS n FROM events JOIN cells ON segid = user_id GROUP BY 1, 2",
         "dense_signal": f"WITH {CELLS} SELECT segid, CASE WHEN udense > 0.01 THEN 'background' ELSE kind END AS kind, {r('udense')} AS udense, {r('signal')} AS signal FROM cells WHERE signal > 0",
         "rule_colours": f"WITH {CELLS} SELECT CASE WHEN firmness < 0.1 THEN 'firmness' WHEN udense > 0.01 THEN 'udense' WHEN rsn > 0.9 THEN 'rsn' ELSE 'kept' END AS colour, count(*) AS n FROM live GROUP BY 1",
         "compare_penalties": f"WITH {TRACES} SELECT fac, CAST(floor(sign(v) * greatest(abs(v) - fac, 0.0) / 50) AS INTEGER) AS bin, count(*) AS n FROM traces, (SELECT unnest([10.0, 20.0, 40.0]::DOUBLE[]) AS fac) GROUP BY 1, 2",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import over, tidy
 from ..operators import footprints as G
 from ..operators import peaks as P
 from ..sources import movies as M
-from .movie import PIXELS, SIDE, closing_sql, frames, log_sql, r
+from .movie import BEST_SQL, PIXELS, SIDE, closing_sql, frames, r
 
 TILES = P.tiles(SIDE, SIDE, 2, 2, 1)
 TILES_SQL = "tiles(tile, y0, y1, x0, x1, margin) AS (VALUES " + ", ".join(str(t) for t in TILES) + ")"
@@ -18,22 +19,35 @@ def tile_table(spark):
     return spark.createDataFrame(TILES, "tile int, y0 int, y1 int, x0 int, x1 int, margin int")
 
 
+def peaks(spark, d):
+    """peaks(segid, t, y, x, radius): the best peak of every pixel, numbered by place."""
+    from .movie import _best
+
+    return _best(spark, d).select((F.col("y") * SIDE + F.col("x")).cast("int").alias("segid"), "t", "y", "x", "radius")
+
+
 def segment_mask(spark, d):
-    return G.grow_brightest(frames(spark, d), SIDE, SIDE).select("segid", "y", "x")
+    return G.grow(frames(spark, d), peaks(spark, d), SIDE, SIDE).select("segid", "y", "x")
 
 
 def rescale_segments(spark, d):
-    rows = G.grow_brightest(frames(spark, d), SIDE, SIDE)
-    span = rows.groupBy("segid").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    return rows.join(span, "segid").select("segid", "y", "x", tidy(over(F.col("v") - F.col("low"), F.col("high") - F.col("low"))).alias("a"))
+    rows = G.grow(frames(spark, d), peaks(spark, d), SIDE, SIDE)
+    w = Window.partitionBy("segid")
+    return rows.select("segid", "y", "x", tidy(over(F.col("v") - F.min("v").over(w), F.max("v").over(w) - F.min("v").over(w))).alias("a"))
 
 
 def make_footprints(spark, d):
-    return G.make_footprints(frames(spark, d), SIDE, SIDE, 1.0, 4).withColumn("a", tidy("a")).where("a > 0")
+    return G.make_footprints(frames(spark, d), peaks(spark, d), SIDE, SIDE, 4).withColumn("a", tidy("a")).where("a > 0")
 
 
 def positive(spark, d):
-    return G.positive_parts(M.pixels(frames(spark, d)))
+    return G.positive_frames(frames(spark, d), SIDE)
+
+
+def dense_footprints(spark, d):
+    """Stored footprints laid out again as whole images: sum and number of places of each."""
+    dense = G.densify(label_footprints(spark, d), SIDE, SIDE)
+    return dense.select("segid", F.size("px").alias("n"), tidy(F.aggregate("px", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
 def footprint_area(spark, d):
@@ -123,15 +137,13 @@ def clean_footprints(spark, d):
     return out.groupBy("segid").agg(F.first("cy").alias("y"), F.first("cx").alias("x"), tidy(F.first("radius")).alias("radius"), tidy(F.first("firmness")).alias("firmness"), F.count("*").alias("area"))
 
 
-def _grow(source: str) -> str:
-    return f"""seeds AS (SELECT t, y, x, v FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC, y, x) AS k FROM {source}) WHERE k = 1),
-grown(t, y, x, v) AS (
-  SELECT t, y, x, v FROM seeds
+#: plog: every peak's filtered frame; grown: the region from its place.
+_GROWN = BEST_SQL + """, plog AS (SELECT b.y * 8 + b.x AS segid, s.y, s.x, s.v, s.y = b.y AND s.x = b.x AS seed FROM best b JOIN scales s ON s.t = b.t AND s.ri = b.ri
+), grown(segid, y, x, v) AS (
+  SELECT segid, y, x, v FROM plog WHERE seed
   UNION
-  SELECT p.t, p.y, p.x, p.v FROM grown g JOIN {source} p ON p.t = g.t AND abs(p.y - g.y) <= 1 AND abs(p.x - g.x) <= 1 AND p.v > 0 AND p.v <= g.v
+  SELECT p.segid, p.y, p.x, p.v FROM grown g JOIN plog p ON p.segid = g.segid AND abs(p.y - g.y) <= 1 AND abs(p.x - g.x) <= 1 AND p.v > 0 AND p.v <= g.v
 )"""
-
-
 POSITIVE = PIXELS + ", tops AS (SELECT t, max(v) AS top FROM pixels GROUP BY t), foot AS (SELECT p.t AS segid, y, x, v / top AS a FROM pixels p JOIN tops USING (t) WHERE v > 0 AND top > 0)"
 CENTRES = POSITIVE + """, centres AS (SELECT segid, y, x, radius FROM (
   SELECT segid, y, x, row_number() OVER (PARTITION BY segid ORDER BY a DESC, y, x) AS k, sqrt(count(*) OVER (PARTITION BY segid) / 3.0) AS radius FROM foot) WHERE k = 1)"""
@@ -146,15 +158,16 @@ _ASPECT = """SELECT segid, (cyy + cxx) / 2 AS half, sqrt(pow((cyy - cxx) / 2, 2)
          sum(a * y * x) / sum(a) - sum(a * y) / sum(a) * sum(a * x) / sum(a) AS cxy FROM foot GROUP BY segid)"""
 
 QUERIES = {f.__name__: f for f in (
-    segment_mask, rescale_segments, make_footprints, footprint_area, footprint_aspect, base_threshold, footprint_centres, nearest_neighbor,
+    segment_mask, rescale_segments, make_footprints, dense_footprints, footprint_area, footprint_aspect, base_threshold, footprint_centres, nearest_neighbor,
     max_overlap, tiles, tile_assign, clip_unclip, active_cells, clean_footprints, mutual_duplicates,
 )}
 ORACLES = {
-    "segment_mask": f"WITH RECURSIVE {PIXELS}, {_grow('pixels')} SELECT t AS segid, y, x FROM grown",
-    "rescale_segments": f"WITH RECURSIVE {PIXELS}, {_grow('pixels')} SELECT t AS segid, y, x, {r('(v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0)')} AS a FROM grown WINDOW w AS (PARTITION BY t)",
-    "make_footprints": f"""WITH RECURSIVE {PIXELS}, logged AS ({log_sql(1.0, 0)}), {_grow('logged')},
-      scaled AS (SELECT l.t, l.y, l.x, CASE WHEN g.v IS NULL THEN 0 ELSE (g.v - min(g.v) OVER w) / nullif(max(g.v) OVER w - min(g.v) OVER w, 0) END AS v FROM logged l LEFT JOIN grown g USING (t, y, x) WINDOW w AS (PARTITION BY l.t)),
-      {closing_sql('scaled')} SELECT t AS segid, y, x, {r('v')} AS a FROM c4 WHERE round(v, 6) > 0""",
+    "segment_mask": f"WITH RECURSIVE {_GROWN} SELECT CAST(segid AS INTEGER) AS segid, y, x FROM grown",
+    "rescale_segments": f"WITH RECURSIVE {_GROWN} SELECT CAST(segid AS INTEGER) AS segid, y, x, {r('(v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0)')} AS a FROM grown WINDOW w AS (PARTITION BY segid)",
+    "make_footprints": f"""WITH RECURSIVE {_GROWN},
+      scaled AS (SELECT l.segid AS t, l.y, l.x, CASE WHEN g.v IS NULL THEN 0 ELSE coalesce((g.v - min(g.v) OVER w) / nullif(max(g.v) OVER w - min(g.v) OVER w, 0), 0) END AS v FROM plog l LEFT JOIN grown g USING (segid, y, x) WINDOW w AS (PARTITION BY l.segid)),
+      {closing_sql('scaled')} SELECT CAST(t AS INTEGER) AS segid, y, x, {r('v')} AS a FROM c4 WHERE round(v, 6) > 0""",
+    "dense_footprints": f"WITH {LABELS} SELECT segid, 64 AS n, {r('sum(a)')} AS total FROM lfoot GROUP BY segid",
     "footprint_area": f"WITH {POSITIVE} SELECT segid, {r('sum(a)')} AS asum, count(*) AS area FROM foot GROUP BY segid",
     "footprint_aspect": f"WITH {POSITIVE} SELECT segid, {r('CASE WHEN half - spread > 1e-9 THEN sqrt((half + spread) / (half - spread)) END', 4)} AS aratio FROM ({_ASPECT})",
     "base_threshold": f"WITH {POSITIVE} SELECT segid, y, x, {r('(a - 0.3) / 0.7')} AS a FROM foot WHERE a > 0.3",

@@ -19,8 +19,16 @@ def hourly_stream(spark, d):
     return out.select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH").alias("hour"), "n", tidy("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (running_stats_stream, hourly_stream)}
+def running_products_stream(spark, d):
+    """Per label, the sum over its frames of the frame's mean times its pixels."""
+    frames = R.read_stream(spark, d, "embeddings").select(F.col("label").alias("row"), F.transform("embedding", lambda v: v.cast("double")).alias("px"))
+    return R.drain(R.running_products(frames), spark).select("row", "p", tidy("v", 4).alias("v"))
+
+
+QUERIES = {f.__name__: f for f in (running_stats_stream, hourly_stream, running_products_stream)}
 ORACLES = {
+    "running_products_stream": f"""SELECT label AS row, CAST(i - 1 AS INTEGER) AS p, {r('sum(m * CAST(embedding[i] AS DOUBLE))', 4)} AS v
+      FROM (SELECT label, embedding, list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS m FROM embeddings), range(1, 65) k(i) GROUP BY 1, 2""",
     "running_stats_stream": f"SELECT user_id, count(*) AS n, {r('sum(value)', 4)} AS total, {r('min(value)')} AS low, {r('max(value)')} AS high, (array_agg(event_id ORDER BY value DESC, event_id))[1] AS first_top FROM events GROUP BY user_id",
     "hourly_stream": f"SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n, {r('sum(value)', 4)} AS total FROM events GROUP BY 1",
 }

@@ -53,9 +53,15 @@ def chosen_frames(frames: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def series(px: DataFrame) -> DataFrame:
-    """series(y, x, v): the values of each pixel in the order of time."""
-    held = px.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
-    return held.select("y", "x", F.col("s.v").alias("v"))
+    """series(y, x, n, first, last): length and ends of each pixel's values in the order of time,
+    combined in each task before the shuffle."""
+    return px.groupBy("y", "x").agg(F.count("*").alias("n"), F.min_by("v", "t").alias("first"), F.max_by("v", "t").alias("last"))
+
+
+def mask_of(frames: DataFrame, width: int) -> DataFrame:
+    """mask(y, x) of an image read as the first frame of a movie: where it is not zero."""
+    first = frames.orderBy("t").limit(1)
+    return pixels(first, width).where("v <> 0").select("y", "x")
 
 
 def event_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +69,7 @@ def event_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = (F.datediff("ts", F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("int")
     value = F.greatest(F.col("value") - 100.0, F.lit(0.0))
     rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").cast("int").alias("spkid"), hour.alias("u")).agg(F.sum(value).alias("v"))
-    return rows.where("v > 0 and u >= 0").where(F.col("u") < HOURS)
+    return rows.where("v > 0 and u >= 0")
 
 
 def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir. Only on a single machine, as in tests, a temporary folder stands in for
+    it; on a cluster a session without it is an error, as executors could not share one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='glimmer-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

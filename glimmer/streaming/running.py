@@ -28,6 +28,13 @@ def running_stats(events: DataFrame, key: str = "user_id", value: str = "value")
     )
 
 
+def running_products(frames: DataFrame) -> DataFrame:
+    """(row, p, v): the product of a matrix and the movie, added up as frames arrive: each frame
+    counts for its row with its mean as the weight."""
+    mean = F.aggregate("px", F.lit(0.0), lambda a, v: a + v) / F.size("px")
+    return frames.select("row", mean.alias("w"), F.posexplode("px").alias("p", "x")).groupBy("row", "p").agg(F.sum(F.col("w") * F.col("x")).alias("v"))
+
+
 def hourly(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Windowed counts and sums under a watermark, for sinks that append closed windows."""
     stamped = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from glimmer.operators import algebra as A
+from glimmer.operators import models as M
 from glimmer.operators import stencils as S
 from glimmer.operators.peaks import radii, suppress, tiles
 from glimmer.operators.traces import double_exp
@@ -131,6 +132,52 @@ def test_fit_recovers_planted_traces():
     data /= np.sqrt((data**2).mean())
     m = feet.mean(1)
     c = feet - m[:, None]
-    x, losses = A.fit(np.zeros((3, 150)), c @ c.T, np.outer(m, m), c @ data, 150, 80, 0.01, 0.01, "nonneg_l1", 1e-3, rate=0.5, epochs=60)
+    prox = lambda z, eta: [A.prox_rows("nonneg_l1", z[0], eta, 1e-3)]
+    value = lambda z: A.penalty_rows("nonneg_l1", z[0], 1e-3)
+    (x,), log = M.descend([np.zeros((3, 150))], lambda z: z[0], lambda g: [g], prox, value, c @ c.T, np.outer(m, m), c @ data, 150, 80, 0.01, 0.01, rate=0.5, epochs=60, steps=20)
+    losses = [loss for loss, _ in log]
     assert min(losses) == losses[-1] or losses[-1] - min(losses) < 1e-3
     assert min(np.corrcoef(x[k], truth[k])[0, 1] for k in range(3)) > 0.95
+
+
+def test_answer_and_its_transpose():
+    rng = np.random.default_rng(2)
+    kernel = M.response()
+    spikes, traces = rng.random((3, 60)), rng.normal(size=(3, 60 - len(kernel) + 1))
+    want = [[sum(kernel[j] * row[t + len(kernel) - 1 - j] for j in range(len(kernel))) for t in range(traces.shape[1])] for row in spikes]
+    assert np.allclose(M.answer(spikes, kernel), want)
+    assert (M.answer(spikes, kernel) * traces).sum() == pytest.approx((spikes * M.answer_back(traces, kernel)).sum())
+
+
+def test_two_population_gradient_matches_finite_differences():
+    """The objective of spikes behind the response and of signed traces, in both parts."""
+    rng = np.random.default_rng(7)
+    kernel, nx, ny = M.response(duration=0.3), 30, 50
+    feet = rng.random((3, ny))
+    m = feet.mean(1)
+    c = feet - m[:, None]
+    dot, cov, out = c @ rng.normal(size=(ny, nx)), c @ c.T, np.outer(m, m)
+    x = [rng.random((2, nx + len(kernel) - 1)), rng.normal(size=(1, nx))]
+    z = lambda x: np.vstack([M.answer(x[0], kernel), x[1]])
+    loss, slope = A.objective(z(x), cov, out, dot, nx, ny, 0.1, 0.2)
+    back = [M.answer_back(slope[:2], kernel), slope[2:]]
+    for part, at in ((0, (0, 0)), (0, (1, 20)), (1, (0, 3))):
+        moved = [a.copy() for a in x]
+        moved[part][at] += 1e-6
+        assert (A.objective(z(moved), cov, out, dot, nx, ny, 0.1, 0.2)[0] - loss) / 1e-6 == pytest.approx(back[part][at], rel=1e-3, abs=1e-4)
+
+
+def test_penalties_and_presets():
+    assert M.penalty(M.preset("a10u10")) == M.Penalty()
+    assert M.penalty(M.preset("annealing_a10u5"), 3).lu == ("maxnorm", pytest.approx(0.00015)) and M.penalty(M.preset("annealing_a10u5"), 30).lu[1] == 0.0005
+    assert M.penalty(M.preset("annealing_a100u10"), 2).la[1] == pytest.approx(0.02) and M.penalty(M.preset("zero")).lb == 0
+    other = M.penalty(M.preset("a1u1") | {"la": {"type": "NoPenalty"}, "lu": {"type": "L2", "factor": 2}})
+    assert other.la == ("none", 0.0) and other.lu == ("l2", 2.0)
+    with pytest.raises(ValueError):
+        M.penalty(M.preset("a1u1") | {"la": {"type": "other"}})
+
+
+def test_old_backgrounds_stay_backgrounds():
+    y, x, radius, v = (np.array(a, float) for a in ([0, 10, 10], [0, 0, 1], [2, 2, 2], [3, 2, 1]))
+    assert suppress(y, x, radius, v, 1, 5, 1.2).tolist() == [1, 1, 0]
+    assert suppress(y, x, radius, v, 1, 5, 1.2, np.array([False, True, False])).tolist() == [1, 2, 1]
