@@ -1,14 +1,16 @@
-"""Helpers that the text operators share: tables, cutting lineage, word splitting."""
+"""Helpers that the text operators share: tables, spreading hot keys, word splitting; ``cut`` writes
+a table to the shared folder and reads it back."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise as cut
+
+__all__ = ["SALT", "WORD_BREAK", "beside", "cut", "in_fold", "number_words", "slices", "split_words", "table"]
+
 #: What separates words: the space and the controls from tab to carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -17,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names
-    none (single-machine tests) a temporary folder is made and remembered."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='glimmer-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later steps
-    start from files that survive lost executors and do not recompute it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows of one key are spread over so many groups before they meet their key's total.
 SALT = 256
 
