@@ -228,7 +228,8 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
     first = (F.col(id_column) == F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
     ids = found.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count("*").alias("_rows"), F.max(first).alias("_stay"))
     stay_ids = cut(ids.where("_stay"), "kept-ids")
-    out = docs.join(stay_ids.where("_rows = 1"), id_column).select(*docs.columns)
+    # the same join at every size, so that small tables show what large ones cost
+    out = docs.join(stay_ids.where("_rows = 1").hint("merge"), id_column).select(*docs.columns)
     if stay_ids.where("_rows > 1").limit(1).count():
         rows = docs.join(stay_ids.where("_rows > 1"), id_column).select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
         own = fingerprints(rows, "_row", "_text").select("_row", F.col(f"_row.{id_column}").alias("_id"), F.col("fp").alias("_fp"))
