@@ -21,9 +21,9 @@ from .shared import cut, slices, table
 
 SPACE = "▁"
 #: A chunk ends after so many characters or different windows; memory of a task follows these.
-CHUNK_CHARS, CHUNK_WINDOWS = 32_000_000, 600_000
+CHUNK_CHARS, CHUNK_WINDOWS = 12_000_000, 250_000
 #: Characters that are encoded at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 class ByteTokenizer:
