@@ -60,6 +60,50 @@ def test_wrappers_stay_and_unmarked_boilerplate_goes(page):
     assert html_text.main_text(page) == WANT
 
 
+SENTENCE = "This is a sentence of the article with several words in it."
+NAV = "<nav><a href=/>Home</a> <a href=/x>About</a></nav>"
+MORE = [f"More {i}" for i in range(12)]
+
+
+@pytest.mark.parametrize("tag", ["main", "article", "div", "div class=content"])
+def test_no_part_of_an_article_is_lost(tag):
+    """Sections of unequal length, inline markup, lists of links and weakly named prose amid the text."""
+    end = tag.split()[0]
+
+    def text(inside, after=""):
+        return html_text.main_text(f"<body>{NAV}<{tag}>{inside}</{end}>{after}<footer>f</footer></body>").split("\n")
+
+    uneven = [" ".join([SENTENCE] * k) for k in (1, 3, 2, 1, 3, 2)]
+    assert text("".join(f"<div><p>{x}</p></div>" for x in uneven), LINKS) == uneven
+    one = f"<section><h2>One</h2><p>{SENTENCE * 8}</p><p>{SENTENCE * 5}</p></section>"
+    assert text(f"{one}<section><h2>Two</h2><p>{SENTENCE}</p></section>") == ["One", SENTENCE * 8, SENTENCE * 5, "Two", SENTENCE]
+    marked = f"{SENTENCE} <b>a</b> <i>b</i> <a href=x>c</a> <b>d</b> {SENTENCE}"
+    assert text(f"{one}<section><h2>Two</h2><p>{marked}</p></section>")[3:] == ["Two", f"{SENTENCE} a b c d {SENTENCE}"]
+    assert text(f"<p>{SENTENCE * 5}</p>{LINKS}<p>{SENTENCE * 4}</p>{LINKS}", LINKS) == [SENTENCE * 5, *MORE, SENTENCE * 4]
+    assert text(f"<p>{SENTENCE * 5}</p><section class=legal><p>{SENTENCE * 3}</p></section><p>{SENTENCE * 4}</p>") == [SENTENCE * 5, SENTENCE * 3, SENTENCE * 4]
+    assert text(f"<p>{SENTENCE * 5}</p><div class=ad><p>{SENTENCE * 3}</p></div><p>{SENTENCE * 4}</p>", f"<div class=comments><p>{SENTENCE}</p></div>") == [SENTENCE * 5, SENTENCE * 4]
+
+
+def test_stray_quotes_take_no_text():
+    for odd in ('<img alt="a"" src=x>', "<span title=don't></span>", '<a href="x></a>', "<i class='></i>", "<hr a=b'c'>"):
+        page = f"<body><article><p>{SENTENCE}</p>{odd}<p>{SENTENCE} a</p><p>{SENTENCE} it is</p></article></body>"
+        assert html_text.main_text(page) == f"{SENTENCE}\n{SENTENCE} a\n{SENTENCE} it is", odd
+    assert html_text.main_text(f"<p title='a>b'>{SENTENCE}</p>") == SENTENCE
+
+
+@pytest.mark.parametrize("tags", ["<span>", "<b><p>", "<p><div>", "</x><span>", "<span></b>", "<dt><span>", "<a b='", "<li>"])
+def test_time_follows_the_length_however_many_tags_stay_open(tags):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text("<body>" + (tags + "x ") * n)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 16 * max(0.05, min(seconds(5_000) for _ in range(2)))
+
+
 def test_formulas_and_titles_stay():
     page = f"<body><div class=wrap><h1>Title</h1><div>{LINES}<p>It is <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here.</p></div></div>{LINKS}</body>"
     assert html_text.main_text(page) == f"Title\n{WANT}\nIt is mc2 here."
