@@ -140,10 +140,12 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Run]:
     return [run for runs in bins.values() for run in runs]
 
 
-def fewest_possible(counts: np.ndarray, capacity: int) -> int:
+def fewest_possible(counts: np.ndarray, capacity: int, numbers: bool = True) -> int:
     """A lower bound on the sequences that ``counts`` need: the largest of the volume, of the bounds
-    that split pieces at half the capacity and at each smaller length, and of those by roundings to
-    k-ths of a sequence, under which no filling can exceed one sequence."""
+    that split pieces at half the capacity and at each smaller length, of those by roundings to k-ths of
+    a sequence, under which no filling can exceed one sequence, and of those by the number of pieces
+    that sequences can hold (left out without ``numbers``), for all pieces and for those of at least a
+    k-th of a sequence."""
     n, length = np.asarray(counts, np.int64), np.arange(len(counts))
     volume = int((n * length).sum())
     best = -(-volume // capacity)
@@ -157,7 +159,51 @@ def fewest_possible(counts: np.ndarray, capacity: int) -> int:
     k = np.arange(1, 33)[:, None]
     whole = (k + 1) * length
     rounded = np.where(whole % capacity == 0, whole * k, whole // capacity * (k + 1) * capacity)  # in units of 1 / (k (k + 1) capacity)
-    return max(best, int((-(-(n * rounded).sum(1) // (k * (k + 1) * capacity)[:, 0])).max()))
+    best = max(best, int((-(-(n * rounded).sum(1) // (k * (k + 1) * capacity)[:, 0])).max()))
+    if not numbers:
+        return best
+    return max([best, *(by_numbers(np.where(length >= capacity // part, n, 0), capacity) for part in (capacity, 12, 9, 7, 6, 5, 4, 3))])
+
+
+def holding(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """For c = 1, 2, ...: how many sequences at most can hold c pieces each, by the c x k shortest pieces,
+    whose total is at most k sequences' for no larger k."""
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return np.zeros(0, np.int64)
+    many = np.cumsum(counts[lengths])
+    sums = np.cumsum(counts[lengths] * lengths)
+    c = np.arange(1, min(int(many[-1]), capacity // int(lengths[0])) + 1)
+
+    def shortest(m: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(many, m), len(many) - 1)
+        return sums[at] - (many[at] - m) * lengths[at]
+
+    low, high = np.zeros(len(c), np.int64), many[-1] // c
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        fits = shortest(c * mid) <= mid * capacity
+        low, high = np.where(fits, mid, low), np.where(fits, high, mid - 1)
+    return low
+
+
+def by_numbers(counts: np.ndarray, capacity: int) -> int:
+    """The least B for which the pieces can be spread: those that come c-th in their sequence are at most
+    as many as B and as the sequences that can hold c."""
+    pieces, most = int(counts.sum()), holding(counts, capacity)
+    if not pieces:
+        return 0
+    # sum of min(B, most[c]) over c, with most in descending order
+    upto = np.append(np.cumsum(most[::-1])[::-1], 0)
+    low, high = 1, pieces
+    while low < high:
+        mid = (low + high) // 2
+        above = int(np.searchsorted(-most, -mid, "right"))  # entries of mid and more
+        if above * mid + int(upto[above]) >= pieces:
+            high = mid
+        else:
+            low = mid + 1
+    return low
 
 
 class Budget:
@@ -228,23 +274,67 @@ def fillings(counts: np.ndarray, room: int, most_waste: int, budget: Budget) ->
         low = high
 
 
+def filled_with(counts: np.ndarray, capacity: int, c: int, sequences: int, budget: Budget) -> list[Run]:
+    """Sequences of c or more pieces out of the c x ``sequences`` shortest pieces, each around the largest
+    left there with the filling that wastes least; then best fit of all other pieces."""
+    pool, want = np.zeros_like(counts), c * sequences
+    for length in np.flatnonzero(counts):
+        pool[length] = min(int(counts[length]), want)
+        want -= int(pool[length])
+    rest, runs = counts - pool, []
+    while pool.any() and budget.spend():
+        largest = int(np.flatnonzero(pool)[-1])
+        pool[largest] -= 1
+        found = next((f for _, f in fillings(pool, capacity - largest, capacity, budget) if len(f) >= c - 1), None)
+        pool[largest] += 1
+        if found is None:
+            rest[largest] += pool[largest]
+            pool[largest] = 0
+            continue
+        pieces = [largest, *found]
+        need = {x: pieces.count(x) for x in pieces}
+        times = min(int(pool[x]) // n for x, n in need.items())
+        for x, n in need.items():
+            pool[x] -= n * times
+        runs.append(Run(pieces, times))
+    return runs + best_fit(rest + pool, capacity)
+
+
+def first_packing(counts: np.ndarray, capacity: int, least: int, nodes: int | None) -> list[Run]:
+    """Best fit, or a better packing by numbers of pieces: for c from 2 to 8, as many sequences of c
+    pieces as there can be, and a few per cent fewer. Ends when one meets ``least``; each may look at
+    ``nodes`` nodes."""
+    best = best_fit(counts, capacity)
+    bins, most = sum(r.times for r in best), holding(counts, capacity)
+    for c in range(2, min(len(most), 8) + 1):
+        for share in (1.0, 0.985, 0.97, 0.94):
+            sequences = int(most[c - 1] * share)
+            if bins <= least or not sequences:
+                break
+            made = filled_with(counts, capacity, c, sequences, Budget(nodes))
+            if sum(r.times for r in made) < bins:
+                best, bins = made, sum(r.times for r in made)
+    return best
+
+
 def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | None = SEARCH_NODES) -> list[Run]:
     """Runs of sequences that hold ``counts[length]`` pieces of each length, in as few sequences
-    as the search finds; best fit gives the first incumbent.
+    as the search finds; best fit, or a packing by numbers of pieces, gives the first incumbent.
 
     Each step takes the largest piece that is left and branches on its undominated fillings and on
     how often each is taken, most often first. Branches end where the waste so far, or the least
     that the rest needs, cannot beat the incumbent. The search is over when the incumbent meets the
-    lower bound, when all branches are done (the result is optimal then), or after ``nodes`` nodes;
-    with None it always ends with an optimal packing.
+    lower bound, when all branches are done (the result is optimal then), or after ``nodes`` nodes (each of at
+    most 28 first packings may look at as many); with None it always ends with an optimal packing.
     """
     counts = np.asarray(counts, np.int64).copy()
     counts[0] = 0
     total = int((counts * np.arange(len(counts))).sum())
-    best = best_fit(counts, capacity)
-    bins = sum(r.times for r in best)
     least = fewest_possible(counts, capacity)
     budget = Budget(nodes)
+    best = first_packing(counts, capacity, least, nodes)
+    bins = sum(r.times for r in best)
+    numbers = fewest_possible(counts, capacity, numbers=False) < least  # what bounds the whole bounds its parts
     left = counts.copy()
 
     def options(waste: int) -> Iterator[tuple[dict[int, int], Run, int]]:
@@ -290,7 +380,7 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | Non
         if not left.any():
             if used < bins:
                 best, bins = list(made), used
-        elif budget.spend(8) and used + fewest_possible(left, capacity) < bins:
+        elif budget.spend(40 if numbers else 8) and used + fewest_possible(left, capacity, numbers) < bins:
             open_.append(options(waste))
             continue
         need, unused = taken.pop()
