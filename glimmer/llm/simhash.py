@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import beside, cut, slices, split_words, table
+from .shared import SALT, beside, cut, slices, split_words, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Blocks of the fingerprint; a bucket key covers all but ``distance`` of them.
@@ -27,6 +27,8 @@ PIVOTS = np.random.default_rng(20240501).integers(0, 2**64, 24, np.uint64)
 #: A bucket of more different fingerprints is not compared in one task: its fingerprints
 #: meet by the keys of their one-bit neighbours instead, which is exact as well.
 BUCKET_ROWS = 20_000
+#: So many ids of documents that go are sent to every task (about 60 bytes each there); more are shuffled.
+BROADCAST_IDS = 2_000_000
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -200,6 +202,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     Null and empty texts have fingerprint 0 and link like any other. Rows with equal fingerprints
     collapse before the search, so copies cost one row each. Repeated rows and ids keep their rows.
+    Texts of any length count whole; of tied ids in a group the smallest is one value.
     A null id gets the component of its fingerprint (null if all ids there are null). Other columns
     are not read; an empty table gives an empty result.
     """
@@ -217,25 +220,37 @@ def grouped(docs: DataFrame, id_column: str, text: str, distance: int = DISTANCE
     first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", F.col("fp").alias("first_fp"))))
     least = beside(joined, "component", "fp", first, F.min, "first").select("fp", F.col("first.least").alias("component_id"), "first.first_fp")
     named = cut(least, "named-fingerprints")
-    return own.join(named, "fp").select(id_column, "fp", "component_id", "first_fp")
+    # rows of one fingerprint, such as all empty texts, meet its group in SALT parts
+    salted = own.withColumn("_salt", F.pmod(F.xxhash64(id_column), F.lit(SALT)).cast("int"))
+    parts = salted.select("fp", "_salt").distinct().join(named, "fp")
+    return salted.join(parts, ["fp", "_salt"]).select(id_column, "fp", "component_id", "first_fp")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group, a row with the smallest id stays.
-    Rows of a repeated id are told apart by their fingerprints. Rows without an id cannot be told
-    apart and stay."""
-    found = cut(grouped(docs, id_column, text), "groups")
-    first = (F.col(id_column) == F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
-    ids = found.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count("*").alias("_rows"), F.max(first).alias("_stay"))
-    stay_ids = cut(ids.where("_stay"), "kept-ids")
-    # the same join at every size, so that small tables show what large ones cost
-    out = docs.join(stay_ids.where("_rows = 1").hint("merge"), id_column).select(*docs.columns)
-    if stay_ids.where("_rows > 1").limit(1).count():
-        rows = docs.join(stay_ids.where("_rows > 1"), id_column).select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+
+    Rows of a repeated id are told apart by their fingerprints; of equal ones a single row stays. Rows
+    without an id cannot be told apart and stay. Null and empty texts are near duplicates of each other.
+    Texts of any length count whole. Columns of any name are kept. An empty table gives an empty result.
+
+    The ids that go are few against the documents: up to BROADCAST_IDS, counted first, are sent to every
+    task, so that no text moves; more meet the documents in a shuffle.
+    """
+    found = cut(grouped(docs, id_column, text).withColumnRenamed(id_column, "id"), "groups")
+    first = (F.col("id") == F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
+    ids = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max(first).alias("stays"))
+    gone = cut(ids.where("n > 1 or not stays").select("id", "stays", (F.col("n") > 1).alias("again")), "gone-ids")
+    n, again = gone.agg(F.count("*"), F.sum(F.when(F.col("again") & F.col("stays"), 1))).first()
+    sent = lambda df: F.broadcast(df) if n <= BROADCAST_IDS else df
+    away = sent(gone.select(F.col("id").alias("_gone")))
+    out = docs.join(away, docs[id_column] == away["_gone"], "left_anti")
+    if again:  # the rows of repeated ids, by fingerprint
+        twice = sent(gone.where("again and stays").select(F.col("id").alias("_again")))
+        rows = docs.join(twice, docs[id_column] == twice["_again"], "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
         own = fingerprints(rows, "_row", "_text").select("_row", F.col(f"_row.{id_column}").alias("_id"), F.col("fp").alias("_fp"))
-        stay = found.where(first).select(F.col(id_column).alias("_id"), F.col("fp").alias("_fp")).distinct()
+        stay = found.where(first).select(F.col("id").alias("_id"), F.col("fp").alias("_fp")).distinct()
         out = out.unionByName(own.join(stay, ["_id", "_fp"]).dropDuplicates(["_id", "_fp"]).select("_row.*"))
-    return out.unionByName(docs.where(F.col(id_column).isNull()))
+    return out
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         listed = F.broadcast(listed)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = url_parts(F.col(url))
-    base = pages.select(*kept).withColumn("host", host).withColumn("path", path)
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), host.alias("host"), path.alias("path"))
     lengths = sorted(int(n) for n in sizes["lengths"] if n is not None)
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     expressions = F.flatten(F.transform(
@@ -89,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select("host", "path", F.col("_best.rule").alias("rule"), F.col("_best._action").alias("_action"))
     )
     return base.join(found, ["host", "path"], "left").select(
-        *kept, "host", "path", "rule", F.coalesce("_action", F.lit(default)).alias("verdict")
+        *[F.col("_row").getField(c).alias(c) for c in kept], "host", "path", "rule", F.coalesce("_action", F.lit(default)).alias("verdict")
     )
 
 

@@ -25,7 +25,7 @@ def odd_docs(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
-    extra = ("row", "fp", "piece", "length", "score", "kept", "n_words", "_words", "words", "key", "a", "b", "_id", "v", "at", "component_id", "ids", "entropy", "_text", "_lang")
+    extra = ("row", "fp", "piece", "length", "score", "kept", "n_words", "_words", "words", "key", "a", "b", "_id", "v", "at", "component_id", "ids", "entropy", "_text", "_lang", "_rows", "_stay", "_gone", "_again", "_row", "id", "n", "stays", "_salt", "_action", "_digest")
     return rows.withColumns({c: F.lit("x") for c in extra})
 
 

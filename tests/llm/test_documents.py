@@ -530,3 +530,43 @@ def test_repeated_ids_do_not_swell_the_sample(spark, monkeypatch):
     net = toxicity.fit(table, labels, sample={0: 40, 1: 40})
     assert 30 <= seen[0] <= 100
     assert [round(x) for x in net.score(["bad words here", "kind words there"])] == [1, 0]
+
+
+def test_near_duplicates_go_alike_by_broadcast_and_shuffle(spark, odd_docs, docs, monkeypatch):
+    """Columns of clashing names, 100,000 equal rows, and both joins."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit("x").alias("_rows"), F.lit(1).alias("id"))
+    assert [(r["doc_id"], r["_rows"], r["id"]) for r in simhash.drop_near_duplicates(hot).collect()] == [(7, "x", 1)]
+    assert simhash.drop_near_duplicates(spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))).collect()[0]["doc_id"] == 0
+    for table in (odd_docs, docs):
+        groups = simhash.near_duplicates(table).collect()
+        want = {r["component_id"] for r in groups if r["doc_id"] is not None}
+        seen = []
+        for most in (2_000_000, -1):
+            monkeypatch.setattr(simhash, "BROADCAST_IDS", most)
+            kept = simhash.drop_near_duplicates(table)
+            assert kept.columns == table.columns
+            seen.append(sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()))
+        assert seen[0] == seen[1] and {k for k, _ in seen[0]} - {"None"} == {str(x) for x in want}
+
+
+def test_packing_by_numbers_of_pieces():
+    """Pieces of a third of a sequence, more or less: best fit pairs them up, the search makes triples."""
+    counts = np.bincount(np.random.default_rng(1).integers(600, 901, 20_000), minlength=2049)
+    runs = packing.complete_bins(counts, 2048, 60_000)
+    given = np.zeros(2049, np.int64)
+    for run in runs:
+        assert sum(run.lengths) <= 2048
+        np.add.at(given, run.lengths, run.times)
+    found, least = sum(r.times for r in runs), packing.fewest_possible(counts, 2048)
+    assert (given == counts).all() and found <= 8_260 and found <= 1.02 * least
+    assert sum(r.times for r in packing.best_fit(counts, 2048)) > 8_600
+
+
+def test_bounds_by_numbers_hold():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        counts = np.bincount(rng.integers(1, 41, int(rng.integers(1, 9))), minlength=41)
+        optimal = sum(r.times for r in packing.complete_bins(counts, 40, None))
+        assert packing.by_numbers(counts, 40) <= packing.fewest_possible(counts, 40) <= optimal
