@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import aspect
+from ..sources.store import materialise
 from .stencils import by_frame, grey_closing, log_filter, region, rescaled
 
 
@@ -111,15 +112,35 @@ def centres(footprints: DataFrame) -> DataFrame:
     return top.select("segid", (-F.col("b.y")).alias("y"), (-F.col("b.x")).alias("x"))
 
 
-def nearest(cells: DataFrame, blocks: int = 16) -> DataFrame:
-    """(segid, min_dist_id, min_dist): the nearest other cell in units of the cell's own radius; ties
-    go to the least id. Cells meet block by block, so no task holds more than a block of either side."""
-    left = cells.select("segid", "y", "x", "radius").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = cells.select(F.col("segid").alias("o"), F.col("y").alias("oy"), F.col("x").alias("ox"), F.pmod(F.hash("segid"), F.lit(blocks)).alias("b"))
-    apart = F.try_divide(F.hypot(F.col("y") - F.col("oy"), F.col("x") - F.col("ox")), F.col("radius"))
-    pairs = left.join(right, "b").where("segid <> o").select("segid", "o", apart.alias("d"))
-    best = pairs.groupBy("segid").agg(F.min(F.struct("d", "o")).alias("m"))
-    return best.select("segid", F.col("m.o").alias("min_dist_id"), F.col("m.d").alias("min_dist"))
+def nearest(cells: DataFrame) -> DataFrame:
+    """(segid, min_dist_id, min_dist): the nearest other cell, its distance in units of the cell's own
+    radius; ties go to the least id. A cell alone has no row; without a positive radius the distance is null.
+
+    Cells look for others in their own and the eight grid buckets around. A distance of at most the
+    bucket's side is final, as what was not seen is farther; only cells still without one go on with
+    buckets four times as wide. These are apart from each other, so a bucket has few that ask. Of
+    cells at one place two can be the answer, and only these are looked through."""
+    near = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
+    there = cells.select(F.col("segid").alias("o"), F.col("y").alias("oy"), F.col("x").alias("ox")).where("oy is not null and ox is not null")
+    least = F.row_number().over(Window.partitionBy("oy", "ox").orderBy("o"))
+    there = materialise(there.withColumn("n", least).where("n <= 2").drop("n"), "places")
+    extent = there.agg(F.max(F.abs("oy")) + F.max(F.abs("ox"))).first()[0] or 0.0
+    open_, found, side = materialise(cells.select("segid", "y", "x", "radius").where("y is not null and x is not null"), "asking"), None, 1.0
+    while True:
+        last = side > 2 * extent + 1
+        around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
+        asks = open_.withColumn("by", F.explode(F.transform(around, lambda k: near("y") + k))).withColumn("bx", F.explode(F.transform(around, lambda k: near("x") + k)))
+        met = asks.join(there.withColumns({"by": near("oy"), "bx": near("ox")}), ["by", "bx"]).where("segid <> o")
+        best = met.groupBy("segid", "radius").agg(F.min(F.struct(F.hypot(F.col("y") - F.col("oy"), F.col("x") - F.col("ox")).alias("d"), "o")).alias("m"))
+        sure = materialise(best if last else best.where(F.col("m.d") <= side), "nearest")
+        found = sure if found is None else found.union(sure)
+        if last:
+            break
+        open_ = materialise(open_.join(sure.select("segid"), "segid", "left_anti"), "asking")
+        if open_.isEmpty():
+            break
+        side *= 4
+    return found.select("segid", F.col("m.o").alias("min_dist_id"), F.try_divide(F.col("m.d"), "radius").alias("min_dist"))
 
 
 def overlap(footprints: DataFrame, cells: DataFrame) -> DataFrame:

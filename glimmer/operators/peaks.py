@@ -73,32 +73,59 @@ def suppress(y, x, radius, v, low: float, high: float, ratio: float, old=None) -
     return kind
 
 
-def reduce_peaks(peaks: DataFrame, height: int, width: int, low: float, high: float, ratio: float, block: int = 100, bg_type: str = "bg", widest: float | None = None) -> DataFrame:
-    """(segid, kind, y, x, t, radius, firmness) after suppression in tiles of ``block`` pixels.
-
-    A tile sees a halo of ratio times the largest radius around it and keeps the peaks that it
-    owns. Tiles cover the whole frame. Within a frame one tile is what the whole would be. The
-    largest radius is ``widest`` or read from the peaks. A boolean column ``old_bg`` marks peaks that are
-    backgrounds already. Peaks without a value are none; without peaks the result is empty.
+def outranked(nodes: DataFrame, ratio: float, block: float) -> DataFrame:
+    """(src, dst) for nodes (id, y, x, r, v, ground): dst is removed if src, which is visited earlier, is
+    accepted. A cell removes what is within ratio of its radius; a node yields to one of its own
+    kind within ratio of the node's radius. Both come together in buckets of ``block`` pixels."""
+    rings = int(np.ceil(ratio * (nodes.agg(F.max("r")).first()[0] or 0.0) / block))
+    around = F.sequence(F.lit(-rings), F.lit(rings))
+    bucket = lambda c: F.floor(F.col(c) / block)
+    dealt = lambda p: nodes.select(*[F.col(c).alias(p + c) for c in ("id", "y", "x", "r", "v", "ground")], bucket("y").alias("by"), bucket("x").alias("bx"))
+    first = dealt("a_").withColumn("by", F.explode(F.transform(around, lambda k: F.col("by") + k))).withColumn("bx", F.explode(F.transform(around, lambda k: F.col("bx") + k)))
+    rank = lambda p: F.struct((-F.col(p + "v")).alias("v"), F.col(p + "y").alias("y"), F.col(p + "x").alias("x"), F.col(p + "id").alias("id"))
+    apart = F.hypot(F.col("a_y") - F.col("b_y"), F.col("a_x") - F.col("b_x"))
+    takes = ~F.col("a_ground") & (apart / F.col("a_r") <= ratio)
+    yields = (F.col("a_ground") == F.col("b_ground")) & (apart / F.col("b_r") < ratio)
+    met = first.join(dealt("b_"), ["by", "bx"]).where((rank("a_") < rank("b_")) & (takes | yields))
+    return met.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
+
+
+def removed(edges: DataFrame) -> DataFrame:
+    """(id): the nodes that go when nodes are visited by rank and each that no accepted one removes is accepted.
+
+    In rounds: whoever is outranked by no open node is accepted at once, what it removes goes, and the
+    edges of both are done. The rounds are as many as the longest chain of decisions; every round
+    is written to the shared folder, and only the number of its open edges reaches the driver."""
+    gone, now = edges.select(F.col("dst").alias("id")).where("false"), materialise(edges, "open-edges")
+    while not now.isEmpty():
+        heads = now.select("src").distinct().join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
+        lost = materialise(now.join(heads, "src", "left_semi").select(F.col("dst").alias("id")).distinct(), "removed")
+        gone = gone.union(lost)
+        now = materialise(now.join(lost.withColumnRenamed("id", "dst"), "dst", "left_anti").join(lost.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst"), "open-edges")
+    return gone
+
+
+def reduce_peaks(peaks: DataFrame, low: float, high: float, ratio: float, block: float | None = None, bg_type: str = "bg") -> DataFrame:
+    """(segid, kind, y, x, t, radius, firmness) after suppression: the same as ``suppress`` over all peaks at
+    once, of any frame size, in rounds over a bucket join. ``block`` (pixels; the largest reach
+    if None) only deals the work.
+
+    A boolean column ``old_bg`` marks peaks that are backgrounds already. Peaks without a value are none;
+    equal values are visited by y, then x; other columns are not read; without peaks the result is empty.
     """
     if "old_bg" not in peaks.columns:
         peaks = peaks.withColumn("old_bg", F.lit(False))
-    if widest is None:
-        widest = peaks.agg(F.max("radius")).first()[0] or 0.0
-    halo = int(np.ceil(ratio * widest))
-    tile = lambda c, d: F.sequence(F.floor((F.greatest(F.col(c) - halo, F.lit(0))) / block), F.floor(F.least(F.col(c) + halo, F.lit(d - 1)) / block))
-    dealt = peaks.where("v is not null").withColumn("ty", F.explode(tile("y", height))).withColumn("tx", F.explode(tile("x", width)))
-
-    def run(key, rows):
-        kind = suppress(*(rows[c].to_numpy() for c in ("y", "x", "radius", "v")), low, high, ratio, rows["old_bg"].fillna(False).to_numpy(bool))
-        rows = rows.assign(kind=kind)
-        own = (rows["y"] // block == rows["ty"]) & (rows["x"] // block == rows["tx"])
-        return rows.loc[own & (kind > 0), ["y", "x", "t", "radius", "v", "kind"]]
-
-    kept = dealt.groupBy("ty", "tx").applyInPandas(run, "y int, x int, t int, radius double, v double, kind int")
+    nodes = materialise(
+        peaks.where(F.col("v").isNotNull() & (F.col("radius") >= low)).select(
+            F.monotonically_increasing_id().alias("id"), "y", "x", "t", F.col("radius").alias("r"), "v", ((F.col("radius") > high) | F.coalesce("old_bg", F.lit(False))).alias("ground")
+        ), "candidates",
+    )
+    if block is None:
+        block = max(1.0, float(np.ceil(ratio * (nodes.agg(F.max("r")).first()[0] or 0.0))))
+    kept = nodes.join(removed(outranked(nodes, ratio, block)), "id", "left_anti")
     if bg_type == "remove":
-        kept = kept.where("kind = 1")
-    named = kept.select(F.when(F.col("kind") == 1, "cell").otherwise("background").alias("kind"), "y", "x", "t", "radius", F.col("v").alias("firmness"))
+        kept = kept.where("not ground")
+    named = kept.select(F.when(F.col("ground"), "background").otherwise("cell").alias("kind"), "y", "x", "t", F.col("r").alias("radius"), F.col("v").alias("firmness"))
     return with_segid(named)
 
 

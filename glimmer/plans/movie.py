@@ -173,12 +173,12 @@ def histogram_uniform(spark, d):
 
 
 def nms_peaks(spark, d):
-    out = P.reduce_peaks(_best(spark, d), SIDE, SIDE, 0.5, 1.5, 1.2, block=100, widest=max(RADII))
+    out = P.reduce_peaks(_best(spark, d), 0.5, 1.5, 2.0)
     return out.select("segid", "kind", "y", "x", "t", tidy("radius").alias("radius"), tidy("firmness").alias("firmness"))
 
 
 def nms_peaks_by_kind(spark, d):
-    out = P.reduce_peaks(_best(spark, d), SIDE, SIDE, 0.5, 1.5, 1.2, block=4, widest=max(RADII))
+    out = P.reduce_peaks(_best(spark, d), 0.5, 1.5, 2.0, block=1)
     return out.groupBy("kind").agg(F.count("*").alias("n"), tidy(F.max("firmness")).alias("top"))
 
 
@@ -238,7 +238,21 @@ QUERIES = {f.__name__: f for f in (
     log_scales, max_pool3d, peak_test, find_peaks, peaks_per_radius, grey_closing, scale_table, histogram_uniform, nms_peaks, nms_peaks_by_kind,
     simple_peaks, image_folds, positive_peaks, mask_fill,
 )}
+#: Greedy suppression by one recursion a candidate: the numbers of those accepted so far are carried along.
+NMS_SQL = f"""RECURSIVE {BEST_SQL}, ranked AS (
+  SELECT *, row_number() OVER (ORDER BY v DESC, y, x) AS k, radius > 1.5 AS ground FROM best WHERE radius >= 0.5), above AS (
+  SELECT b.k, list(a.k) AS ks FROM ranked a JOIN ranked b ON a.k < b.k AND (
+    (NOT a.ground AND sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / a.radius <= 2.0)
+    OR (a.ground = b.ground AND sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / b.radius < 2.0)) GROUP BY b.k), visit(k, held) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT v.k + 1, CASE WHEN list_has_any(v.held, coalesce(above.ks, CAST([] AS BIGINT[]))) THEN v.held ELSE list_append(v.held, v.k + 1) END
+  FROM visit v LEFT JOIN above ON above.k = v.k + 1 WHERE v.k < (SELECT count(*) FROM ranked)), nms AS (
+  SELECT CASE WHEN ground THEN 'background' ELSE 'cell' END AS kind, y, x, t, radius, v AS firmness FROM ranked
+  WHERE list_contains((SELECT held FROM visit ORDER BY k DESC LIMIT 1), k))"""
+
 ORACLES = {
+    "nms_peaks": f"WITH {NMS_SQL} SELECT CAST(row_number() OVER (ORDER BY CASE kind WHEN 'cell' THEN 0 ELSE 1 END, firmness DESC, y, x) - 1 AS INTEGER) AS segid, kind, y, x, t, {r('radius')} AS radius, {r('firmness')} AS firmness FROM nms",
+    "nms_peaks_by_kind": f"WITH {NMS_SQL} SELECT kind, count(*) AS n, {r('max(firmness)')} AS top FROM nms GROUP BY kind",
     "frame_mean": f"WITH {PIXELS} SELECT t, {r('avg(v)')} AS avgt FROM pixels GROUP BY t",
     "pixel_stats": f"WITH {CENTRED} SELECT y, x, {r('avgx')} AS avgx, {r('(high - avgx) / std0')} AS imax, {r('(low - avgx) / std0')} AS imin, {r('sqrt(var) / std0')} AS istd, {r('icor')} AS icor FROM moments, unit",
     "neighbor_corr": f"WITH {CENTRED} SELECT y, x, {r('icor')} AS icor FROM moments",

@@ -20,7 +20,7 @@ from ..operators import traces as T
 from ..sources import store
 from ..sources.store import materialise
 from .algebra import unit_frames
-from .movie import RADII, SIDE, _best, frames
+from .movie import SIDE, _best, frames
 from .segment import TILES
 
 LOW, HIGH, RATIO, CLOSING = 0.5, 1.5, 1.2, 4
@@ -78,7 +78,7 @@ def run_stages(spark: SparkSession, d: str, config: str = "a10u10", rule_set: st
     base = f"{store.shared_dir(spark)}/run-{uuid.uuid4().hex}"
     movie, count = materialise(unit_frames(spark, d), "unit-frames"), frames(spark, d).count()
     best = materialise(_best(spark, d), "best-peaks")
-    found = P.reduce_peaks(best, SIDE, SIDE, LOW, HIGH, RATIO, widest=max(RADII))
+    found = P.reduce_peaks(best, LOW, HIGH, RATIO)
     feet = materialise(G.make_footprints(frames(spark, d), found, SIDE, SIDE, CLOSING), "made-footprints")
     cells = materialise(described(found.select("segid", "kind", "y", "x", "radius", "firmness", F.lit(None).cast("double").alias("pos_move")), feet), "cells")
     length = count + T.double_exp()[0] - 1

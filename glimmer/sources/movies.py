@@ -6,12 +6,12 @@ A movie is either packed, ``frames(t, px)`` with one row-major array a frame, or
 
 from __future__ import annotations
 
-import ast
-
-import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .array_files import MovieFiles
+
 SIDE = 8
 HOURS = 720
 
@@ -85,94 +85,32 @@ def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.join(mean, "id").select("id", "t", (F.col("q") - F.col("mean")).alias("v"))
 
 
-def read_raw(spark: SparkSession, path: str, height: int, width: int, dtype: str = "<u2") -> DataFrame:
-    """frames(t, px) of a headerless file of whole frames. Spark cuts the file into records of one
-    frame, so a long movie is read by many tasks."""
-    size = height * width * np.dtype(dtype).itemsize
-    records = spark.sparkContext.binaryRecords(path, size).zipWithIndex()
-    rows = records.map(lambda r: (r[1], bytearray(r[0])))
-    raw = spark.createDataFrame(rows, "t long, raw binary")
-
-    def decode(batches):
-        import pyarrow as pa
+def read_files(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    """frames(t, px) of movie files of a kind (npy, raw or tif), read in ranges of frames by many tasks; t runs
+    on from file to file by name. A file of another form, or cut short, is a named error; one without
+    frames has no rows."""
+    spark.dataSource.register(MovieFiles)
+    return spark.read.format(MovieFiles.name()).options(path=path, kind=kind, **{k: str(v) for k, v in options.items()}).load()
 
-        for batch in batches:
-            values = [np.frombuffer(b, dtype).astype(np.float64) for b in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("t").cast(pa.int32()), pa.array(values, pa.list_(pa.float64()))], ["t", "px"])
 
-    return raw.mapInArrow(decode, "t int, px array<double>")
-
-
-def npy_header(head: bytes) -> tuple[int, str, tuple[int, ...]]:
-    """Start of the data, dtype and shape from the first bytes of an array file (C order)."""
-    if head[:6] != b"\x93NUMPY":
-        raise ValueError("not an array file")
-    start, length = (10, int.from_bytes(head[8:10], "little")) if head[6] == 1 else (12, int.from_bytes(head[8:12], "little"))
-    said = ast.literal_eval(head[start : start + length].decode("latin-1"))
-    if said["fortran_order"]:
-        raise ValueError("arrays in Fortran order are not supported")
-    return start + length, said["descr"], tuple(said["shape"])
+def read_raw(spark: SparkSession, path: str, height: int, width: int, dtype: str = "<u2") -> DataFrame:
+    """Headerless files of whole frames."""
+    return read_files(spark, path, "raw", height=height, width=width, dtype=dtype)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """frames(t, px) of (t, y, x) array files; each file is one task's work, as its header names the shape."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def decode(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column("content"):
-                raw = content.as_buffer().to_pybytes()
-                start, dtype, shape = npy_header(raw)
-                movie = np.frombuffer(raw, dtype, offset=start).reshape(shape[0], -1)
-                for a in range(0, len(movie), 256):
-                    some = movie[a : a + 256].astype(np.float64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(a, a + len(some), dtype=np.int32)), pa.array(list(some), pa.list_(pa.float64()))], ["t", "px"]
-                    )
-
-    return files.mapInArrow(decode, "t int, px array<double>")
-
-
-def tif_pages(raw: bytes) -> np.ndarray:
-    """Pages of an uncompressed grey-scale TIFF file as (t, y, x), whether or not they lie together."""
-    order = {b"II": "<", b"MM": ">"}[raw[:2]]
-    number = lambda at, kind: int(np.frombuffer(raw, order + kind, 1, at)[0])
-    if number(2, "u2") != 42:
-        raise ValueError("not a baseline TIFF file")
-    sizes = {1: "u1", 3: "u2", 4: "u4"}
-    pages, at = [], number(4, "u4")
-    while at:
-        tags = {}
-        for k in range(number(at, "u2")):
-            entry = at + 2 + 12 * k
-            kind, count = number(entry + 2, "u2"), number(entry + 4, "u4")
-            if kind in sizes:
-                width = int(sizes[kind][1])
-                where = entry + 8 if count * width <= 4 else number(entry + 8, "u4")
-                tags[number(entry, "u2")] = np.frombuffer(raw, order + sizes[kind], count, where)
-        one = lambda tag, default: int(tags[tag][0]) if tag in tags else default
-        if one(259, 1) != 1 or one(277, 1) != 1:
-            raise ValueError("compressed or coloured pages are not supported")
-        dtype = order + {1: "u", 2: "i", 3: "f"}[one(339, 1)] + str(one(258, 8) // 8)
-        data = b"".join(raw[int(o) : int(o) + int(n)] for o, n in zip(tags[273], tags[279], strict=True))
-        pages.append(np.frombuffer(data, dtype, one(256, 0) * one(257, 0)).reshape(one(257, 0), one(256, 0)))
-        at = number(at + 2 + 12 * number(at, "u2"), "u4")
-    return np.stack(pages)
-
-
-def read_tif(spark: SparkSession, path: str) -> DataFrame:
-    """frames(t, px) of multi-page files; each file is one task's work."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def decode(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column("content"):
-                movie = tif_pages(content.as_buffer().to_pybytes())
-                values = [page.ravel().astype(np.float64) for page in movie]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values, pa.list_(pa.float64()))], ["t", "px"])
-
-    return files.mapInArrow(decode, "t int, px array<double>")
+    """(t, y, x) array files."""
+    return read_files(spark, path, "npy")
+
+
+def read_tif(spark: SparkSession, path: str, copy: str | None = None) -> DataFrame:
+    """Multi-page grey-scale files, uncompressed. With ``copy``, a folder, the frames are written there once
+    as Parquet, and read from there from then on."""
+    found = read_files(spark, path, "tif")
+    if copy is None:
+        return found
+    try:
+        return spark.read.parquet(copy)
+    except AnalysisException:
+        found.write.parquet(copy)
+        return spark.read.parquet(copy)

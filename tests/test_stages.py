@@ -122,6 +122,6 @@ def test_null_and_ragged_frames_have_no_rows(spark):
 
 def test_no_peaks_give_no_peaks(spark):
     none = spark.createDataFrame([], "y int, x int, t int, radius double, v double")
-    assert P.reduce_peaks(none, 9, 9, 1, 4, 1.2).count() == 0
+    assert P.reduce_peaks(none, 1, 4, 1.2).count() == 0
     unknown = spark.createDataFrame([(1, 1, 0, None, None)], "y int, x int, t int, radius double, v double")
-    assert P.reduce_peaks(unknown, 9, 9, 1, 4, 1.2).count() == 0
+    assert P.reduce_peaks(unknown, 1, 4, 1.2).count() == 0
