@@ -185,11 +185,15 @@ def prox_rows(kind: str, y: np.ndarray, eta: float, fac: float) -> np.ndarray:
         return np.maximum(y - fac * eta, 0)
     if kind == "l2":
         return y / (1 + fac * eta)
+    if kind == "nonneg_l2":
+        return np.maximum(y, 0) / (1 + fac * eta)
     if kind == "maxnorm":
         p = np.maximum(y, 0)
         top = p.max(1, keepdims=True, initial=0)
         return np.maximum(np.where(p == top, p, p - fac * eta / np.where(top > 0, top, 1)), 0)
-    return y
+    if kind == "none":
+        return y
+    raise ValueError(f"unknown penalty: {kind}")
 
 
 def penalty_rows(kind: str, x: np.ndarray, fac: float) -> float:
@@ -198,9 +202,11 @@ def penalty_rows(kind: str, x: np.ndarray, fac: float) -> float:
     p = np.maximum(x, 0)
     if kind == "nonneg_l1":
         return float((fac * p).sum())
-    if kind == "l2":
+    if kind in ("l2", "nonneg_l2"):
         return float(((fac * x) ** 2).sum())
     if kind == "maxnorm":
         top = p.max(1, initial=0)
         return float((fac * p.sum(1)[top > 0] / top[top > 0]).sum())
-    return 0.0
+    if kind == "none":
+        return 0.0
+    raise ValueError(f"unknown penalty: {kind}")

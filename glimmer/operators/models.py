@@ -70,12 +70,17 @@ def answer_back(gradient: np.ndarray, kernel: np.ndarray) -> np.ndarray:
 def descend(x: list[np.ndarray], forward: Callable, backward: Callable, prox: Callable, value: Callable, cov, out, dot, nx: int, ny: int, bx: float, by: float, constant: float = 0.0,
             rate: float = 0.5, epochs: int = 1_000, steps: int = 100, tol: float = 1e-4, patience: int = 3, nu: float = 20.0) -> tuple[list[np.ndarray], list[tuple[float, float]]]:
     """Accelerated proximal descent over the arrays ``x``; momentum restarts each epoch, and the
-    search ends after ``patience`` epochs without a gain of ``tol``. Returns x and, for each epoch,
-    the reported loss ((loss + constant + penalties) / scale) and sigma."""
+    search ends after ``patience`` epochs without a gain of ``tol``. Returns x and, before the first epoch
+    and after each, the reported loss ((loss + constant + penalties) / scale) and sigma."""
     nm = nx * ny + nx + ny
     top = np.linalg.eigvalsh(cov)[-1] / nx if len(cov) else 1.0
     eta = rate / (top if np.isfinite(top) and top > 0 else 1.0) / nm
-    log, best, waited = [], np.inf, 0
+
+    def reported(z: list[np.ndarray]) -> tuple[float, float]:
+        loss = A.objective(forward(z), cov, out, dot, nx, ny, bx, by)[0]
+        return (loss + constant + value(z)) / nm, float(np.sqrt(np.exp(2 * loss / nm)))
+
+    log, best, waited = [reported(x)], np.inf, 0
     for _ in range(epochs):
         z = x
         t0s = [A.momentum(i, nu) for i in range(steps)]
@@ -84,8 +89,7 @@ def descend(x: list[np.ndarray], forward: Callable, backward: Callable, prox: Ca
             new = prox([a - eta * g for a, g in zip(z, slope, strict=True)], eta)
             ahead = [(1 - t0) * a + t0 * b for a, b in zip(x, new, strict=True)]
             x, z = new, [(1 - t1) * b + t1 * w for b, w in zip(new, ahead, strict=True)]
-        loss = A.objective(forward(x), cov, out, dot, nx, ny, bx, by)[0]
-        log.append(((loss + constant + value(x)) / nm, float(np.sqrt(np.exp(2 * loss / nm)))))
+        log.append(reported(x))
         waited = waited + 1 if log[-1][0] > best - tol else 0
         best = min(best, log[-1][0])
         if waited >= patience:
@@ -198,7 +202,7 @@ def _rows(df: DataFrame, what: int, a: str, b: str, v: str, w: str | None = None
 
 def solve_tiles(pairs: DataFrame, dots: DataFrame, members: DataFrame, start: DataFrame | None, places: dict[int, np.ndarray], ny: dict[int, int], kernel: np.ndarray | None, setting: Penalty, epochs: int, steps: int) -> DataFrame:
     """(tile, what, segid, place, v, sigma): per tile the values found for the components it owns
-    (what = x) and its log (what = loss, place = epoch).
+    (what = x) and its log (what = loss, place = epochs so far, 0 before the first).
 
     ``members`` is (tile, segid, kind, active, weight, size): weight is the sum of the absolute fixed
     values of a background, size that of a component's values over their largest. With a

@@ -181,3 +181,23 @@ def test_old_backgrounds_stay_backgrounds():
     y, x, radius, v = (np.array(a, float) for a in ([0, 10, 10], [0, 0, 1], [2, 2, 2], [3, 2, 1]))
     assert suppress(y, x, radius, v, 1, 5, 1.2).tolist() == [1, 1, 0]
     assert suppress(y, x, radius, v, 1, 5, 1.2, np.array([False, True, False])).tolist() == [1, 2, 1]
+
+
+def test_penalties_by_kind():
+    y = np.array([[-1.0, 2.0]])
+    assert A.prox_rows("nonneg_l2", y, 0.5, 2.0).tolist() == [[0.0, 1.0]] and A.penalty_rows("nonneg_l2", np.array([[0.0, 2.0]]), 0.5) == 1.0
+    assert A.prox_rows("none", y, 0.5, 2.0) is y and A.penalty_rows("none", y, 2.0) == 0.0
+    for f in (lambda: A.prox_rows("l3", y, 0.5, 2.0), lambda: A.penalty_rows("l3", y, 2.0)):
+        with pytest.raises(ValueError, match="unknown penalty"):
+            f()
+
+
+def test_the_log_starts_before_the_first_epoch():
+    rng = np.random.default_rng(1)
+    data, a = rng.normal(size=(20, 50)), rng.random((2, 20))
+    m = a.mean(1)
+    c = a - m[:, None]
+    prox, value = (lambda z, eta: [A.prox_rows("nonneg_l1", z[0], eta, 1e-3)]), (lambda z: A.penalty_rows("nonneg_l1", z[0], 1e-3))
+    run = lambda n: M.descend([np.zeros((2, 50))], lambda z: z[0], lambda g: [g], prox, value, c @ c.T, np.outer(m, m), c @ data, 50, 20, 0.0, 0.0, epochs=n, steps=5)[1]
+    nm = 50 * 20 + 50 + 20
+    assert np.isclose(run(0)[0][0], 0.5 * (np.log(50 * 20) - np.log(nm))) and len(run(3)) == 4 and run(3)[3][0] < run(3)[0][0]
