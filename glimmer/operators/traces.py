@@ -25,6 +25,19 @@ def kernel(spark: SparkSession, **given: float) -> DataFrame:
     return spark.range(size).select(F.col("id").cast("int").alias("j"), ((F.exp(-t / fast) - F.exp(-t / slow)) / scale).alias("w"))
 
 
+def kernels(settings: DataFrame, name: str) -> DataFrame:
+    """(name, j, w): the response of every row of ``settings`` (name, tau1, tau2, duration, hz), by the same
+    rule as ``double_exp``. Decay times are taken in either order; rows with a null, equal or
+    non-positive decay time have no response."""
+    fast, slow = F.least("tau1", "tau2") * F.col("hz"), F.greatest("tau1", "tau2") * F.col("hz")
+    sized = settings.where("tau1 > 0 and tau2 > 0 and tau1 <> tau2 and duration * hz > 0").select(name, fast.alias("fast"), slow.alias("slow"), F.ceil(F.col("duration") * F.col("hz")).cast("int").alias("size"))
+    ratio, gap = F.col("fast") / F.col("slow"), F.col("fast") - F.col("slow")
+    scale = F.pow(ratio, -F.col("slow") / gap) - F.pow(ratio, -F.col("fast") / gap)
+    t = F.col("j") + 1
+    rows = sized.withColumn("scale", scale).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    return rows.select(name, "j", ((F.exp(-t / F.col("fast")) - F.exp(-t / F.col("slow"))) / F.col("scale")).alias("w"))
+
+
 def spike_to_calcium(spikes: DataFrame, response: DataFrame, size: int, frames: int) -> DataFrame:
     """(spkid, t, v): spikes at u answer in frames u - size + 1 + j. Sparse in, sparse out; the
     kernel is broadcast and answers add up in each task before the shuffle."""

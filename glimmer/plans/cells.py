@@ -22,9 +22,11 @@ def spikes(spark, d):
 
 
 def double_exp_kernel(spark, d):
-    """The kernel, weighted by the events of the hours it starts in, so that it follows the table."""
-    first = M.table(spark, d, "events").where("event_type = 'purchase'").agg(F.count("*").alias("n"))
-    return T.kernel(spark).crossJoin(F.broadcast(first)).select("j", tidy("w").alias("w"), "n")
+    """A response for every kind of event, over a second at 20 Hz: it decays the slower the larger the
+    kind's mean value (500 give a second), and rises twice as fast."""
+    mean = M.table(spark, d, "events").groupBy("event_type").agg((F.avg("value") / 500).alias("tau2"))
+    settings = mean.select("event_type", (F.col("tau2") / 2).alias("tau1"), "tau2", F.lit(1.0).alias("duration"), F.lit(20.0).alias("hz"))
+    return T.kernels(settings, "event_type").select("event_type", "j", tidy("w").alias("w"))
 
 
 def spike_to_calcium(spark, d):
@@ -228,7 +230,8 @@ QUERIES = {f.__name__: f for f in (
     robust_report, histogram_firmness, report_order, after_removal, evaluate_kind, fix_kind, clean_rules, sort_segid, fix_top, kind_union, old_filters,
 )}
 ORACLES = {
-    "double_exp_kernel": f"SELECT j, {r('w')} AS w, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS n FROM {_KERNEL}",
+    "double_exp_kernel": f"""SELECT event_type, CAST(j AS INTEGER) AS j, {r('(exp(-(j + 1) / fast) - exp(-(j + 1) / slow)) / (pow(fast / slow, -slow / (fast - slow)) - pow(fast / slow, -fast / (fast - slow)))')} AS w
+      FROM (SELECT event_type, avg(value) / 1000 * 20 AS fast, avg(value) / 500 * 20 AS slow FROM events GROUP BY event_type), range(0, 20) k(j) WHERE slow > 0""",
     "spike_to_calcium": f"WITH {SPIKES} SELECT spkid, t, {r('sum(v)')} AS v FROM (SELECT spkid, CAST(u - {SIZE - 1} + j AS INTEGER) AS t, v * w AS v FROM spikes, {_KERNEL}) WHERE t BETWEEN 0 AND {FRAMES - 1} GROUP BY 1, 2",
     "calcium_to_spike": f"""WITH {TRACES}, tail AS (SELECT id, t + {SIZE - 1} AS u, (v - (e1 + e2) * lag(v, 1) OVER w + e1 * e2 * lag(v, 2) OVER w) * {SCALE!r} / (e1 - e2) AS v
       FROM traces, (SELECT exp(-1 / {FAST!r}) AS e1, exp(-1 / {SLOW!r}) AS e2) WINDOW w AS (PARTITION BY id ORDER BY t)),

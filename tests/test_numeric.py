@@ -201,3 +201,14 @@ def test_the_log_starts_before_the_first_epoch():
     run = lambda n: M.descend([np.zeros((2, 50))], lambda z: z[0], lambda g: [g], prox, value, c @ c.T, np.outer(m, m), c @ data, 50, 20, 0.0, 0.0, epochs=n, steps=5)[1]
     nm = 50 * 20 + 50 + 20
     assert np.isclose(run(0)[0][0], 0.5 * (np.log(50 * 20) - np.log(nm))) and len(run(3)) == 4 and run(3)[3][0] < run(3)[0][0]
+
+
+def test_kernels_of_a_table_of_settings(spark):
+    from glimmer.operators import traces as T
+
+    rows = [("a", 0.08, 0.16, 1.0, 20.0), ("b", 0.3, 0.1, 0.45, 20.0), ("c", None, 0.1, 1.0, 20.0), ("d", 0.1, 0.1, 1.0, 20.0), ("e", -0.1, 0.1, 1.0, 20.0)]
+    got = T.kernels(spark.createDataFrame(rows, "name string, tau1 double, tau2 double, duration double, hz double"), "name").collect()
+    assert {r["name"] for r in got} == {"a", "b"}
+    for name, *given in rows[:2]:
+        want = [r["w"] for r in T.kernel(spark, **dict(zip(("tau1", "tau2", "duration", "hz"), given, strict=True))).orderBy("j").collect()]
+        assert np.allclose([r["w"] for r in sorted((r for r in got if r["name"] == name), key=lambda r: r["j"])], want)
