@@ -178,7 +178,39 @@ def objective(x: np.ndarray, ycov: np.ndarray, yout: np.ndarray, ydot: np.ndarra
     return nm / 2 * (np.log(v) - np.log(nm)), nm / (2 * v) * dv
 
 
-def prox_rows(kind: str, y: np.ndarray, eta: float, fac: float) -> np.ndarray:
+def answer(spikes: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """(row, frame): what spikes over len(kernel) - 1 more places give."""
+    return np.stack([np.convolve(row, kernel, "valid") for row in spikes]) if len(spikes) else np.zeros((0, spikes.shape[1] - len(kernel) + 1))
+
+
+def answer_back(gradient: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """The transpose of ``answer``."""
+    return np.stack([np.convolve(row, kernel[::-1], "full") for row in gradient]) if len(gradient) else np.zeros((0, gradient.shape[1] + len(kernel) - 1))
+
+
+def largest_eigenvalue(matrix: np.ndarray, rounds: int = 2_000, tol: float = 1e-13) -> float:
+    """Of a symmetric matrix without negative eigenvalues, by power iteration; 1 if it is empty, zero or has values that are not finite."""
+    if not len(matrix) or not np.isfinite(matrix).all():
+        return 1.0
+    v, top = np.random.default_rng(0).normal(size=len(matrix)), 0.0
+    for _ in range(rounds):
+        v /= np.linalg.norm(v)
+        w = matrix @ v
+        last, top = top, float(v @ w)
+        if not np.any(w) or abs(top - last) <= tol * abs(top):
+            break
+        v = w
+    return top if top > 0 else 1.0
+
+
+def step_size(ycov: np.ndarray, nx: int, ny: int, rate: float) -> float:
+    """The step of a solve over nx places, from the largest curvature of the products of the fixed side."""
+    nm = nx * ny + nx + ny
+    return rate / (largest_eigenvalue(ycov) / nx) / nm
+
+
+def prox_rows(kind: str, y: np.ndarray, eta: float, fac: float, top: np.ndarray | None = None) -> np.ndarray:
+    """The proximal step of rows; ``top`` are their largest values where ``y`` is only a part of them."""
     if kind == "l1":
         return np.sign(y) * np.maximum(np.abs(y) - fac * eta, 0)
     if kind == "nonneg_l1":
@@ -189,7 +221,7 @@ def prox_rows(kind: str, y: np.ndarray, eta: float, fac: float) -> np.ndarray:
         return np.maximum(y, 0) / (1 + fac * eta)
     if kind == "maxnorm":
         p = np.maximum(y, 0)
-        top = p.max(1, keepdims=True, initial=0)
+        top = p.max(1, keepdims=True, initial=0) if top is None else top[:, None]
         return np.maximum(np.where(p == top, p, p - fac * eta / np.where(top > 0, top, 1)), 0)
     if kind == "none":
         return y

@@ -15,12 +15,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
 from . import algebra as A
+from . import time_blocks as B
 from . import traces as T
+from .algebra import answer, answer_back
 from .footprints import tile_members
 
 #: A table of at most so many rows is sent to every task; a larger one is joined.
 SENT_ROWS = 2_000_000
+#: A temporal solve of more frames is cut in blocks of so many.
+BLOCK_FRAMES = 16_384
 CELL, BACKGROUND = "cell", "background"
 
 
@@ -57,24 +62,13 @@ def response(**given: float) -> np.ndarray:
     return (np.exp(-t / fast) - np.exp(-t / slow)) / scale
 
 
-def answer(spikes: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """(row, frame): what spikes over len(kernel) - 1 more places give."""
-    return np.stack([np.convolve(row, kernel, "valid") for row in spikes]) if len(spikes) else np.zeros((0, spikes.shape[1] - len(kernel) + 1))
-
-
-def answer_back(gradient: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """The transpose of ``answer``."""
-    return np.stack([np.convolve(row, kernel[::-1], "full") for row in gradient]) if len(gradient) else np.zeros((0, gradient.shape[1] + len(kernel) - 1))
-
-
 def descend(x: list[np.ndarray], forward: Callable, backward: Callable, prox: Callable, value: Callable, cov, out, dot, nx: int, ny: int, bx: float, by: float, constant: float = 0.0,
             rate: float = 0.5, epochs: int = 1_000, steps: int = 100, tol: float = 1e-4, patience: int = 3, nu: float = 20.0) -> tuple[list[np.ndarray], list[tuple[float, float]]]:
     """Accelerated proximal descent over the arrays ``x``; momentum restarts each epoch, and the
     search ends after ``patience`` epochs without a gain of ``tol``. Returns x and, before the first epoch
     and after each, the reported loss ((loss + constant + penalties) / scale) and sigma."""
     nm = nx * ny + nx + ny
-    top = np.linalg.eigvalsh(cov)[-1] / nx if len(cov) else 1.0
-    eta = rate / (top if np.isfinite(top) and top > 0 else 1.0) / nm
+    eta = A.step_size(cov, nx, ny, rate)
 
     def reported(z: list[np.ndarray]) -> tuple[float, float]:
         loss = A.objective(forward(z), cov, out, dot, nx, ny, bx, by)[0]
@@ -126,7 +120,13 @@ def tile_grams(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def tile_dots(frames: DataFrame, rows: DataFrame, tiles: Sequence[tuple], height: int, width: int) -> DataFrame:
-    """(tile, k, t, v): centred footprints times each frame's pixels in the tile. Up to SENT_ROWS
+    """(tile, k, t, v): the products of ``frame_dots``, one row each."""
+    one = frame_dots(frames, rows, tiles, height, width).select("tile", "t", F.explode(F.arrays_zip("ks", "vs")).alias("one"))
+    return one.select("tile", F.col("one.ks").alias("k"), "t", F.col("one.vs").alias("v"))
+
+
+def frame_dots(frames: DataFrame, rows: DataFrame, tiles: Sequence[tuple], height: int, width: int) -> DataFrame:
+    """(tile, t, ks, vs): centred footprints times each frame's pixels in the tile. Up to SENT_ROWS
     weights go to every task and the movie is not shuffled; more of them meet its pixels in a join."""
     places = regions(tiles, height, width)
     if rows.limit(SENT_ROWS + 1).count() > SENT_ROWS:
@@ -135,25 +135,36 @@ def tile_dots(frames: DataFrame, rows: DataFrame, tiles: Sequence[tuple], height
         out = None
         for tile, at in places.items():
             own, px = rows.where(F.col("tile") == tile), pixels(frames, width).where((F.col("y") * width + F.col("x")).between(int(at.min()), int(at.max())))
-            one = A.data_product(own, px, len(at)).select(F.lit(tile).alias("tile"), F.col("segid").alias("k"), "t", "v")
+            one = A.data_product(own, px, len(at)).select(F.lit(tile).alias("tile"), F.col("segid").cast("long").alias("k"), "t", "v")
             out = one if out is None else out.unionByName(one)
-        return out
-    held = rows.toPandas()
-    weights = {(int(t), int(k)): (g["y"].to_numpy() * width + g["x"].to_numpy(), g["a"].to_numpy()) for (t, k), g in held.groupby(["tile", "segid"])}
+        both = out.groupBy("tile", "t").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("one"))
+        return both.select("tile", "t", F.col("one.k").alias("ks"), F.col("one.v").alias("vs"))
+    held = rows.orderBy("tile", "segid").toPandas()
+    weights = {}
+    for tile, own in held.groupby("tile"):
+        ks, which = np.unique(own["segid"].to_numpy(np.int64), return_inverse=True)
+        weights[int(tile)] = (ks, which, (own["y"] * width + own["x"]).to_numpy(), own["a"].to_numpy())
     shared = frames.sparkSession.sparkContext.broadcast((places, weights))
 
     def run(batches):
         import pyarrow as pa
 
         own_places, own_weights = shared.value
+        stacked = {}
+        for tile, (ks, which, at, a) in own_weights.items():
+            inside = np.unique(at)  # the pixels that any of the tile's footprints touches
+            matrix = np.zeros((len(inside), len(ks)))
+            np.add.at(matrix, (np.searchsorted(inside, at), which), a)
+            stacked[tile] = (ks, inside, matrix, matrix.sum(0) / len(own_places[tile]))
         for batch in batches:
             t, images = A.images_of(batch, height * width)
-            sums = {tile: images[:, at].sum(1) for tile, at in own_places.items()}
-            for (tile, k), (at, a) in own_weights.items():
-                v = images[:, at] @ a - a.sum() / len(own_places[tile]) * sums[tile]
-                yield pa.RecordBatch.from_pydict({"tile": np.full(len(t), tile, np.int32), "k": np.full(len(t), k, np.int64), "t": t, "v": v})
+            for tile, (ks, inside, matrix, mean) in stacked.items():
+                v = images[:, inside] @ matrix - images[:, own_places[tile]].sum(1)[:, None] * mean
+                ends = np.arange(len(t) + 1, dtype=np.int32) * len(ks)
+                lists = [pa.ListArray.from_arrays(ends, part) for part in (np.tile(ks, len(t)), v.ravel())]
+                yield pa.RecordBatch.from_pydict({"tile": np.full(len(t), tile, np.int32), "t": t, "ks": lists[0], "vs": lists[1]})
 
-    return frames.select("t", "px").mapInArrow(run, "tile int, k bigint, t int, v double")
+    return frames.select("t", "px").mapInArrow(run, "tile int, t int, ks array<bigint>, vs array<double>")
 
 
 def trace_products(frames: DataFrame, traces: DataFrame, members: dict[int, list[int]], tiles: Sequence[tuple], height: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -190,6 +201,7 @@ def trace_products(frames: DataFrame, traces: DataFrame, members: dict[int, list
                 yield pa.RecordBatch.from_pydict({"tile": np.full(len(k), tile, np.int32), "k": np.array(own[tile], np.int64)[k], "p": places[tile][p].astype(np.int64), "v": sums[k, p]})
 
     found = frames.join(packed, "t", "left").select("t", "px", "ks", "vs").mapInArrow(run, "tile int, k bigint, p bigint, v double").groupBy("tile", "k", "p").agg(F.sum("v").alias("v"))
+    found = materialise(found, "trace-products")  # both parts come from one pass over the movie
     return found.where("tile < 0").select(F.col("k").alias("i"), F.col("p").alias("j"), F.col("v").alias("raw")), found.where("tile >= 0")
 
 
@@ -267,10 +279,11 @@ def tile_frame(spark: SparkSession, tiles: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame([tuple(map(int, t)) for t in tiles], "tile int, y0 int, y1 int, x0 int, x1 int, margin int")
 
 
-def temporal(frames: DataFrame, cells: DataFrame, footprints: DataFrame, tiles: Sequence[tuple], height: int, width: int, count: int, setting: Penalty, kernel: np.ndarray | None = None, epochs: int = 1_000, steps: int = 100) -> DataFrame:
+def temporal(frames: DataFrame, cells: DataFrame, footprints: DataFrame, tiles: Sequence[tuple], height: int, width: int, count: int, setting: Penalty, kernel: np.ndarray | None = None, epochs: int = 1_000, steps: int = 100, block: int = BLOCK_FRAMES) -> DataFrame:
     """Spikes of cells (place = u) and traces of backgrounds (place = t) for footprints (segid, y, x,
     a) of ``cells`` (segid, kind, y, x); ``frames`` is the normalised movie of ``count`` frames.
-    Components that touch no tile, or have no weight, have no values."""
+    Components that touch no tile, or have no weight, have no values. A movie of more than ``block`` frames is
+    solved by blocks of time with the same result, so that no task holds all its frames."""
     kernel = response() if kernel is None else kernel
     spark, places = frames.sparkSession, regions(tiles, height, width)
     table = tile_frame(spark, tiles)
@@ -278,6 +291,11 @@ def temporal(frames: DataFrame, cells: DataFrame, footprints: DataFrame, tiles:
     sizes = spark.createDataFrame([(t, len(at)) for t, at in places.items()], "tile int, n int")
     sums = rows.groupBy("tile", "segid").agg(F.sum("a").alias("weight"), F.coalesce(F.try_divide(F.sum("a"), F.max("a")), F.lit(0.0)).alias("size"))
     members = tile_members(footprints, cells, table).join(cells.select("segid", "kind"), "segid").join(sums, ["tile", "segid"])
+    if count > block:
+        # only the spatial solve scales the fixed side's penalty by the number of frames
+        fixed = setting.la[1] if setting.la[0] != "none" else 0.0
+        return B.solve(tile_grams(rows, sizes), frame_dots(frames, rows, tiles, height, width), members, count, {t: len(at) for t, at in places.items()}, kernel, CELL,
+                       setting.lu, fixed, setting.lb, setting.bt, setting.bs, block, epochs, steps)
     time = np.arange(count)
     return solve_tiles(
         tile_grams(rows, sizes), tile_dots(frames, rows, tiles, height, width).withColumnRenamed("t", "place"), members, None,
