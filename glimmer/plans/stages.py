@@ -6,7 +6,7 @@ steps between them have queries with SQL of their own."""
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from ..operators import models as V
 from ..operators import peaks as P
 from ..operators import traces as T
 from ..sources import store
+from ..sources.steps import Steps, gather
 from ..sources.store import materialise
 from .algebra import unit_frames
 from .movie import RADII, SIDE, _best, frames
@@ -25,13 +26,11 @@ from .segment import TILES
 
 LOW, HIGH, RATIO, CLOSING = 0.5, 1.5, 1.2, 4
 STAGES, EPOCHS, STEPS = 2, 100, 20
-SWEEP = ("a10u10", "a10u100")
+SWEEP = ("a10u10", "a10u100", "a100u10")
 #: The statistics table of a stage: its columns in order.
 COLUMNS = (
     "kind old_kind segid spkid bgid y x radius aratio firmness pos_move min_dist_id min_dist max_dup_id max_dup asum area signal udense unz rsn zrsn hypot mah bmax bsparse"
 ).split()
-#: Where the runs of this session are kept, by application, tables and settings.
-_RUNS: dict[tuple, str] = {}
 
 
 def described(cells: DataFrame, feet: DataFrame) -> DataFrame:
@@ -69,43 +68,58 @@ def converted(fixed: DataFrame, spikes: DataFrame, grounds: DataFrame, count: in
     return pick(spikes, of("cell", "cell")).unionByName(as_spikes), pick(grounds, of("background", "background")).unionByName(as_trace)
 
 
-def run_stages(spark: SparkSession, d: str, config: str = "a10u10", rule_set: str = "ratio3z4", stages: int = STAGES) -> str:
-    """Run up to ``stages`` stages, until one past the first removes nothing; returns the folder with
-    the tables stats, loss, spikes, background and footprints by stage."""
-    key = (spark.sparkContext.applicationId, d, config, rule_set, stages)
-    if key in _RUNS:
-        return _RUNS[key]
-    base = f"{store.shared_dir(spark)}/run-{uuid.uuid4().hex}"
-    movie, count = materialise(unit_frames(spark, d), "unit-frames"), frames(spark, d).count()
-    best = materialise(_best(spark, d), "best-peaks")
-    found = P.reduce_peaks(best, LOW, HIGH, RATIO)
-    feet = materialise(G.make_footprints(frames(spark, d), found, SIDE, SIDE, CLOSING), "made-footprints")
-    cells = materialise(described(found.select("segid", "kind", "y", "x", "radius", "firmness", F.lit(None).cast("double").alias("pos_move")), feet), "cells")
+def run_stages(spark: SparkSession, d: str, config: str = "a10u10", rule_set: str = "ratio3z4", stages: int = STAGES, kinds: tuple[dict, dict] = ({}, {}), force: tuple[int, str] | None = None) -> dict[str, list[str]]:
+    """Run up to ``stages`` stages, until one past the first removes nothing; returns where the tables stats,
+    loss, spikes, background and footprints are, one a stage. A step whose table was made from the same
+    data and settings is read, not run; runs share the steps that they have in common. ``kinds`` are the limits
+    past which cells become backgrounds and backgrounds cells after a temporal solve of a later stage."""
+    steps = Steps(spark, f"{store.shared_dir(spark)}/steps", force)
+    source = steps.source(f"{d}/embeddings.parquet")
+    count = frames(spark, d).count()
+    movie = steps.table("normalize", 0, {"side": SIDE}, [source], lambda: unit_frames(spark, d))
+    best = steps.table("find", 0, {"side": SIDE, "radii": RADII}, [source], lambda: _best(spark, d))
+    peaks = steps.table("reduce", 0, {"low": LOW, "high": HIGH, "ratio": RATIO}, [best.mark], lambda: P.reduce_peaks(best.rows, LOW, HIGH, RATIO))
+    feet = steps.table("make", 0, {"closing": CLOSING}, [source, peaks.mark], lambda: G.make_footprints(frames(spark, d), peaks.rows, SIDE, SIDE, CLOSING))
+    cells = steps.table("init", 0, {}, [peaks.mark, feet.mark], lambda feet=feet: described(peaks.rows.select("segid", "kind", "y", "x", "radius", "firmness", F.lit(None).cast("double").alias("pos_move")), feet.rows))
     length = count + T.double_exp()[0] - 1
     limits = C.rules(rule_set, LOW, HIGH)
+    out: dict[str, list[str]] = {name: [] for name in ("stats", "loss", "spikes", "background", "footprints")}
     for stage in range(stages):
         setting = V.penalty(V.preset(config), stage)
-        solved = materialise(V.temporal(movie, cells, feet, TILES, SIDE, SIDE, count, setting, epochs=EPOCHS, steps=STEPS), "temporal")
-        of_kind = lambda kind, place, solved=solved, cells=cells: solved.where("what = 'x'").join(cells.where(F.col("kind") == kind).select("segid"), "segid", "left_semi").select(F.col("segid").cast("int").alias("segid"), F.col("place").alias(place), "v")
-        spikes, grounds = of_kind(V.CELL, "u"), of_kind(V.BACKGROUND, "t")
-        stats = materialise(evaluate(cells, spikes, grounds, length), "stats")
-        log = solved.where("what = 'loss'").select(F.lit("temporal").alias("kind"), F.col("tile").alias("div"), F.col("place").alias("step"), F.col("v").alias("loss"), "sigma")
-        for name, table in (("stats", stats), ("spikes", spikes), ("background", grounds), ("footprints", feet)):
-            store.save_stage(table, base, name, stage)
-        last = stage + 1 == stages or C.finished(stats, stage, True)
+        effort = {"penalty": setting, "epochs": EPOCHS, "steps": STEPS, "tiles": TILES}
+        solved = steps.table("temporal", stage, effort, [movie.mark, cells.mark, feet.mark], lambda cells=cells, feet=feet, setting=setting: V.temporal(movie.rows, cells.rows, feet.rows, TILES, SIDE, SIDE, count, setting, epochs=EPOCHS, steps=STEPS))
+        of_kind = lambda kind, place, solved=solved, cells=cells: solved.rows.where("what = 'x'").join(cells.rows.where(F.col("kind") == kind).select("segid"), "segid", "left_semi").select(F.col("segid").cast("int").alias("segid"), F.col("place").alias(place), "v")
+        after = [solved.mark, cells.mark]
+        spikes = steps.table("spikes", stage, {}, after, lambda of_kind=of_kind: of_kind(V.CELL, "u"))
+        grounds = steps.table("background", stage, {}, after, lambda of_kind=of_kind: of_kind(V.BACKGROUND, "t"))
+        stats = steps.table("evaluate", stage, {"length": length}, [cells.mark, spikes.mark, grounds.mark], lambda cells=cells, spikes=spikes, grounds=grounds: evaluate(cells.rows, spikes.rows, grounds.rows, length))
+        logs, made = [("temporal", solved)], feet
+        last = stage + 1 == stages or C.finished(stats.rows, stage, True)
         if not last:
-            alive = stats.where("kind <> 'remove'")
-            # the temporal rules are empty in every preset, and apply past the first stage only
-            fixed = materialise(C.renumber(C.fix_kind(alive, {}, {})), "fixed")
-            trains, traces = converted(fixed, spikes, grounds, count)
-            shaped = materialise(V.spatial(movie, fixed.select("segid", "kind", "y", "x"), feet, trains, traces, TILES, SIDE, SIDE, count, setting, epochs=EPOCHS, steps=STEPS), "spatial")
-            log = log.unionByName(shaped.where("what = 'loss'").select(F.lit("spatial").alias("kind"), F.col("tile").alias("div"), F.col("place").alias("step"), F.col("v").alias("loss"), "sigma"))
-            cells, feet = cleaned(fixed, shaped, limits)
-        store.save_stage(log, base, "loss", stage)
+            rule = kinds if stage else ({}, {})
+            fixed = steps.table("fix", stage, {"rules": rule}, [stats.mark], lambda stats=stats, rule=rule: C.renumber(C.fix_kind(stats.rows.where("kind <> 'remove'"), *rule)))
+            trains, traces = converted(fixed.rows, spikes.rows, grounds.rows, count)
+            shaped = steps.table(
+                "spatial", stage, effort, [movie.mark, fixed.mark, feet.mark, spikes.mark, grounds.mark],
+                lambda fixed=fixed, feet=feet, trains=trains, traces=traces, setting=setting: V.spatial(movie.rows, fixed.rows.select("segid", "kind", "y", "x"), feet.rows, trains, traces, TILES, SIDE, SIDE, count, setting, epochs=EPOCHS, steps=STEPS),
+            )
+            logs.append(("spatial", shaped))
+            rows = {}
+            again = lambda fixed=fixed, shaped=shaped, rows=rows: rows.setdefault("both", cleaned(fixed.rows, shaped.rows, limits))  # noqa: E731, B023
+            cleaning = {"limits": limits, "radii": RADII, "closing": CLOSING}
+            cells = steps.table("clean-cells", stage, cleaning, [fixed.mark, shaped.mark], lambda again=again: again()[0])
+            feet = steps.table("clean", stage, cleaning, [fixed.mark, shaped.mark], lambda again=again: again()[1])
+        log = steps.table("loss", stage, {}, [one.mark for _, one in logs], lambda logs=logs: reduce(DataFrame.unionByName, [logged(kind, one.rows) for kind, one in logs]))
+        for name, table in (("stats", stats), ("loss", log), ("spikes", spikes), ("background", grounds), ("footprints", made)):
+            out[name].append(table.path)
         if last:
             break
-    _RUNS[key] = base
-    return base
+    return out
+
+
+def logged(kind: str, solved: DataFrame) -> DataFrame:
+    """The log of a solve."""
+    return solved.where("what = 'loss'").select(F.lit(kind).alias("kind"), F.col("tile").alias("div"), F.col("place").alias("step"), F.col("v").alias("loss"), "sigma")
 
 
 def cleaned(fixed: DataFrame, shaped: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
@@ -127,42 +141,57 @@ def cleaned(fixed: DataFrame, shaped: DataFrame, limits: dict) -> tuple[DataFram
     return materialise(cells, "cells"), feet
 
 
+def of_run(spark: SparkSession, d: str, entry: str, config: str = "a10u10") -> DataFrame:
+    return gather(spark, run_stages(spark, d, config)[entry])
+
+
 def stage_table(spark, d):
     """The statistics of every stage."""
-    rows = store.load_stages(spark, run_stages(spark, d), "stats")
+    rows = of_run(spark, d, "stats")
     return rows.select("stage", *[tidy(c, 4).alias(c) if k == "double" else F.col(c) for c, k in rows.select(*COLUMNS).dtypes])
 
 
 def stage_loss(spark, d):
     """The log of both solves by stage, tile and epoch."""
-    return store.load_stages(spark, run_stages(spark, d), "loss").select("stage", "kind", "div", "step", tidy("loss", 4).alias("loss"), tidy("sigma", 4).alias("sigma"))
+    return of_run(spark, d, "loss").select("stage", "kind", "div", "step", tidy("loss", 4).alias("loss"), tidy("sigma", 4).alias("sigma"))
 
 
 def temporal_fit(spark, d):
     """Spikes of the cells of the first stage."""
-    return store.load_stages(spark, run_stages(spark, d), "spikes").where("stage = 0").select("segid", "u", tidy("v", 4).alias("v"))
+    return of_run(spark, d, "spikes").where("stage = 0").select("segid", "u", tidy("v", 4).alias("v"))
 
 
 def spatial_fit(spark, d):
     """Footprints that the first spatial solve gave, after cleaning."""
-    return store.load_stages(spark, run_stages(spark, d), "footprints").where("stage = 1").select("segid", "y", "x", tidy("a", 4).alias("a"))
+    return of_run(spark, d, "footprints").where("stage = 1").select("segid", "y", "x", tidy("a", 4).alias("a"))
 
 
 def stage_counts(spark, d):
+    return counts_of(of_run(spark, d, "stats"))
+
+
+def counts_of(stats: DataFrame) -> DataFrame:
     """Components by stage and kind."""
-    return store.load_stages(spark, run_stages(spark, d), "stats").groupBy("stage", "kind").agg(F.count("*").alias("n"))
+    return stats.groupBy("stage", "kind").agg(F.count("*").alias("n"))
 
 
 def stage_signals(spark, d):
+    return signals_of(of_run(spark, d, "stats"))
+
+
+def signals_of(stats: DataFrame) -> DataFrame:
     """Density against signal by stage, cells beyond the limit marked as backgrounds."""
-    rows = store.load_stages(spark, run_stages(spark, d), "stats").where("signal > 0")
+    rows = stats.where("signal > 0")
     return rows.select("stage", "segid", F.when(F.col("udense") > 0.1, "background").otherwise(F.col("kind")).alias("kind"), tidy("udense", 4).alias("udense"), tidy("signal", 4).alias("signal"))
 
 
 def stage_radii(spark, d):
+    return radii_of(of_run(spark, d, "stats"))
+
+
+def radii_of(stats: DataFrame) -> DataFrame:
     """Components and their firmness by stage, kind and radius."""
-    rows = store.load_stages(spark, run_stages(spark, d), "stats")
-    return rows.groupBy("stage", "kind", tidy("radius", 4).alias("radius")).agg(F.count("*").alias("n"), tidy(F.avg("firmness"), 4).alias("firmness"))
+    return stats.groupBy("stage", "kind", tidy("radius", 4).alias("radius")).agg(F.count("*").alias("n"), tidy(F.avg("firmness"), 4).alias("firmness"))
 
 
 def _runs(spark, d):
@@ -170,25 +199,37 @@ def _runs(spark, d):
     out = None
     for config in SWEEP:
         setting = V.penalty(V.preset(config))
-        rows = store.load_stages(spark, run_stages(spark, d, config), "stats").withColumns({"run": F.lit(config), "la": F.lit(setting.la[1]), "lu": F.lit(setting.lu[1])})
+        rows = of_run(spark, d, "stats", config).withColumns({"run": F.lit(config), "la": F.lit(setting.la[1]), "lu": F.lit(setting.lu[1])})
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def sweep_cells(spark, d):
+    return cells_of(_runs(spark, d))
+
+
+def cells_of(runs: DataFrame) -> DataFrame:
     """Cells by the weights of a sweep and stage."""
-    return _runs(spark, d).groupBy("lu", "la", "stage").agg(F.count(F.when(F.col("kind") == "cell", 1)).alias("n"))
+    return runs.groupBy("lu", "la", "stage").agg(F.count(F.when(F.col("kind") == "cell", 1)).alias("n"))
 
 
 def sweep_signals(spark, d):
+    return facets_of(_runs(spark, d))
+
+
+def facets_of(runs: DataFrame) -> DataFrame:
     """Density against signal by run and stage, with how many cells the facet has."""
-    facet = Window.partitionBy("run", "stage")
-    return _runs(spark, d).where("signal > 0").select("run", "stage", "segid", tidy("udense", 4).alias("udense"), tidy("signal", 4).alias("signal"), F.count("*").over(facet).alias("n"))
+    many = runs.where("signal > 0").groupBy("run", "stage").agg(F.count("*").alias("n"))
+    return runs.where("signal > 0").join(F.broadcast(many), ["run", "stage"]).select("run", "stage", "segid", tidy("udense", 4).alias("udense"), tidy("signal", 4).alias("signal"), "n")
 
 
 def sweep_histograms(spark, d):
+    return histograms_of(_runs(spark, d))
+
+
+def histograms_of(runs: DataFrame) -> DataFrame:
     """Histograms of firmness and density by run and stage, in tenths."""
-    long = _runs(spark, d).select("run", "stage", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("firmness", "udense")])).alias("m"))
+    long = runs.select("run", "stage", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("firmness", "udense")])).alias("m"))
     return long.where("m.v is not null").groupBy("run", "stage", "m.metric", F.floor(F.col("m.v") * 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
