@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import over, tidy
+from ..operators import boxes as X
 from ..operators import footprints as G
 from ..operators import peaks as P
 from ..sources import movies as M
+from ..sources.store import materialise
 from .movie import BEST_SQL, PIXELS, SIDE, closing_sql, frames, r
 
 TILES = P.tiles(SIDE, SIDE, 2, 2, 1)
@@ -50,6 +52,32 @@ def dense_footprints(spark, d):
     return dense.select("segid", F.size("px").alias("n"), tidy(F.aggregate("px", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
+def _stored(spark, d, rows):
+    """Footprints written as boxes and read again."""
+    return materialise(X.boxed(rows), "boxes")
+
+
+def footprint_boxes(spark, d):
+    """The boxes of the stored footprints and what they hold."""
+    total = F.aggregate("w", F.lit(0.0), lambda a, v: a + v)
+    return _stored(spark, d, positive(spark, d)).select("segid", "y0", "y1", "x0", "x1", F.size("w").alias("n"), tidy(total).alias("total"))
+
+
+def boxed_footprints(spark, d):
+    """Footprints as they come back from their boxes."""
+    return X.unboxed(_stored(spark, d, positive(spark, d))).select("segid", "y", "x", tidy("a").alias("a"))
+
+
+def boxed_overlap(spark, d):
+    """The most overlapping footprint, from boxes."""
+    return X.overlap(_stored(spark, d, label_footprints(spark, d)), label_cells(spark, d)).select("segid", "max_dup_id", tidy("max_dup").alias("max_dup"))
+
+
+def boxed_tiles(spark, d):
+    """Tile membership, from boxes."""
+    return X.tile_members(_stored(spark, d, positive(spark, d)), centre_cells(spark, d), tile_table(spark))
+
+
 def footprint_area(spark, d):
     return G.measures(positive(spark, d)).select("segid", tidy("asum").alias("asum"), "area")
 
@@ -158,7 +186,7 @@ _ASPECT = """SELECT segid, (cyy + cxx) / 2 AS half, sqrt(pow((cyy - cxx) / 2, 2)
          sum(a * y * x) / sum(a) - sum(a * y) / sum(a) * sum(a * x) / sum(a) AS cxy FROM foot GROUP BY segid)"""
 
 QUERIES = {f.__name__: f for f in (
-    segment_mask, rescale_segments, make_footprints, dense_footprints, footprint_area, footprint_aspect, base_threshold, footprint_centres, nearest_neighbor,
+    segment_mask, rescale_segments, make_footprints, dense_footprints, footprint_boxes, boxed_footprints, boxed_overlap, boxed_tiles, footprint_area, footprint_aspect, base_threshold, footprint_centres, nearest_neighbor,
     max_overlap, tiles, tile_assign, clip_unclip, active_cells, clean_footprints, mutual_duplicates,
 )}
 ORACLES = {
@@ -180,3 +208,10 @@ ORACLES = {
     "clip_unclip": f"WITH {PIXELS} SELECT t, y, x, CASE WHEN y >= {TILES[3][1] - 1} AND x >= {TILES[3][3] - 1} THEN {r('v')} ELSE 0.0 END AS v FROM pixels",
     "active_cells": f"WITH {CENTRES}, {TILES_SQL} SELECT DISTINCT tile, f.segid, c.y >= y0 AND c.y < y1 AND c.x >= x0 AND c.x < x1 AS active FROM foot f JOIN tiles ON f.y >= y0 - margin AND f.y < y1 + margin AND f.x >= x0 - margin AND f.x < x1 + margin JOIN centres c ON c.segid = f.segid",
 }
+_BOX = f"WITH {POSITIVE} SELECT segid, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1, sum(a) AS s FROM foot WHERE a > 0 GROUP BY segid"
+ORACLES |= {
+    "footprint_boxes": f"SELECT segid, CAST(y0 AS INTEGER) AS y0, CAST(y1 AS INTEGER) AS y1, CAST(x0 AS INTEGER) AS x0, CAST(x1 AS INTEGER) AS x1, CAST((y1 - y0) * (x1 - x0) AS INTEGER) AS n, {r('s')} AS total FROM ({_BOX})",
+    "boxed_footprints": f"WITH {POSITIVE} SELECT segid, y, x, {r('a')} AS a FROM foot WHERE a > 0",
+    "boxed_overlap": ORACLES["max_overlap"].replace("c.segid <> f.segid", "c.segid <> f.segid AND f.a > 0"),
+    "boxed_tiles": ORACLES["active_cells"],
+}
