@@ -19,11 +19,6 @@ def over(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def signal_noise(v: Column) -> Column:
-    """Aggregate: maximum over the scaled median of the positive values."""
-    return over(F.max(v), MAD_SCALE * F.median(F.when(v > 0, v)))
-
-
 def aspect(ys: Column, xs: Column, weight: Column) -> Column:
     """Aggregate: ratio of the longer to the shorter axis of a weighted cloud of pixels; null for a line."""
     total = F.sum(weight)

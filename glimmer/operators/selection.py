@@ -16,7 +16,7 @@ MARKS, ACCURACY = 512, 2_048
 SENT_KEYS, SALT = 100_000, 64
 
 
-def medians(rows: DataFrame, value: str | Column, /, *keys: str, bound: int = BOUND, **others: Column) -> DataFrame:
+def medians(rows: DataFrame, value: str | Column, /, *keys: str, bound: int = BOUND, long: tuple[DataFrame, int] | None = None, **others: Column) -> DataFrame:
     """(keys, median, others): the exact median of ``value`` by key, or of all rows without keys, beside further
     aggregates. Equal to Spark's ``median``: nulls do not count, a key without a value has null, the two
     middle values are averaged, an empty table has one null row without keys and none with.
@@ -24,23 +24,35 @@ def medians(rows: DataFrame, value: str | Column, /, *keys: str, bound: int = BO
     Keys of at most ``bound`` values take Spark's aggregate. Longer ones are selected by rank: each round sets
     marks on what is left of every key by a sketch that tasks merge, counts around the two marks that
     enclose the middle, and goes on with what lies between them, about a hundredth. Null keys are a key.
-    ``rows`` is read twice, or four times where a key is long.
+    ``rows`` is read twice, or five times where a key is long. ``long`` is what ``long_keys`` found for the same
+    keys, where that is known.
     """
     v = F.col(value) if isinstance(value, str) else value
-    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    sized = rows.groupBy(*keys).agg(F.count(v).alias("n")).where(F.col("n") > bound)
-    long = materialise(sized.select(key.alias("k"), "n"), "long-keys")
-    count = long.count()
+    key = _key(keys)
+    found, count = long or long_keys(rows, v, *keys, bound=bound)
     if not count:
         return rows.groupBy(*keys).agg(F.median(v).alias("median"), *[c.alias(n) for n, c in others.items()])
     values = rows.select(key.alias("k"), v.cast("double").alias("v"))
-    left = materialise(_beside(values.where("v is not null"), long.select("k"), count).select("k", "v"), "values")
-    short = _beside(values, long.select("k"), count, "left_anti").groupBy("k").agg(F.median("v").alias("median"))
-    middle = short.unionByName(_by_rank(left, long, count, bound))
+    left = materialise(_beside(values.where("v is not null"), found.select("k"), count).select("k", "v"), "values")
+    short = _beside(values, found.select("k"), count, "left_anti").groupBy("k").agg(F.median("v").alias("median"))
+    middle = short.unionByName(_by_rank(left, found, count, bound))
     rest = rows.groupBy(*keys).agg(F.count(v).alias("_n"), *[c.alias(n) for n, c in others.items()])
     return rest.withColumn("k", key).join(middle, "k").select(*keys, "median", *others)
 
 
+def _key(keys: tuple[str, ...]) -> Column:
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+
+
+def long_keys(rows: DataFrame, value: str | Column, *keys: str, bound: int = BOUND) -> tuple[DataFrame, int]:
+    """(k, n) of the keys with more than ``bound`` values, and how many keys these are."""
+    sized = rows.groupBy(*keys).agg(F.count(value).alias("n")).where(F.col("n") > bound).select(_key(keys).alias("k"), "n")
+    if sized.isEmpty():
+        return sized, 0
+    kept = materialise(sized, "long-keys")
+    return kept, kept.count()
+
+
 def _beside(rows: DataFrame, table: DataFrame, count: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``table``, one row a long key: sent where small, else dealt in parts of a key."""
     if count <= SENT_KEYS:

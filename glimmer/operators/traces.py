@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import MAD_SCALE, over, signal_noise
+from ..functions.numeric import MAD_SCALE, over
+from .selection import long_keys, medians
 
 
 def double_exp(tau1: float = 0.08, tau2: float = 0.16, duration: float = 1.0, hz: float = 20.0) -> tuple[int, float, float, float]:
@@ -60,25 +61,36 @@ def calcium_to_spike(calcium: DataFrame, **given: float) -> DataFrame:
 
 
 def spike_stats(spikes: DataFrame, length: int) -> DataFrame:
-    """(spkid, signal, udense, unz, snratio, rsn) of sparse trains of ``length`` places."""
-    found = spikes.groupBy("spkid").agg(
-        F.max("v").alias("signal"), F.sum("v").alias("total"), F.count(F.when(F.col("v") > 0, 1)).alias("unz"), signal_noise(F.col("v")).alias("snratio")
-    )
+    """(spkid, signal, udense, unz, snratio, rsn) of sparse trains of ``length`` places; snratio is the largest
+    value over the scaled median of the positive ones, null without any."""
+    found = medians(spikes, F.when(F.col("v") > 0, F.col("v")), "spkid", signal=F.max("v"), total=F.sum("v"), unz=F.count(F.when(F.col("v") > 0, 1)))
+    found = found.withColumn("snratio", over(F.col("signal"), MAD_SCALE * F.col("median")))
     return found.select("spkid", "signal", over(F.col("total") / length, F.col("signal")).alias("udense"), "unz", "snratio", over(F.lit(1.0), F.col("snratio")).alias("rsn"))
 
 
 def background_stats(traces: DataFrame) -> DataFrame:
     """(id, bmax, bsparse) of signed traces."""
     size = F.abs(F.col("v"))
-    return traces.groupBy("id").agg(F.max(size).alias("bmax"), over(F.max("v"), MAD_SCALE * F.median(F.when(F.col("v") != 0, size))).alias("bsparse"))
-
-
-def robust_zscore(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """Add the distance from the median in scaled median deviations; two one-row aggregates are broadcast."""
-    mid = rows.agg(F.median(column).alias("_mid"))
-    with_mid = rows.crossJoin(F.broadcast(mid))
-    spread = with_mid.agg((MAD_SCALE * F.median(F.abs(F.col(column) - F.col("_mid")))).alias("_spread"))
-    return with_mid.crossJoin(F.broadcast(spread)).withColumn(out, over(F.col(column) - F.col("_mid"), F.col("_spread"))).drop("_mid", "_spread")
+    found = medians(traces, F.when(F.col("v") != 0, size), "id", bmax=F.max(size), top=F.max("v"))
+    return found.select("id", "bmax", over(F.col("top"), MAD_SCALE * F.col("median")).alias("bsparse"))
+
+
+def robust_levels(rows: DataFrame, *columns: str) -> DataFrame:
+    """(metric, mid, spread): median and scaled median deviation of several columns, selected together."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e")).select("e.metric", "e.v")
+    many = long_keys(long, "v", "metric")
+    mid = medians(long, "v", "metric", long=many).withColumnRenamed("median", "mid")
+    apart = medians(long.join(F.broadcast(mid), "metric"), F.abs(F.col("v") - F.col("mid")), "metric", long=many, mid=F.first("mid"))  # a row a column
+    return apart.select("metric", "mid", (MAD_SCALE * F.col("median")).alias("spread"))
+
+
+def robust_zscore(rows: DataFrame, **named: str) -> DataFrame:
+    """Add, under each name, the distance of a column from its median in scaled median deviations; null where
+    the deviation is zero. One row is broadcast."""
+    levels = robust_levels(rows, *named.values())
+    one = levels.agg(*[F.first(F.when(F.col("metric") == c, F.col(part)), ignorenulls=True).alias(f"_{part}_{c}") for c in named.values() for part in ("mid", "spread")])
+    scored = rows.crossJoin(F.broadcast(one))
+    return scored.withColumns({out: over(F.col(c) - F.col(f"_mid_{c}"), F.col(f"_spread_{c}")) for out, c in named.items()}).drop(*one.columns)
 
 
 def mahalanobis(rows: DataFrame, x: str, y: str, out: str) -> DataFrame:

@@ -79,7 +79,7 @@ def live(spark, d, table=None):
 
 
 def robust_zscore(spark, d):
-    return T.robust_zscore(live(spark, d), "rsn", "zrsn").select("segid", tidy("zrsn").alias("zrsn"))
+    return T.robust_zscore(live(spark, d), zrsn="rsn").select("segid", tidy("zrsn").alias("zrsn"))
 
 
 def mahalanobis(spark, d):
@@ -87,7 +87,7 @@ def mahalanobis(spark, d):
 
 
 def _scored(spark, d, table=None):
-    z = T.robust_zscore(T.robust_zscore(live(spark, d, table), "rsn", "zrsn"), "firmness", "zfirm")
+    z = T.robust_zscore(live(spark, d, table), zrsn="rsn", zfirm="firmness")
     return T.mahalanobis(z.withColumn("hypot", F.hypot("zfirm", "zrsn")), "firmness", "rsn", "mah")
 
 
@@ -96,19 +96,14 @@ def hypot_score(spark, d):
 
 
 def histogram_fixed(spark, d):
-    z = T.robust_zscore(live(spark, d), "rsn", "zrsn").select(T.in_bins(F.col("zrsn"), EDGES).alias("bin"))
+    z = T.robust_zscore(live(spark, d), zrsn="rsn").select(T.in_bins(F.col("zrsn"), EDGES).alias("bin"))
     return z.where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def robust_report(spark, d):
     """Median plus two scaled deviations of the metrics."""
-    rows = live(spark, d)
-    out = None
-    for m in ("firmness", "rsn"):
-        mid = rows.agg(F.median(m).alias("mid"))
-        dev = rows.crossJoin(F.broadcast(mid)).agg(F.lit(m).alias("metric"), tidy(F.first("mid") + 2 * 1.4826 * F.median(F.abs(F.col(m) - F.col("mid")))).alias("level"))
-        out = dev if out is None else out.unionByName(dev)
-    return out
+    levels = T.robust_levels(live(spark, d), "firmness", "rsn")
+    return levels.select("metric", tidy(F.col("mid") + 2 * F.col("spread")).alias("level"))
 
 
 def evaluate_kind(spark, d):

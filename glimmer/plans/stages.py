@@ -49,7 +49,7 @@ def evaluate(cells: DataFrame, spikes: DataFrame, grounds: DataFrame, length: in
     b = T.background_stats(grounds.withColumnRenamed("segid", "id")).withColumnRenamed("id", "segid")
     named = materialise(C.silent_to_remove(cells.join(s, "segid", "left")).join(b, "segid", "left"), "evaluated")
     live = named.where("kind = 'cell'").select("segid", "firmness", "rsn")
-    scored = T.robust_zscore(T.robust_zscore(live, "rsn", "zrsn"), "firmness", "_zfirm").withColumn("hypot", F.hypot("_zfirm", "zrsn"))
+    scored = T.robust_zscore(live, zrsn="rsn", _zfirm="firmness").withColumn("hypot", F.hypot("_zfirm", "zrsn"))
     scored = T.mahalanobis(scored, "firmness", "rsn", "mah").select("segid", "zrsn", "hypot", "mah")
     return named.join(scored, "segid", "left").select(*COLUMNS)
 
