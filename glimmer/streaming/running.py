@@ -1,4 +1,6 @@
-"""Running statistics over a stream of event files, with Spark's own state for each key."""
+"""Running statistics over streams of events and of movie frames, with Spark's own state for each key.
+
+A batch writes the keys that it changed; the latest row of each key is the state so far."""
 
 from __future__ import annotations
 
@@ -6,15 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.normalize import pixel_moments
 from ..sources.store import shared_dir
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_stream(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 4) -> DataFrame:
     """A table's files as a stream; a table may be one file or a folder of files."""
     whole = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     files = whole.inputFiles()
-    reader = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 4)
+    reader = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", files_a_batch)
     if files and files[0].rstrip("/").endswith(f"{name}.parquet"):
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return reader.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,22 +39,46 @@ def running_products(frames: DataFrame) -> DataFrame:
     return frames.select("row", mean.alias("w"), F.posexplode("px").alias("p", "x")).groupBy("row", "p").agg(F.sum(F.col("w") * F.col("x")).alias("v"))
 
 
-def hourly(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Windowed counts and sums under a watermark, for sinks that append closed windows."""
-    stamped = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+def movie_moments(frames: DataFrame, height: int, width: int) -> DataFrame:
+    """The moments of every pixel (``normalize.pixel_moments``) over the frames so far. Sums, extremes and
+    co-moments do not depend on the order of frames: one that comes late counts when it comes,
+    one that comes twice counts twice, and a null or misshapen frame counts for nothing."""
+    return pixel_moments(frames, height, width)
+
+
+def hourly(events: DataFrame, late: str | None = "1 day") -> DataFrame:
+    """Windowed counts and sums under a watermark: windows close, and rows that are later still are dropped.
+    With None no row is, and every window stays in the state."""
+    stamped = events.withColumn("at", F.col("ts").cast("timestamp"))
+    if late is not None:
+        stamped = stamped.withWatermark("at", late)
     return stamped.groupBy(F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def drain(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
-    """Run a stream over everything that is there and return the last state it wrote."""
+def drain(stream: DataFrame, spark: SparkSession, *keys: str) -> DataFrame:
+    """Run a stream over everything that is there. With ``keys``, the latest row of each key; without, all that
+    the stream appends."""
+    return latest(changes(stream, spark, "update" if keys else "append"), *keys)
+
+
+def changes(stream: DataFrame, spark: SparkSession, mode: str = "update") -> DataFrame:
+    """What each batch of a stream wrote, with the column ``batch``. A batch that runs again after a failure
+    replaces its own folder, so no change counts twice."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    written: list[str] = []
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    ran = set()
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/changes/batch={number}")
+        ran.add(number)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/changes") if ran else spark.createDataFrame([], schema)
 
-    def keep(batch: DataFrame, number: int) -> None:
-        path = f"{base}/state/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
-        written.append(path)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.parquet(written[-1]) if mode == "complete" else spark.read.parquet(*written)
+def latest(changed: DataFrame, *keys: str) -> DataFrame:
+    """The last row of each key by ``batch``, combined in each task before the shuffle."""
+    if not keys:
+        return changed.drop("batch")
+    rest = [c for c in changed.columns if c not in (*keys, "batch")]
+    return changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
