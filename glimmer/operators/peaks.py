@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import materialise
+from .normalize import inside_of
 from .stencils import by_frame, log_scales, max_pool
 
 
@@ -23,12 +24,15 @@ def radii(kind: str, low: float | None = None, high: float | None = None, count:
     raise ValueError(f"unknown kind of radii: {kind}")
 
 
-def local_peaks(frames: DataFrame, height: int, width: int, scales: Sequence[float]) -> DataFrame:
-    """(y, x, t, ri, v): places that equal the maximum of their 3 x 3 x 3 surroundings in scale space."""
+def local_peaks(frames: DataFrame, height: int, width: int, scales: Sequence[float], mask: DataFrame | None = None) -> DataFrame:
+    """(y, x, t, ri, v): places that equal the maximum of their 3 x 3 x 3 surroundings in scale space. Of a
+    mask(y, x), only places inside count, but what lies outside takes part in the comparison."""
+    inside = inside_of(mask, height, width)
 
     def work(t, images):
         space = log_scales(images, scales)
-        n, ri, y, x = np.nonzero(space == max_pool(space))
+        top = space == max_pool(space)
+        n, ri, y, x = np.nonzero(top if inside is None else top & inside)
         as_int = lambda a: a.astype(np.int32)
         return {"y": as_int(y), "x": as_int(x), "t": as_int(t[n]), "ri": as_int(ri), "v": space[n, ri, y, x]}
 

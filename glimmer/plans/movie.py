@@ -94,6 +94,21 @@ def scalar_stats(spark, d):
     return s.select(*[tidy(c).alias(c) for c in s.columns])
 
 
+def masked_stats(spark, d):
+    """The scalars of a movie with a region of interest: frame means and the unit go over the region."""
+    f = frames(spark, d)
+    mask = materialise(M.ring_mask(f), "mask")
+    s = N.scalar_stats(materialise(N.pixel_moments(f, SIDE, SIDE, mask), "moments"), mask)
+    return s.select(*[tidy(c).alias(c) for c in s.columns])
+
+
+def masked_peaks(spark, d):
+    """Each pixel's best peak inside a region of interest."""
+    f = frames(spark, d)
+    found = P.best_peaks(P.local_peaks(f, SIDE, SIDE, RADII, M.ring_mask(f)), RADII)
+    return found.select("y", "x", "t", "ri", tidy("radius").alias("radius"), tidy("v").alias("v"))
+
+
 def normalized_movie(spark, d):
     m = _moments(spark, d)
     out = N.normalized(frames(spark, d), m, N.scalar_stats(m), SIDE, SIDE)
@@ -236,8 +251,10 @@ _BLUR = f"SELECT t, y, x, {r('v')} AS v FROM ({_BLURRED})"
 QUERIES = {f.__name__: f for f in (
     frame_mean, pixel_stats, neighbor_corr, scalar_stats, normalized_movie, neighbor_mean, mask_crop, pixel_series, frame_choice, gaussian_blur, log_single,
     log_scales, max_pool3d, peak_test, find_peaks, peaks_per_radius, grey_closing, scale_table, histogram_uniform, nms_peaks, nms_peaks_by_kind,
-    simple_peaks, image_folds, positive_peaks, mask_fill,
+    simple_peaks, image_folds, positive_peaks, mask_fill, masked_stats, masked_peaks,
 )}
+MASK_SQL = """means AS (SELECT y, x, avg(v) AS m FROM pixels WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 GROUP BY y, x
+), mask AS (SELECT y, x FROM means WHERE m > (SELECT avg(m) FROM means))"""
 #: Greedy suppression by one recursion a candidate: the numbers of those accepted so far are carried along.
 NMS_SQL = f"""RECURSIVE {BEST_SQL}, ranked AS (
   SELECT *, row_number() OVER (ORDER BY v DESC, y, x) AS k, radius > 1.5 AS ground FROM best WHERE radius >= 0.5), above AS (
@@ -263,6 +280,11 @@ ORACLES = {
     "simple_peaks": f"WITH {PIXELS}, blurred AS ({_BLURRED}) SELECT t, y, x, {r('v')} AS v FROM (SELECT *, max(m1) OVER (PARTITION BY t, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM (SELECT *, max(v) OVER (PARTITION BY t, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m1 FROM blurred)) WHERE v = m",
     "image_folds": f"WITH {PIXELS} SELECT y, x, {r('min(v)')} AS low, {r('max(v)')} AS high, {r('sum(v)')} AS total, (array_agg(t ORDER BY v DESC, t))[1] AS at FROM pixels GROUP BY y, x",
     "positive_peaks": f"WITH {POOL_SQL} SELECT t, CAST(ri AS INTEGER) AS ri, y, x, {r('v')} AS v FROM pooled WHERE v = m AND v > 0 AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND ri BETWEEN 1 AND {len(RADII) - 2}",
+    "masked_stats": f"""WITH {PIXELS}, {MASK_SQL}, levels AS (SELECT t, avg(v) AS level FROM pixels SEMI JOIN mask USING (y, x) GROUP BY t),
+      moments AS (SELECT y, x, avg(v - level) AS avgx, var_pop(v - level) AS var, max(v - level) AS high, min(v - level) AS low, min(v) AS vmin, max(v) AS vmax FROM pixels JOIN levels USING (t) GROUP BY y, x),
+      unit AS (SELECT sqrt(avg(var)) AS std0 FROM moments SEMI JOIN mask USING (y, x))
+      SELECT {r('min(std0)')} AS std0, {r('min(vmin)')} AS min0, {r('max(vmax)')} AS max0, {r('min((low - avgx) / std0)')} AS min1, {r('max((high - avgx) / std0)')} AS max1 FROM moments, unit""",
+    "masked_peaks": f"WITH {BEST_SQL}, {MASK_SQL} SELECT y, x, t, ri, {r('radius')} AS radius, {r('v')} AS v FROM best SEMI JOIN mask USING (y, x)",
     "mask_fill": f"WITH {PIXELS}, means AS (SELECT y, x, avg(v) AS m FROM pixels WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 GROUP BY y, x), mask AS (SELECT y, x FROM means WHERE m > (SELECT avg(m) FROM means)) SELECT t, p.y, p.x, {r('CASE WHEN m.y IS NULL THEN 0 ELSE v END')} AS v FROM pixels p LEFT JOIN mask m ON p.y = m.y AND p.x = m.x",
     "pixel_series": f"WITH {PIXELS} SELECT y, x, count(*) AS n, {r('arg_min(v, t)')} AS first, {r('arg_max(v, t)')} AS last FROM pixels GROUP BY y, x",
     "frame_choice": f"WITH {PIXELS} SELECT t, y, x, {r('v')} AS v FROM pixels WHERE t IN (SELECT t FROM pixels GROUP BY t HAVING avg(v) > 0)",

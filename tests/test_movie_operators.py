@@ -127,3 +127,25 @@ def test_masks_from_files(spark, tmp_path):
     held = movies.mask_of(movies.read_npy(spark, f"{tmp_path}/mask.npy"), 5)
     got = movies.crop_to_mask(movies.pixels(movies.read_npy(spark, f"{tmp_path}/m.npy"), 5), held).collect()
     assert sorted((r["t"], r["y"], r["x"], r["v"]) for r in got) == [(t, y, x, movie[t, y + 1, x + 2]) for t in range(6) for y in range(2) for x in range(2)]
+
+
+def test_a_mask_governs_means_unit_and_peaks(spark):
+    """Against numpy; places off the frame and repeats in the mask do not count, an empty one is an error."""
+    from glimmer.operators import normalize as N
+    from glimmer.operators import stencils as S
+
+    rng = np.random.default_rng(5)
+    movie = rng.normal(size=(7, 5, 6))
+    frames = spark.createDataFrame([(t, movie[t].ravel().tolist()) for t in range(7)], "t int, px array<double>")
+    inside = rng.random((5, 6)) < 0.5
+    places = [(int(y), int(x)) for y, x in zip(*np.nonzero(inside), strict=True)]
+    mask = spark.createDataFrame([*places, places[0], (99, 0), (-1, 2)], "y int, x int")
+    diff = movie - movie[:, inside].mean(-1)[:, None, None]
+    got = N.scalar_stats(N.pixel_moments(frames, 5, 6, mask), mask).first()
+    unit = np.sqrt(diff.var(0)[inside].mean())
+    assert got["std0"] == pytest.approx(unit) and got["max1"] == pytest.approx(((diff.max(0) - diff.mean(0)) / unit).max())
+    space = S.log_scales(movie, [0.8, 1.2])
+    want = {tuple(map(int, (y, x, t, ri))) for t, ri, y, x in zip(*np.nonzero((space == S.max_pool(space)) & inside), strict=True)}
+    assert {(r["y"], r["x"], r["t"], r["ri"]) for r in P.local_peaks(frames, 5, 6, [0.8, 1.2], mask).collect()} == want
+    with pytest.raises(ValueError, match="mask"):
+        N.pixel_moments(frames, 5, 6, mask.where("y > 50"))
