@@ -90,3 +90,20 @@ def test_runs_share_their_steps(spark):
     assert stats.columns == [*R.COLUMNS, "stage"] and stats.select("stage").distinct().count() == len(first["stats"])
     kept = gather(spark, first["spikes"]).join(stats.where("kind = 'cell'"), ["stage", "segid"], "left_anti")
     assert kept.count() == 0  # every spike belongs to a cell of its stage that was not removed
+
+
+def test_runs_of_a_sweep_go_side_by_side(spark, tmp_path, monkeypatch):
+    import threading
+
+    path, all_here, shared = f"file://{tmp_path}/stats", threading.Barrier(len(R.SWEEP)), []
+    spark.createDataFrame([(0, "cell"), (1, "background")], "segid int, kind string").write.parquet(path)
+
+    def run(spark, d, config):
+        assert shared  # what the runs have in common is made first, once
+        all_here.wait(30)
+        return {"stats": [path]}
+
+    monkeypatch.setattr(R, "run_stages", run)
+    monkeypatch.setattr(R, "first_steps", lambda *_: shared.append(1), raising=False)
+    rows = R.cells_of(R._runs(spark, "none")).collect()
+    assert len(shared) == 1 and sorted((r["la"], r["lu"], r["n"]) for r in rows) == [(0.01, 0.001, 1), (0.01, 0.01, 1), (0.1, 0.001, 1)]
