@@ -6,9 +6,9 @@ words, unknown ones too, share units by their last letters and are told apart wi
 their counts. The model adds the vectors of the units before a token, each weighed by its distance,
 and predicts the token's unit in two steps: one of about sqrt(units) groups, then a unit of the group.
 
-Training is distributed: every task trains a copy on draws from its own documents by noise-contrastive
-estimation in numpy, in proportion to its tokens, and the copies' rows are averaged by how often
-each was drawn. Matrix products over all groups and over a group's units then give normalised
+Training is distributed: every task trains a copy on all tokens of its own documents by noise-contrastive
+estimation in numpy, in a random order, and the copies' rows are averaged by how often each was
+drawn. Matrix products over all groups and over a group's units then give normalised
 log-probabilities. Words whose counts are not broadcast meet them in one shuffle, as one row per
 (document, word).
 """
@@ -29,9 +29,9 @@ OWN_WORDS, LEAST_COUNT, FORMS, LETTERS = 15_360, 5, 1_024, 3
 HEAD_WORDS = 65_536
 #: Size of the vectors, words of context, noise groups a step, noise units a token, tokens a step, step size.
 SIZE, CONTEXT, GROUP_NOISE, UNIT_NOISE, BATCH, RATE = 24, 2, 32, 4, 1_024, 0.1
-#: Rounds of training and averaging, and draws a token in each. Small corpora are drawn from more
-#: often: about VISITS draws in all, MOST a token.
-ROUNDS, DRAWS, VISITS, MOST = 2, 0.1, 4_000_000, 8
+#: Rounds of training and averaging. Over all rounds every token is visited as often as any other: once, or in
+#: small corpora so often that there are about VISITS in all, MOST a token and round.
+ROUNDS, VISITS, MOST = 2, 4_000_000, 8
 #: Tokens whose chances are computed together, and rows of one product (a few megabytes).
 CHUNK, ROWS = 131_072, 4_096
 SEED = 0
@@ -202,6 +202,15 @@ def units_before(units: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def visits(n: int, turn: int, passes: int, rng: np.random.Generator) -> np.ndarray:
+    """The places of ``n`` tokens to train on in a round, in a random order. With one pass in all, a round
+    has every ROUNDS-th place, so that the rounds have each once; with more, whole passes are dealt to the rounds."""
+    if passes == 1:
+        return rng.permutation(np.arange(turn, n, ROUNDS))
+    mine = len(range(turn, passes, ROUNDS))
+    return np.concatenate([np.arange(0), *(rng.permutation(n) for _ in range(mine))])
+
+
 class Trainer:
     """Noise-contrastive estimation of one model on batches of tokens, with steps scaled by the
     squares of all gradients so far; counts how often each row was drawn."""
@@ -259,7 +268,7 @@ def train(lists: DataFrame, words: Vocabulary, tokens: int, seed: int = 5) -> Lo
     model = LogBilinear.new(words.mass, words.width, seed)
     if not tokens:
         return model
-    draws = min(MOST, max(DRAWS, VISITS / tokens / ROUNDS))
+    passes = min(MOST * ROUNDS, max(1, round(VISITS / tokens)))
     for turn in range(ROUNDS):
         shared = lists.sparkSession.sparkContext.broadcast((model, words.mass, words.end))
 
@@ -275,7 +284,7 @@ def train(lists: DataFrame, words: Vocabulary, tokens: int, seed: int = 5) -> Lo
             for batch in batches:
                 units = np.frombuffer(b"".join(batch.column("units").to_pylist()), "<u2").astype(np.int64)
                 before = units_before(units, end)
-                places = rng.integers(0, len(units), rng.poisson(draws * len(units))) if len(units) else units
+                places = visits(len(units), turn, passes, rng)
                 for a in range(0, len(places), BATCH):
                     some = places[a : a + BATCH]
                     own.step(before[some], units[some])

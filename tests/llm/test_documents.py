@@ -310,6 +310,14 @@ def test_contexts_do_not_cross_texts():
     assert lm_score.units_before(np.array([1, 2, 3, 9, 9, 4, 9]), 9).tolist() == [[9, 9], [1, 9], [2, 1], [3, 2], [9, 9], [9, 9], [4, 9]]
 
 
+@pytest.mark.parametrize("passes", [1, 2, 5])
+def test_every_token_teaches_equally_often(passes):
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 7, 1000):
+        places = np.concatenate([lm_score.visits(n, turn, passes, rng) for turn in range(lm_score.ROUNDS)])
+        assert np.bincount(places.astype(int), minlength=n).tolist() == [passes] * n
+
+
 def test_scores_are_the_model_and_the_counts(spark, docs, monkeypatch):
     """The score of every text from the trained model, token by token, with words by their form in units."""
     kept = {}
