@@ -62,6 +62,23 @@ def test_solves_by_tile_recover_a_planted_movie(spark, planted):
         assert np.corrcoef(image[k], feet[k].ravel())[0, 1] > 0.9 and image[k].min() >= 0
 
 
+def test_traces_of_a_spatial_solve_are_computed_once(spark, planted):
+    frames, cells, weights, _, spikes, _ = planted
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    at = [(k, int(u), float(spikes[k, u])) for k in range(4) for u in np.flatnonzero(spikes[k])]
+    grounds = [(4, t, float(np.sin(t / 9))) for t in range(COUNT)]
+    counted = lambda rows, form: spark.createDataFrame(rows, form).mapInArrow(through, form)
+    shaped = V.spatial(frames, cells, weights, counted(at, "segid int, u int, v double"), counted(grounds, "segid int, t int, v double"), P.tiles(SIDE, SIDE, 2, 2, 3), SIDE, SIDE, COUNT, V.penalty(V.preset("a1u1")), epochs=1, steps=1)
+    assert {r["segid"] for r in shaped.where("what = 'x'").collect()} == set(range(5))
+    assert seen.value == len(at) + len(grounds)
+
+
 def test_dots_do_not_depend_on_how_weights_reach_the_movie(planted, monkeypatch):
     frames, _, weights, _, _, _ = planted
     tiles = [(0, 0, SIDE, 0, SIDE, 0)]
