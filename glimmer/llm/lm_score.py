@@ -27,13 +27,13 @@ from .shared import cut, in_fold, number_words, slices, table
 OWN_WORDS, LEAST_COUNT, FORMS, LETTERS = 15_360, 5, 1_024, 3
 #: Words whose counts are broadcast (16 bytes each).
 HEAD_WORDS = 65_536
-#: Size of the vectors, words of context, noise groups a step, noise units a token, tokens a step, step size.
-SIZE, CONTEXT, GROUP_NOISE, UNIT_NOISE, BATCH, RATE = 24, 2, 32, 4, 1_024, 0.1
+#: Size of the vectors, words of context, noise groups a step, noise units a group and step, tokens a step, step size.
+SIZE, CONTEXT, GROUP_NOISE, UNIT_NOISE, BATCH, RATE = 24, 2, 32, 8, 4_096, 0.2
 #: Rounds of training and averaging. Over all rounds every token is visited as often as any other: once, or in
 #: small corpora so often that there are about VISITS in all, MOST a token and round.
 ROUNDS, VISITS, MOST = 2, 4_000_000, 8
-#: Tokens whose chances are computed together, and rows of one product (a few megabytes).
-CHUNK, ROWS = 131_072, 4_096
+#: Tokens whose chances are computed together, and rows of one product (which stays in a core's cache).
+CHUNK, ROWS = 131_072, 512
 SEED = 0
 #: Texts are marked as ended by one more token, which no word can equal.
 END = b"\n"
@@ -170,8 +170,9 @@ class LogBilinear:
                 raw = query[i : i + ROWS] @ targets.T
                 own = raw[np.arange(len(raw)), at[i : i + ROWS]]
                 with np.errstate(over="ignore"):
-                    total = np.exp(raw).sum(1)
+                    total = np.exp(raw, out=raw).sum(1)
                 if not (np.isfinite(total) & (total > 0)).all():  # beyond single precision: shift by the largest
+                    raw = query[i : i + ROWS] @ targets.T
                     top = raw.max(1)
                     own, total = own - top, np.exp(raw - top[:, None]).sum(1)
                 out[i : i + ROWS] = own - np.log(total)
@@ -228,39 +229,61 @@ class Trainer:
         within = padded.reshape(groups, -1) / np.maximum(np.diff(self.edges), 1e-30)[:, None]
         self.log_unit = np.log(UNIT_NOISE * np.maximum(within.ravel(), 1e-30)).astype(np.float32)
 
-    def _move(self, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        kept, inverse, times = np.unique(rows, return_inverse=True, return_counts=True)
-        size = grad.shape[1]
-        total = np.bincount((inverse[:, None] * size + np.arange(size)).ravel(), grad.ravel(), len(kept) * size).reshape(-1, size)
-        self.scale[k][kept] += total**2
-        self.model.parts()[k][kept] -= RATE * total / np.sqrt(self.scale[k][kept])
-        self.drawn[k][kept] += times
+    def _move(self, k: int, rows: np.ndarray, grad: np.ndarray, times: np.ndarray) -> None:
+        """Go down the gradient of rows that may repeat; each stands for so many draws."""
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # parts have fewer rows than that
+        own = rows[order]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        kept, total = own[starts], np.add.reduceat(grad[order], starts, axis=0)
+        scale = self.scale[k][kept] + total**2
+        self.scale[k][kept] = scale
+        total *= RATE
+        total /= np.sqrt(scale)
+        self.model.parts()[k][kept] -= total
+        self.drawn[k][kept] += np.add.reduceat(times[order], starts)
 
     def step(self, before: np.ndarray, units: np.ndarray) -> None:
+        """One step on some tokens. Those of a group share its noise units, so that its part is a product of matrices."""
         m, n = self.model, len(units)
-        sure = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        vectors = m.context[before]
+        order = np.argsort(units.astype(np.uint16), kind="stable")  # by group, and by unit within it
+        before, units = before[order].T, units[order]
+        vectors = [m.context[b] for b in before]
         query = np.ones((n, SIZE + 1), np.float32)
-        query[:, :SIZE] = (vectors * m.reach).sum(1)
-        group = units // m.width
+        query[:, :SIZE] = sum(v * r for v, r in zip(vectors, m.reach, strict=True))
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(GROUP_NOISE) * self.edges[-1], "right") - 1, len(m.group) - 1)
-        good = (sure((query * m.group[group]).sum(1) - self.log_group[group]) - 1) / n
-        bad = sure(query @ m.group[noise].T - self.log_group[noise]) / n
-        pull = good[:, None] * m.group[group] + bad @ m.group[noise]
-        low, high = self.edges[group], self.edges[group + 1]
-        other = np.searchsorted(self.steps, low[:, None] + self.rng.random((n, UNIT_NOISE)) * (high - low)[:, None], "right") - 1
+        bad = (0.5 * np.tanh(0.5 * (query @ m.group[noise].T - self.log_group[noise])) + 0.5) / n
+        pull = bad @ m.group[noise]
+        # a token's own unit
+        target = m.unit[units]
+        good = ((0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", query, target) - self.log_unit[units])) - 0.5) / n)[:, None]
+        pull += good * target
+        # its group, and the noise units of the group
+        group = units // m.width
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        present, many = group[starts], np.diff(starts, append=n)
+        low, high = self.edges[present], self.edges[present + 1]
+        other = np.searchsorted(self.steps, low[:, None] + self.rng.random((len(present), UNIT_NOISE)) * (high - low)[:, None], "right") - 1
         other = np.clip(other, 0, len(m.unit) - 1)
-        target, far = m.unit[units], m.unit[other]
-        good_unit = (sure((query * target).sum(1) - self.log_unit[units]) - 1) / n
-        bad_unit = sure(np.matmul(far, query[:, :, None])[:, :, 0] - self.log_unit[other]) / n
-        pull += good_unit[:, None] * target + np.matmul(bad_unit[:, None, :], far)[:, 0]
-        back = pull[:, None, :SIZE]
-        moved = (back * m.reach).reshape(-1, SIZE)
-        reach = (back * vectors).sum(0)
-        self._move(2, np.concatenate([group, noise]), np.concatenate([good[:, None] * query, bad.T @ query]))
-        self._move(3, np.concatenate([units, other.ravel()]), np.concatenate([good_unit[:, None] * query, (bad_unit[:, :, None] * query[:, None, :]).reshape(-1, SIZE + 1)]))
-        self._move(0, before.ravel(), moved)
-        self._move(1, np.arange(CONTEXT), reach)
+        heads = np.concatenate([m.group[present][:, None], m.unit[other]], 1)
+        levels = np.concatenate([self.log_group[present][:, None], self.log_unit[other]], 1)
+        wrong = np.full(1 + UNIT_NOISE, 0.5, np.float32)
+        wrong[0] = -0.5
+        away = np.empty_like(heads)
+        for i, (a, b) in enumerate(zip(starts.tolist(), (starts + many).tolist(), strict=True)):
+            part = (0.5 * np.tanh(0.5 * (query[a:b] @ heads[i].T - levels[i])) + wrong) / n
+            pull[a:b] += part @ heads[i]
+            np.matmul(part.T, query[a:b], out=away[i])
+        back, ones = pull[:, :SIZE], np.ones(n * CONTEXT + len(noise) + other.size, np.int64)
+        reach = np.stack([np.einsum("ij,ij->j", back, v) for v in vectors])
+        moved = np.concatenate([back * r for r in m.reach])
+        firsts = np.flatnonzero(np.diff(units, prepend=-1))
+        self._move(2, np.concatenate([present, noise]), np.concatenate([away[:, 0], bad.T @ query]), np.concatenate([many, ones[: len(noise)]]))
+        self._move(
+            3, np.concatenate([units[firsts], other.ravel()]), np.concatenate([np.add.reduceat(good * query, firsts, axis=0), away[:, 1:].reshape(-1, SIZE + 1)]),
+            np.concatenate([np.diff(firsts, append=n), ones[: other.size]]),
+        )
+        self._move(0, before.ravel(), moved, ones[: before.size])
+        self._move(1, np.arange(CONTEXT), reach, ones[:CONTEXT])
 
 
 def train(lists: DataFrame, words: Vocabulary, tokens: int, seed: int = 5) -> LogBilinear:

@@ -306,6 +306,17 @@ def test_noise_contrast_learns_what_follows():
     assert np.exp(model.log_chances(before, follow[before[:, 0]])).mean() > 0.8
 
 
+def test_tokens_of_a_group_share_its_noise():
+    """The rows that a step moves for noise are as many as its groups need, however many tokens it has."""
+    mass, m = small_model()
+    own, rng = lm_score.Trainer(m, mass, np.random.default_rng(2)), np.random.default_rng(3)
+    units = rng.integers(0, 15, 900)
+    own.step(rng.integers(0, 23, (900, 2)), units)
+    groups = len(set((units // 5).tolist()))
+    assert own.drawn[3].sum() == 900 + groups * lm_score.UNIT_NOISE
+    assert own.drawn[2].sum() == 900 + lm_score.GROUP_NOISE and own.drawn[0].sum() == 1800
+
+
 def test_contexts_do_not_cross_texts():
     assert lm_score.units_before(np.array([1, 2, 3, 9, 9, 4, 9]), 9).tolist() == [[9, 9], [1, 9], [2, 1], [3, 2], [9, 9], [9, 9], [4, 9]]
 
