@@ -142,3 +142,31 @@ def test_no_peaks_give_no_peaks(spark):
     assert P.reduce_peaks(none, 1, 4, 1.2).count() == 0
     unknown = spark.createDataFrame([(1, 1, 0, None, None)], "y int, x int, t int, radius double, v double")
     assert P.reduce_peaks(unknown, 1, 4, 1.2).count() == 0
+
+
+def test_statistics_of_a_stage_are_planned_in_parts(spark, capsys):
+    from glimmer.plans.stages import COLUMNS, evaluate
+
+    lacking = [c for c in COLUMNS if c not in ("kind", "segid", "firmness", "old_kind", "spkid", "bgid", "signal", "udense", "unz", "rsn", "zrsn", "hypot", "mah", "bmax", "bsparse")]
+    kinds = ["cell"] * 4 + ["background"]
+    cells = spark.createDataFrame([(k, kind, 1.0 + k * k) for k, kind in enumerate(kinds)], "segid int, kind string, firmness double").withColumns({c: F.lit(0) for c in lacking})
+    spikes = spark.createDataFrame([(k, u, float(1 + u ** (k + 1))) for k in range(3) for u in range(9)], "segid int, u int, v double")  # cell 3 is silent
+    found = evaluate(cells, spikes, spark.createDataFrame([(4, t, t - 3.0) for t in range(9)], "segid int, t int, v double"), 9)
+    rows = {r["segid"]: r for r in found.collect()}
+    assert [rows[k]["kind"] for k in range(5)] == ["cell", "cell", "cell", "remove", "background"] and rows[4]["bmax"] == 5.0
+    assert all(rows[k]["mah"] is not None and rows[k]["hypot"] is not None for k in range(3)) and rows[3]["mah"] is None
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("Exchange") < 10  # levels, scores and statistics come from files
+
+
+def test_cleaning_runs_once_a_stage(spark, planted, monkeypatch, tmp_path):
+    from glimmer.plans import stages as L
+
+    seen = []
+    monkeypatch.setattr(L, "cleaned", lambda *given, own=L.cleaned: seen.append(0) or own(*given))
+    monkeypatch.setattr(L, "EPOCHS", 1)
+    monkeypatch.setattr(L, "STEPS", 1)
+    monkeypatch.setattr(L.store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    made = L.run_stages(spark, "/root/testdata/sf0.001")
+    assert len(made["footprints"]) == 2 and len(seen) == 1
