@@ -34,6 +34,8 @@ SIZE, CONTEXT, GROUP_NOISE, UNIT_NOISE, BATCH, RATE = 24, 2, 32, 8, 4_096, 0.2
 ROUNDS, VISITS, MOST = 2, 4_000_000, 8
 #: Tokens whose chances are computed together, and rows of one product (which stays in a core's cache).
 CHUNK, ROWS = 131_072, 512
+#: Runs of so many rows or less are added up side by side.
+LONG_RUN = 8
 SEED = 0
 #: Texts are marked as ended by one more token, which no word can equal.
 END = b"\n"
@@ -158,44 +160,47 @@ class LogBilinear:
     def queries(self, before: np.ndarray) -> np.ndarray:
         """(token, SIZE + 1) for the units before each token, the nearest first; the last column is 1."""
         out = np.ones((len(before), SIZE + 1), np.float32)
-        out[:, :SIZE] = sum(self.context[before[:, k]] * self.reach[k] for k in range(CONTEXT))
+        out[:, :SIZE] = sum((self.context * self.reach[k]).take(before[:, k], 0) for k in range(CONTEXT))
         return out
 
     def log_chances(self, before: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Natural log-probability of each token's unit after the units before it."""
 
         def picked(query: np.ndarray, targets: np.ndarray, at: np.ndarray) -> np.ndarray:
-            out = np.empty(len(query), np.float32)
-            for i in range(0, len(query), ROWS):
-                raw = query[i : i + ROWS] @ targets.T
-                own = raw[np.arange(len(raw)), at[i : i + ROWS]]
-                with np.errstate(over="ignore"):
-                    total = np.exp(raw, out=raw).sum(1)
-                if not (np.isfinite(total) & (total > 0)).all():  # beyond single precision: shift by the largest
+            out, sums, ones = np.empty(len(query), np.float32), np.empty(len(query), np.float32), np.ones(len(targets), np.float32)
+            places = np.arange(ROWS) * len(targets)
+            with np.errstate(over="ignore"):
+                for i in range(0, len(query), ROWS):
                     raw = query[i : i + ROWS] @ targets.T
-                    top = raw.max(1)
-                    own, total = own - top, np.exp(raw - top[:, None]).sum(1)
-                out[i : i + ROWS] = own - np.log(total)
-            return out
+                    raw.take(places[: len(raw)] + at[i : i + ROWS], out=out[i : i + ROWS])
+                    np.matmul(np.exp(raw, out=raw), ones, out=sums[i : i + ROWS])
+            odd = np.flatnonzero(~(np.isfinite(sums) & (sums > 0)))
+            for i in range(0, len(odd), ROWS):  # beyond single precision: shift by the largest
+                some = odd[i : i + ROWS]
+                raw = query[some] @ targets.T
+                top = raw.max(1)
+                out[some], sums[some] = raw[np.arange(len(raw)), at[some]] - top, np.exp(raw - top[:, None]).sum(1)
+            return out - np.log(sums)
 
         found = np.empty(len(units))
         for a in range(0, len(units), CHUNK):
-            own, query = units[a : a + CHUNK], self.queries(before[a : a + CHUNK])
-            group, slot = np.divmod(own, self.width)
+            own = units[a : a + CHUNK]
+            order = np.argsort(own.astype(np.uint16), kind="stable")  # by group
+            query = self.queries(before[a : a + CHUNK].take(order, 0))
+            group, slot = np.divmod(own[order], self.width)
             value = picked(query, self.group, group).astype(float)
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.diff(group[order])) + 1
-            for some in np.split(order, cuts) if len(order) else []:
-                g = int(group[some[0]])
-                value[some] += picked(query[some], self.unit[g * self.width : (g + 1) * self.width], slot[some])
-            found[a : a + CHUNK] = value
+            cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(group)], strict=True):
+                g = int(group[i])
+                value[i:j] += picked(query[i:j], self.unit[g * self.width : (g + 1) * self.width], slot[i:j])
+            found[a + order] = value
         return found
 
 
 def units_before(units: np.ndarray, end: int) -> np.ndarray:
     """(token, CONTEXT): the units before each token, the nearest first; before a text there are ends.
     Every text in ``units`` closes with an end, and the first one follows an end too."""
-    out = np.full((len(units), CONTEXT), end)
+    out = np.full((len(units), CONTEXT), end, units.dtype)
     for k in range(CONTEXT):
         out[k + 1 :, k] = units[: max(0, len(units) - k - 1)]
         if k:
@@ -212,6 +217,29 @@ def visits(n: int, turn: int, passes: int, rng: np.random.Generator) -> np.ndarr
     return np.concatenate([np.arange(0), *(rng.permutation(n) for _ in range(mine))])
 
 
+def run_sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``rows`` taken in ``order``; runs come by falling length. Short ones are added side by
+    side, place by place, and the few long ones each for itself: much faster than ``add.reduceat`` over rows."""
+    total = rows.take(order[starts], 0)
+    long = int(np.searchsorted(-many, -LONG_RUN))
+    for i, (a, n) in enumerate(zip(starts[:long].tolist(), many[:long].tolist(), strict=True)):
+        total[i] = rows.take(order[a : a + n], 0).sum(0)
+    for k in range(1, LONG_RUN):
+        upto = int(np.searchsorted(-many, -k))  # those longer than k
+        if upto <= long:
+            break
+        total[long:upto] += rows.take(order[starts[long:upto] + k], 0)
+    return total
+
+
+def halved(targets: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Half the targets, their biases less the levels of the noise."""
+    out = targets.copy()
+    out[..., -1] -= levels
+    out *= 0.5
+    return out
+
+
 class Trainer:
     """Noise-contrastive estimation of one model on batches of tokens, with steps scaled by the
     squares of all gradients so far; counts how often each row was drawn."""
@@ -229,34 +257,49 @@ class Trainer:
         within = padded.reshape(groups, -1) / np.maximum(np.diff(self.edges), 1e-30)[:, None]
         self.log_unit = np.log(UNIT_NOISE * np.maximum(within.ravel(), 1e-30)).astype(np.float32)
 
-    def _move(self, k: int, rows: np.ndarray, grad: np.ndarray, times: np.ndarray) -> None:
-        """Go down the gradient of rows that may repeat; each stands for so many draws."""
+    def _move(self, k: int, rows: np.ndarray, grad: np.ndarray, part: float, times: np.ndarray | None = None) -> None:
+        """Go down ``part`` of the gradient of rows that may repeat; each stands for so many draws, or one."""
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # parts have fewer rows than that
         own = rows[order]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
-        kept, total = own[starts], np.add.reduceat(grad[order], starts, axis=0)
-        scale = self.scale[k][kept] + total**2
+        many = np.diff(starts, append=len(own))
+        drawn = many if times is None else np.add.reduceat(times[order], starts)
+        by = np.argsort(many)[::-1]
+        kept, total = own[starts[by]], run_sums(grad, order, starts[by], many[by])
+        self.drawn[k][kept] += drawn[by]
+        total *= part
+        scale = self.scale[k].take(kept, 0)
+        scale += total * total
         self.scale[k][kept] = scale
         total *= RATE
-        total /= np.sqrt(scale)
+        total /= np.sqrt(scale, out=scale)
         self.model.parts()[k][kept] -= total
-        self.drawn[k][kept] += np.add.reduceat(times[order], starts)
 
     def step(self, before: np.ndarray, units: np.ndarray) -> None:
-        """One step on some tokens. Those of a group share its noise units, so that its part is a product of matrices."""
+        """One step on some tokens. Those of a group share its noise units, so that its part is a product of matrices.
+        Chances are (1 + tanh) / 2 of half the difference to the noise's level, which is taken off the targets' biases;
+        gradients are left at 2 n times their size until their rows are added up."""
         m, n = self.model, len(units)
         order = np.argsort(units.astype(np.uint16), kind="stable")  # by group, and by unit within it
-        before, units = before[order].T, units[order]
-        vectors = [m.context[b] for b in before]
+        before, units = before.take(order, 0).T, units[order].astype(np.int64)
+        vectors = [m.context.take(b, 0) for b in before]
         query = np.ones((n, SIZE + 1), np.float32)
         query[:, :SIZE] = sum(v * r for v, r in zip(vectors, m.reach, strict=True))
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(GROUP_NOISE) * self.edges[-1], "right") - 1, len(m.group) - 1)
-        bad = (0.5 * np.tanh(0.5 * (query @ m.group[noise].T - self.log_group[noise])) + 0.5) / n
-        pull = bad @ m.group[noise]
+        shared = m.group[noise]
+        bad = query @ halved(shared, self.log_group[noise]).T
+        np.tanh(bad, out=bad)
+        bad += 1
+        pull = bad @ shared
         # a token's own unit
-        target = m.unit[units]
-        good = ((0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", query, target) - self.log_unit[units])) - 0.5) / n)[:, None]
-        pull += good * target
+        target = m.unit.take(units, 0)
+        good = np.einsum("ij,ij->i", query, target)
+        good -= self.log_unit[units]
+        good *= 0.5
+        np.tanh(good, out=good)
+        good -= 1
+        target *= good[:, None]
+        pull += target
         # its group, and the noise units of the group
         group = units // m.width
         starts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -265,25 +308,25 @@ class Trainer:
         other = np.searchsorted(self.steps, low[:, None] + self.rng.random((len(present), UNIT_NOISE)) * (high - low)[:, None], "right") - 1
         other = np.clip(other, 0, len(m.unit) - 1)
         heads = np.concatenate([m.group[present][:, None], m.unit[other]], 1)
-        levels = np.concatenate([self.log_group[present][:, None], self.log_unit[other]], 1)
-        wrong = np.full(1 + UNIT_NOISE, 0.5, np.float32)
-        wrong[0] = -0.5
-        away = np.empty_like(heads)
-        for i, (a, b) in enumerate(zip(starts.tolist(), (starts + many).tolist(), strict=True)):
-            part = (0.5 * np.tanh(0.5 * (query[a:b] @ heads[i].T - levels[i])) + wrong) / n
-            pull[a:b] += part @ heads[i]
-            np.matmul(part.T, query[a:b], out=away[i])
-        back, ones = pull[:, :SIZE], np.ones(n * CONTEXT + len(noise) + other.size, np.int64)
+        lowered = halved(heads, np.concatenate([self.log_group[present][:, None], self.log_unit[other]], 1))
+        spans = list(zip(starts.tolist(), (starts + many).tolist(), strict=True))
+        wrong, back, away = np.empty((n, 1 + UNIT_NOISE), np.float32), np.empty_like(pull), np.empty_like(heads)
+        for i, (a, b) in enumerate(spans):
+            np.matmul(query[a:b], lowered[i].T, out=wrong[a:b])
+        np.tanh(wrong, out=wrong)
+        wrong[:, 0] -= 1
+        wrong[:, 1:] += 1
+        for i, (a, b) in enumerate(spans):
+            np.matmul(wrong[a:b], heads[i], out=back[a:b])
+            np.matmul(wrong[a:b].T, query[a:b], out=away[i])
+        back += pull
+        back, part = back[:, :SIZE], 0.5 / n
         reach = np.stack([np.einsum("ij,ij->j", back, v) for v in vectors])
         moved = np.concatenate([back * r for r in m.reach])
-        firsts = np.flatnonzero(np.diff(units, prepend=-1))
-        self._move(2, np.concatenate([present, noise]), np.concatenate([away[:, 0], bad.T @ query]), np.concatenate([many, ones[: len(noise)]]))
-        self._move(
-            3, np.concatenate([units[firsts], other.ravel()]), np.concatenate([np.add.reduceat(good * query, firsts, axis=0), away[:, 1:].reshape(-1, SIZE + 1)]),
-            np.concatenate([np.diff(firsts, append=n), ones[: other.size]]),
-        )
-        self._move(0, before.ravel(), moved, ones[: before.size])
-        self._move(1, np.arange(CONTEXT), reach, ones[:CONTEXT])
+        self._move(2, np.concatenate([present, noise]), np.concatenate([away[:, 0], bad.T @ query]), part, np.concatenate([many, np.ones(len(noise), np.int64)]))
+        self._move(3, np.concatenate([units, other.ravel()]), np.concatenate([good[:, None] * query, away[:, 1:].reshape(-1, SIZE + 1)]), part)
+        self._move(0, before.ravel(), moved, part)
+        self._move(1, np.arange(CONTEXT), reach, part)
 
 
 def train(lists: DataFrame, words: Vocabulary, tokens: int, seed: int = 5) -> LogBilinear:
@@ -305,7 +348,7 @@ def train(lists: DataFrame, words: Vocabulary, tokens: int, seed: int = 5) -> Lo
             rng = np.random.default_rng([seed, turn, TaskContext.get().partitionId()])
             own = Trainer(copy.deepcopy(start), mass, rng)
             for batch in batches:
-                units = np.frombuffer(b"".join(batch.column("units").to_pylist()), "<u2").astype(np.int64)
+                units = np.frombuffer(b"".join(batch.column("units").to_pylist()), "<u2")  # left short, as places are drawn from all over it
                 before = units_before(units, end)
                 places = visits(len(units), turn, passes, rng)
                 for a in range(0, len(places), BATCH):
@@ -382,7 +425,7 @@ def unit_scores(read: DataFrame, model: LogBilinear, end: int) -> DataFrame:
         for batch in batches:
             raw = batch.column("units").to_pylist()
             sizes = np.fromiter((len(x) // 2 for x in raw), np.int64, len(raw))
-            units = np.frombuffer(b"".join(raw), "<u2").astype(np.int64)
+            units = np.frombuffer(b"".join(raw), "<u2")
             each = own.log_chances(units_before(units, end), units)
             total = np.add.reduceat(each, np.cumsum(sizes) - sizes) / np.log(10) if len(raw) else each
             yield batch.drop_columns(["units"]).append_column("unit_logs", pa.array(total))

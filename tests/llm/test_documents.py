@@ -317,6 +317,37 @@ def test_tokens_of_a_group_share_its_noise():
     assert own.drawn[2].sum() == 900 + lm_score.GROUP_NOISE and own.drawn[0].sum() == 1800
 
 
+def test_sums_of_runs_are_those_of_their_rows():
+    """Short runs are added side by side, long ones each for itself; every row counts once."""
+    rng = np.random.default_rng(6)
+    for many in ([1], [lm_score.LONG_RUN, 1], [40, 9, 8, 8, 7, 3, 2, 1, 1], [2] * 5):
+        many, n = np.array(many), sum(many)
+        rows, order = rng.normal(size=(n, 3)).astype(np.float32), rng.permutation(n)
+        starts = np.cumsum(many) - many
+        got = lm_score.run_sums(rows, order, starts, many)
+        assert np.allclose(got, [rows[order[a : a + k]].sum(0) for a, k in zip(starts, many, strict=True)], atol=1e-5)
+
+
+def test_short_unit_numbers_stay_short_and_change_nothing():
+    mass, m = small_model()
+    units = np.random.default_rng(3).integers(0, 23, 900)
+    short = units.astype("<u2")
+    assert lm_score.units_before(short, 4).dtype == short.dtype
+    parts = []
+    for u in (units, short):
+        model = small_model()[1]
+        lm_score.Trainer(model, mass, np.random.default_rng(2)).step(lm_score.units_before(u, 4), u)
+        parts.append((model.parts(), m.log_chances(lm_score.units_before(u, 4), u)))
+    assert all(np.array_equal(a, b) for a, b in zip(parts[0][0], parts[1][0], strict=True)) and np.array_equal(parts[0][1], parts[1][1])
+
+
+def test_chances_beyond_single_precision_are_shifted():
+    mass, m = small_model()
+    m.group[2, -1], m.unit[11, -1] = 200, 300  # exp overflows
+    found = m.log_chances(np.array([[3, 7]] * 23), np.arange(23))
+    assert np.isfinite(found).all() and found[11] == pytest.approx(0, abs=1e-4) and (np.delete(found, 11) < -90).all()
+
+
 def test_contexts_do_not_cross_texts():
     assert lm_score.units_before(np.array([1, 2, 3, 9, 9, 4, 9]), 9).tolist() == [[9, 9], [1, 9], [2, 1], [3, 2], [9, 9], [9, 9], [4, 9]]
 
