@@ -92,3 +92,68 @@ def test_answers_by_bands_equal_convolution():
     for places, rows, wide in ((200, 3, 32), (20, 2, 32), (83, 1, 16), (19, 4, 8), (60, 0, 32)):
         spikes, kernel = rng.normal(size=(rows, places)), rng.normal(size=19)
         assert np.allclose(A.answer_places(spikes.T, kernel, wide), A.answer(spikes, kernel).T)
+
+
+def test_a_long_time_line_of_few_components_needs_no_blocks(spark, monkeypatch):
+    """Its values fit a task, so that no step waits for a round of a barrier."""
+    count, written = 140_000, []
+    monkeypatch.setattr(B, "materialise", lambda df, name, own=B.materialise: written.append(name) or own(df, name))
+    frames = spark.range(count).select(F.col("id").cast("int").alias("t"), F.array(*[F.sin(F.col("id") / (5 + k)) for k in range(4)]).alias("px"))
+    cells = spark.createDataFrame([(0, "cell", 0, 0)], "segid int, kind string, y int, x int")
+    weights = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 0.5)], "segid int, y int, x int, a double")
+    rows = V.temporal(frames, cells, weights, [(0, 0, 2, 0, 2, 0)], 2, 2, count, V.Penalty(), epochs=1, steps=2)
+    found = rows.collect()
+    assert [r["place"] for r in found if r["what"] == "loss"] == [0, 1] and "values" not in written
+    assert max(r["place"] for r in found) > 139_000
+
+
+def test_answers_by_chunks_equal_convolution(monkeypatch):
+    rng = np.random.default_rng(6)
+    for count, rows, length in ((2_500, 3, 20), (1_030, 2, 33), (300, 1, 70), (10, 2, 20), (50, 0, 20), (40, 1, 1)):
+        kernel = rng.normal(size=length)
+        cut, spikes, slopes = B.Cut(count, count, 0, length - 1), rng.normal(size=(rows, count + length - 1)), rng.normal(size=(rows, count))
+        answer, places = B.Answer(kernel, rows, cut), B.Chunks(rows, count + length - 1, cut.chunk)
+        monkeypatch.setattr(B, "HELD", 0)  # the others lie in files
+        frames, out = B.Chunks(rows, count + length - 1, cut.chunk), [np.zeros((rows, count)), np.zeros((rows, count + length - 1))]
+        monkeypatch.undo()
+        places.put(0, spikes)
+        frames.put(0, slopes)
+        empty = np.zeros((rows, answer.band))
+        for c, here, there in places.parts(0, count + length - 1):
+            after = places.v[c + 1][:, : answer.band] if c + 1 < len(places.v) else empty
+            before = frames.v[c - 1][:, cut.chunk - answer.band :] if c else empty
+            out[1][:, there] = answer.back(np.concatenate([before, frames.v[c]], 1))[:, here]
+            first = np.array(answer.forward(np.concatenate([places.v[c], after], 1)))[:, here]
+            out[0][:, there.start : there.stop] = first[:, : max(0, count - there.start)]
+        assert np.allclose(out[0], A.answer(spikes, kernel)) and np.allclose(out[1], A.answer_back(slopes, kernel))
+        assert np.allclose(places.cut(3, count).take(0, count - 3), spikes[:, 3:count])
+
+
+@pytest.mark.parametrize("kind", ["maxnorm", "l2"])
+def test_several_chunks_equal_the_dense_descent(kind):
+    rng = np.random.default_rng(7)
+    count, n, grounds, ny, kernel = 2_300, 4, 2, 9, V.response()
+    k, tail = n + grounds, len(kernel) - 1
+    feet = np.maximum(rng.normal(size=(k, ny)), 0)
+    mean = feet.mean(1)
+    cov, out = feet @ feet.T - ny * np.outer(mean, mean), np.outer(mean, mean)
+    dot, ground = (feet - mean[:, None]) @ rng.normal(size=(ny, count)), np.array([1e-3, 2e-3])
+    fac, eta = 0.01 * ny, A.step_size(cov, count, ny, 0.5)
+    low = lambda v, eta: np.sign(v) * np.maximum(np.abs(v) - ground[:, None] * eta, 0)
+    x, log = V.descend(
+        [np.zeros((n, count + tail)), np.zeros((grounds, count))], lambda z: np.vstack([A.answer(z[0], kernel), z[1]]), lambda g: [A.answer_back(g[:n], kernel), g[n:]],
+        lambda z, eta: [A.prox_rows(kind, z[0], eta, fac), low(z[1], eta)], lambda z: A.penalty_rows(kind, z[0], fac) + float((ground[:, None] * np.abs(z[1])).sum()),
+        cov, out, dot, count, ny, 0.1, 0.2, 1.0, epochs=2, steps=4,
+    )
+    cut = B.Cut(count, count, 0, tail)
+    task, data = B.Task(cut, kernel, {0: ny}, kind, 0.01, 0.1, 0.2), B.Chunks(k, count + tail, cut.chunk)
+    data.put(0, dot)
+    row = {"tile": 0, "block": 0, "ks": np.arange(k), "active": np.ones(k, bool), "cells": n, "constant": 1.0, "eta": eta, "ground": ground, "cov": cov.ravel(), "gram": (cov + ny * 0.1 * out).ravel()}
+    part = B.Part(task, row, data, [])
+    part.movie = part.summed / count
+    for epoch in range(3):
+        for i in range(4 if epoch else 0):
+            part.land(part.slope(part.products()), *A.momentum(i))
+        part.narrow(tail)
+        assert np.allclose(part.reported(part.products(), *part.penalties()), log[epoch], rtol=1e-10)
+    assert np.allclose(part.x.take(0, count + tail)[:n], x[0], rtol=1e-9, atol=1e-12) and np.allclose(part.x.take(0, count)[n:], x[1], rtol=1e-9, atol=1e-12)
